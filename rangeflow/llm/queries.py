@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, mixing, secrets, tokenstore, warc
+from . import decontaminate, media, minhash, mixing, secrets, tokenstore, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_near_duplicates": minhash.op4_near_duplicates,
+    "op5_media_columns": media.op5_media_columns,
     "op6_warc_archive": warc.op6_warc_archive,
     "op8_token_store": tokenstore.op8_token_store,
     "op9_decontaminate": decontaminate.op9_decontaminate,
