@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, minhash, mixing, secrets, tokenstore, warc
+from . import decontaminate, langid, media, minhash, mixing, secrets, tokenstore, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_language_mixture": langid.op2_language_mixture,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_near_duplicates": minhash.op4_near_duplicates,
     "op5_media_columns": media.op5_media_columns,
