@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, media, minhash, mixing, secrets, tokenstore, warc
+from . import decontaminate, langid, media, minhash, mixing, secrets, tokenstore, toxicity, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_near_duplicates": minhash.op4_near_duplicates,
     "op5_media_columns": media.op5_media_columns,
     "op6_warc_archive": warc.op6_warc_archive,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_store": tokenstore.op8_token_store,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
