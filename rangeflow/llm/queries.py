@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, media, minhash, mixing, secrets, tokenstore, toxicity, warc
+from . import decontaminate, extract, langid, media, minhash, mixing, secrets, tokenstore, toxicity, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_store": tokenstore.op8_token_store,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_main_text": extract.op10_main_text,
 }
 
 ORACLES = {
