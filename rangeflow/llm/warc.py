@@ -57,9 +57,10 @@ def write_archive(pages: DataFrame, id_col: str, url_col: str, html_col: str, fo
     # struct order: a null id first, then the smallest
     first = meta.groupBy("key").agg(F.min(F.struct("page_id")).alias("first"), F.count("*").alias("records"))
     first = stored(first.select("key", F.col("first.page_id").alias("first_id"), "records"), "warc-first")
-    # one payload row for each key: joined on (key, id), which has no hot values; equal rows fall together
-    kept = rows.alias("r").join(first.alias("f"), (F.col("r.key") == F.col("f.key")) & F.col("r.page_id").eqNullSafe(F.col("f.first_id"))).select("r.key", "r.payload")
-    kept.dropDuplicates(["key"]).write.parquet(f"{folder}/payloads")
+    # one payload row for each key: joined on (key, id), which has no hot values, and made distinct where it stands
+    ident = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("id")
+    kept = rows.select("key", ident("page_id"), "payload").join(first.select("key", ident("first_id")), ["key", "id"]).dropDuplicates(["key", "id"])
+    kept.select("key", "payload").write.option("compression", "zstd").parquet(f"{folder}/payloads")
     repeats = first.filter("records > 1").select("key", "first_id", F.lit(True).alias("repeated"))
     joined = meta.join(repeats, "key", "left").withColumn("repeated", F.col("repeated").isNotNull() & (F.col("payload_bytes") >= least))
     # equal rows can share the first id: one of them is the response
