@@ -8,9 +8,10 @@ representatives go on. Within a band's bucket every member is compared with the
 (star edges), never all with all, and each candidate is confirmed on the full sets.
 
 A star may miss a link between two members that the centre is not linked with. So buckets whose
-members are not yet in one component are searched again with twice as many centres, between members
-of different components only, until no such bucket has members left to compare. Pairs in a round stay
-within centres x unresolved members.
+members are not yet in one component are searched again with 4, 16, ... centres, between members of
+different components only. The search ends when these buckets have been compared completely, or
+when LEAST_CENTRES or more a bucket bring no new link. Pairs in a round stay within centres x
+unresolved members; buckets of up to 2 x LEAST_CENTRES members are always searched completely.
 
 Defined cases: a null text, or one without words, has the empty set and links with nothing; fewer
 than n words are one shingle; equal rows are one class; a null id is never the smallest while its
@@ -30,6 +31,7 @@ from .common import NON_SPACE, mix64, read_table, stored, text_blocks, word_hash
 
 BINS, ROWS = 160, 5
 BANDS = BINS // ROWS
+LEAST_CENTRES = 16
 _rng = np.random.default_rng(77)
 #: for each bin the order in which it looks for a filled one: itself, then the others at random
 _ORDERS = np.stack([np.concatenate([[b], _rng.permutation([x for x in range(BINS) if x != b])]) for b in range(BINS)])
@@ -94,12 +96,11 @@ def _members(batches, n: int):
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "set"])
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of pairs whose full sets have 100 x intersection >= percent x union."""
-    wanted = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
-    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: _members(it, n), "doc_id bigint, set array<bigint>")
-    sets = stored(sets, "sets")
-    # the later documents' sets move once for each of their few centres; a hot centre's rows can be split
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+    sets = sets.join(ids, "doc_id", "left_semi")
+    # a set moves once for each of its few centres; a hot centre's rows can be split
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
     both = both.withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
@@ -135,6 +136,30 @@ def components(edges: DataFrame) -> DataFrame:
     return parts.union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 
 
+def _heads(rows: DataFrame, centres: int) -> DataFrame:
+    """(band, value, head, head_part): centres of each bucket, the member with most company in each of `centres` hash classes.
+
+    All members are centres in buckets of at most twice as many, so these are searched completely.
+    """
+    chosen = F.struct("company", "rep", "component")
+    large = rows if centres == 1 else rows.filter(F.col("n") > 2 * centres)
+    large = large.groupBy("band", "value", F.pmod(F.xxhash64("rep"), F.lit(centres)).alias("salt")).agg(F.max(chosen).alias("c"))
+    large = large.select("band", "value", F.col("c.rep").alias("head"), F.col("c.component").alias("head_part"))
+    if centres == 1:
+        return large
+    return large.unionByName(rows.filter(F.col("n") <= 2 * centres).select("band", "value", F.col("rep").alias("head"), F.col("component").alias("head_part")))
+
+
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts with the components joined that links connect."""
+    of = lambda side: parts.select(F.col("node").alias(side), F.col("component").alias(f"part_{side}"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
+    joined = stored(components(named), "joined")
+    known = parts.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left")
+    known = known.select("node", F.coalesce("whole", "component").alias("component"))
+    return known.unionByName(joined).groupBy("node").agg(F.min("component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -143,28 +168,32 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int = 5, per
     # one signature for each representative: the join key has no hot values; equal rows are alike
     reps = signed.join(classes, (signed["class"] == classes["class"]) & signed["doc_id"].eqNullSafe(classes["rep"])).select("rep", "bands").filter("rep is not null").dropDuplicates(["rep"])
     rows = reps.select("rep", F.posexplode("bands").alias("band", "value"))
-    sizes = rows.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("rep").alias("centre")).filter("n > 1")
-    sizes = stored(sizes, "buckets")
-    rows = stored(rows.join(sizes.select("band", "value", "n", "centre"), ["band", "value"]), "bucket-rows")
-    pairs = stored(rows.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = stored(confirm(pairs, texts, n, percent), "links")
-    tried, centres = pairs, 1
+    sizes = rows.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = stored(rows.join(sizes, ["band", "value"]), "shared-buckets")
+    # a document in the midst of its copies shares its buckets with most of them: the best centre
+    rows = stored(rows.join(rows.groupBy("rep").agg(F.sum("n").alias("company")), "rep"), "bucket-rows")
+    wanted = stored(rows.select(F.col("rep").alias("doc_id")).distinct(), "in-buckets")
+    sets = stored(texts.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: _members(it, n), "doc_id bigint, set array<bigint>").dropDuplicates(["doc_id"]), "sets")
+    parts, tried, centres, found = None, None, 1, 1
     while True:
-        parts = components(links)
-        parts = stored(parts, "parts")
-        named = rows.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = named.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "value")
-        open_rows = stored(named.join(mixed, ["band", "value"]), "open-rows")
-        # a bucket is done when all its members have been centres
-        if not open_rows.filter(F.col("n") > centres + 1).head(1):
+        if parts is None:
+            now = rows.withColumn("component", F.col("rep"))
+        else:
+            now = rows.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            mixed = now.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "value")
+            now = stored(now.join(mixed, ["band", "value"]), "open-rows")
+        heads = _heads(now, centres)
+        pairs = now.join(heads, ["band", "value"]).filter("component <> head_part").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = stored(confirm(pairs, sets, percent), "links")
+        if found := links.limit(1).count():
+            parts = stored(components(links) if parts is None else _merged(parts, links), "parts")
+        elif parts is None:
+            parts = stored(components(links), "parts")
+        if not found and centres >= LEAST_CENTRES or not now.filter(F.col("n") > 2 * centres).limit(1).count():
             break
-        centres *= 2
-        draw = F.pmod(F.xxhash64("rep", F.lit(centres)), F.lit(1 << 30)) / float(1 << 30)
-        heads = open_rows.filter((F.col("n") <= 2 * centres) | (draw < centres / F.col("n"))).select("band", "value", F.col("rep").alias("head"), F.col("component").alias("head_part"))
-        pairs = open_rows.join(heads, ["band", "value"]).filter("component <> head_part").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b"))
-        pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(stored(confirm(pairs, texts, n, percent), "links"))
+        centres *= 4
     named = signed.select("doc_id", "n_shingles", "class").join(classes, "class", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
