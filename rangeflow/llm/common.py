@@ -156,6 +156,14 @@ def word_bounds(classes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def hash_spans(classes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of classes[starts[i]:ends[i]], by differences of a running polynomial sum."""
+    powers, inverses = _power_tables(len(classes) + 1)
+    sums = np.zeros(len(classes) + 1, np.uint64)
+    np.cumsum(_CODES[classes] * powers[: len(classes)], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * inverses[starts])
+
+
 def word_hashes(raw: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words in order, and for each row the index of its first word (rows + 1 entries).
 
@@ -179,10 +187,7 @@ def word_hashes(raw: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[n
         part = table[raw[at:end]]
         local = np.clip(offs, at, end) - at
         starts, ends = word_bounds(part, local)
-        powers, inverses = _power_tables(len(part) + 1)
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_CODES[part] * powers[: len(part)], out=sums[1:])
-        hashes_all.append(mix64((sums[ends] - sums[starts]) * inverses[starts]))
+        hashes_all.append(hash_spans(part, starts, ends))
         starts_all.append(starts + at)
         at = end
     starts = np.concatenate(starts_all) if starts_all else np.zeros(0, np.int64)

@@ -8,9 +8,9 @@ representatives go on. Within a band's bucket every member is compared with the
 (star edges), never all with all, and each candidate is confirmed on the full sets.
 
 A star may miss a link between two members that the centre is not linked with. So buckets whose
-members are not yet in one component are searched again with 4, 16, ... centres, between members of
+members are not yet in one component are searched again with 3, 9, ... centres, between members of
 different components only. The search ends when these buckets have been compared completely, or
-when LEAST_CENTRES or more a bucket bring no new link. Pairs in a round stay within centres x
+when LEAST_CENTRES or more a bucket bring hardly a new link. Pairs in a round stay within centres x
 unresolved members; buckets of up to 2 x LEAST_CENTRES members are always searched completely.
 
 Defined cases: a null text, or one without words, has the empty set and links with nothing; fewer
@@ -31,7 +31,8 @@ from .common import NON_SPACE, mix64, read_table, stored, text_blocks, word_hash
 
 BINS, ROWS = 160, 5
 BANDS = BINS // ROWS
-LEAST_CENTRES = 16
+#: Centres of a bucket after which the search ends unless a round's links are at least this share of its pairs.
+LEAST_CENTRES, LEAST_YIELD = 9, 0.001
 _rng = np.random.default_rng(77)
 #: for each bin the order in which it looks for a filled one: itself, then the others at random
 _ORDERS = np.stack([np.concatenate([[b], _rng.permutation([x for x in range(BINS) if x != b])]) for b in range(BINS)])
@@ -174,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int = 5, per
     rows = stored(rows.join(rows.groupBy("rep").agg(F.sum("n").alias("company")), "rep"), "bucket-rows")
     wanted = stored(rows.select(F.col("rep").alias("doc_id")).distinct(), "in-buckets")
     sets = stored(texts.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: _members(it, n), "doc_id bigint, set array<bigint>").dropDuplicates(["doc_id"]), "sets")
-    parts, tried, centres, found = None, None, 1, 1
+    parts, tried, centres = None, None, 1
     while True:
         if parts is None:
             now = rows.withColumn("component", F.col("rep"))
@@ -187,13 +188,14 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int = 5, per
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = stored(confirm(pairs, sets, percent), "links")
-        if found := links.limit(1).count():
+        found = links.count()
+        if found:
             parts = stored(components(links) if parts is None else _merged(parts, links), "parts")
         elif parts is None:
             parts = stored(components(links), "parts")
-        if not found and centres >= LEAST_CENTRES or not now.filter(F.col("n") > 2 * centres).limit(1).count():
+        if centres >= LEAST_CENTRES and found < LEAST_YIELD * pairs.count() or not now.filter(F.col("n") > 2 * centres).limit(1).count():
             break
-        centres *= 4
+        centres *= 3
     named = signed.select("doc_id", "n_shingles", "class").join(classes, "class", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 

@@ -20,6 +20,7 @@ import functools
 import hashlib
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_path, new_path, read_table, stored
+from .common import NON_SPACE, delete_path, hash_spans, new_path, read_table, stored, text_blocks, word_bounds
 
 #: Chunk sizes in ids: at least, on average beyond that (a power of two), at most; rolling window.
 LEAST, AVERAGE, MOST, ROLL = 64, 256, 2048, 8
 #: Words whose ids a worker keeps; the cache starts anew when it is full.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 700_000
 DIGEST = 32
+#: Marks that the vocabulary's pattern separates from a letter before them.
+MARKS = b".,;:!?|%&$*#"
+#: Array codes of the id types; both machines and files are little-endian.
+_CODES = {"<u2": "H", "<u4": "I"}
+#: Bytes of text whose distinct words are found together.
+RUN_BYTES = 4 << 20
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,31 +57,101 @@ def _cache(path: str) -> dict[bytes, bytes]:
     return {}
 
 
+@functools.cache
+def _word_ends(path: str) -> np.ndarray:
+    """Which ids end a word."""
+    out = np.zeros(_tokenizer(path).get_vocab_size(), bool)
+    for token, number in _tokenizer(path).get_vocab().items():
+        out[number] = token.endswith("</w>")
+    return out
+
+
 def id_type(path: str) -> str:
     return "<u2" if _tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def encode_texts(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
-    """Each text's ids and the end id, as bytes.
+def encode_column(column: pa.Array, path: str, end_id: int):
+    """(first row, end row, ids, bounds) of runs of rows: each row's ids and the end id, one after the other.
 
     White space always separates tokens in this vocabulary and case is folded, so words are encoded
-    one by one and remembered. Lower-casing A-Z first folds more words together; texts that may hold
-    a special token's string are left as they are.
+    one by one: the distinct words of a run are found by their hashes and looked up or encoded once,
+    and the run's ids are gathered from theirs. Texts that may hold a special token's string are
+    encoded as they are.
     """
-    cache, kind = _cache(path), id_type(path)
-    end = np.array([end_id], kind).tobytes()
-    words = []
-    for text in texts:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        words.append(raw.split() if b"<|" in raw else raw.lower().split())
+    kind = np.dtype(id_type(path))
+    for lo, hi, raw, offs in text_blocks(column, RUN_BYTES):
+        starts, ends, first = _white_space_words(raw, offs)
+        hashes = hash_spans(NON_SPACE[raw], starts, ends)
+        special = np.flatnonzero((raw[:-1] == 0x3C) & (raw[1:] == 0x7C)) if len(raw) else starts[:0]
+        lowered = np.where((raw >= 0x41) & (raw <= 0x5A), raw + np.uint8(32), raw).tobytes()
+        kept = {}
+        for row in np.unique(np.searchsorted(offs, special, "right") - 1).tolist():
+            text = raw[offs[row] : offs[row + 1]].tobytes().decode("utf-8", "surrogatepass")
+            kept[row] = np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, kind)
+        distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        words = [lowered[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        known = _word_ids(set(words), path)
+        coded = [known[w] for w in words]
+        sizes = np.array([len(c) for c in coded], np.int64) // kind.itemsize
+        flat = np.frombuffer(b"".join(coded), kind)
+        at_word = np.concatenate([[0], np.cumsum(sizes)])[:-1] if len(sizes) else sizes
+        n = sizes[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(at_word[which] - upto[:-1], n) + np.arange(upto[-1])] if len(n) else flat
+        bounds = upto[first]
+        if kept:
+            parts = [kept.get(r, ids[bounds[r] : bounds[r + 1]]) for r in range(hi - lo)]
+            ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        ids = np.insert(ids, bounds[1:], np.array(end_id, kind))
+        yield lo, hi, ids, bounds + np.arange(len(bounds))
+
+
+def _white_space_words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    starts, ends = word_bounds(NON_SPACE[raw], offs) if len(raw) else (offs[:0], offs[:0])
+    return starts, ends, np.searchsorted(starts, offs)
+
+
+def encode_texts(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
+    """Each text's ids and the end id, as bytes."""
+    out = []
+    for lo, hi, ids, bounds in encode_column(pa.array(texts, pa.string()), path, end_id):
+        out += [ids[bounds[i] : bounds[i + 1]].tobytes() for i in range(hi - lo)]
+    return out
+
+
+def _word_ids(words: set[bytes], path: str) -> dict[bytes, bytes]:
+    """Each word's ids. Marks behind a letter are tokens of their own, so words differing in them share the encoding."""
+    cache, code = _cache(path), _CODES[id_type(path)]
     if len(cache) > CACHED_WORDS:
         cache.clear()
-    new = list({w for ws in words for w in ws if w not in cache})
-    for lo in range(0, len(new), 4096):
-        some = new[lo : lo + 4096]
-        encoded = _tokenizer(path).encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)
-        cache.update(zip(some, [np.array(e.ids, kind).tobytes() for e in encoded], strict=True))
-    return [b"".join([cache[w] for w in ws]) + end for ws in words]
+    missing, cores, split = words.difference(cache), [], set()
+    for word in missing:
+        core = word.rstrip(MARKS)
+        if core and core != word and (0x61 <= core[-1] <= 0x7A or core[-1] >= 0x80 and core.decode("utf-8", "surrogatepass")[-1].isalpha()):
+            cores.append((word, core))
+            split.add(core)
+            split.add(word[len(core) :])
+        else:
+            split.add(word)
+    new = [w.decode("utf-8", "surrogatepass") for w in split.difference(cache)]
+    # a word of letters alone is one unit of the vocabulary, whose last token carries the end mark:
+    # such words are encoded in one text and its ids cut there
+    letters = [w for w in new if w.isalpha()]
+    kind, last = np.dtype(id_type(path)), _word_ends(path)
+    for lo in range(0, len(letters), 4096):
+        some = letters[lo : lo + 4096]
+        ids = np.array(_tokenizer(path).encode(" ".join(some), add_special_tokens=False).ids, kind)
+        ends, data = ((np.flatnonzero(last[ids]) + 1) * kind.itemsize).tolist(), ids.tobytes()
+        if len(ends) != len(some):  # a letter that the vocabulary's pattern takes otherwise
+            encoded = _tokenizer(path).encode_batch_fast(some, add_special_tokens=False)
+            cache.update(zip([w.encode("utf-8", "surrogatepass") for w in some], [array(code, e.ids).tobytes() for e in encoded], strict=True))
+            continue
+        cache.update(zip([w.encode("utf-8", "surrogatepass") for w in some], [data[x:y] for x, y in zip([0, *ends], ends, strict=False)], strict=True))
+    others = [w for w in new if not w.isalpha()]
+    encoded = _tokenizer(path).encode_batch_fast(others, add_special_tokens=False)
+    cache.update(zip([w.encode("utf-8", "surrogatepass") for w in others], [array(code, e.ids).tobytes() for e in encoded], strict=True))
+    cache.update([(word, cache[core] + cache[word[len(core) :]]) for word, core in cores])
+    return dict(zip(words, map(cache.__getitem__, words), strict=True))
 
 
 def cut_points(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
@@ -117,19 +194,17 @@ _STAGE = "rid bigint, doc_id bigint, n_tokens bigint, ids binary, ends binary, d
 
 
 def _encode(batches, path: str, end_id: int):
-    kind = np.dtype(id_type(path))
+    size = np.dtype(id_type(path)).itemsize
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            coded = encode_texts(part.column(2).to_pylist(), path, end_id)
-            bounds = np.concatenate([[0], np.cumsum([len(c) // kind.itemsize for c in coded])])
-            cuts = cut_points(np.frombuffer(b"".join(coded), kind), bounds)
-            digests = []
-            for c, ends in zip(coded, cuts, strict=True):
-                places = [0, *(e * kind.itemsize for e in ends)]
-                digests.append([hashlib.sha256(c[a:b]).digest() for a, b in zip(places, places[1:], strict=False)])
+        for lo, hi, ids, bounds in encode_column(batch.column(2), path, end_id):
+            cuts, data = cut_points(ids, bounds), ids.tobytes()
+            coded, digests = [], []
+            for at, to, ends in zip((bounds[:-1] * size).tolist(), (bounds[1:] * size).tolist(), cuts, strict=True):
+                places = [at, *(at + e * size for e in ends)]
+                digests.append([hashlib.sha256(data[a:b]).digest() for a, b in zip(places, places[1:], strict=False)])
+                coded.append(data[at:to])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(np.diff(bounds)), pa.array(coded, pa.binary()), pa.array([np.array(e, "<u4").tobytes() for e in cuts], pa.binary()),
+                [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(coded, pa.binary()), pa.array([np.array(e, "<u4").tobytes() for e in cuts], pa.binary()),
                  pa.array([b"".join(d) for d in digests], pa.binary()), pa.array([merkle_root(d) for d in digests], pa.binary())],
                 [x.split()[0] for x in _STAGE.split(", ")],
             )
@@ -173,7 +248,9 @@ def write_store(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str
     spark = docs.sparkSession
     texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     staged = new_path(spark, "encoded")
-    stage = stored(texts.mapInArrow(lambda it: _encode(it, tokenizer_path, end_id), _STAGE), "encoded", staged)
+    coded = texts.mapInArrow(lambda it: _encode(it, tokenizer_path, end_id), _STAGE)
+    coded.write.option("compression", "zstd").parquet(staged)
+    stage = spark.read.schema(coded.schema).parquet(staged)
     place = F.posexplode(F.expr(f"transform(sequence(1, length(digests), {DIGEST}), i -> substring(digests, i, {DIGEST}))")).alias("place", "digest")
     places = stored(stage.select("rid", "doc_id", place), "places")
     shared = places.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("first")).filter("n > 1").select("digest", "first")

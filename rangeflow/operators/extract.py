@@ -60,10 +60,10 @@ def classify_mates(reads: DataFrame, params: ExtractParams) -> DataFrame:
     far = mated.filter(~F.col("mate_chrom").eqNullSafe(F.col("chrom")))
     near = mated.filter(F.col("mate_chrom").eqNullSafe(F.col("chrom")))
     keys = ["library", "qname", "chrom"]
-    side = lambda df, p: df.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in ("pos", "mate_pos", "aln_len", "reverse", "ok", "kept")])
+    side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in (*keys, "pos", "mate_pos", "aln_len", "reverse", "ok", "kept")])
     a, b = side(near.filter("is_first"), "a"), side(near.filter("not is_first"), "b")
-    on = [a[k] == b[k] for k in keys] + [a["a_mate_pos"] == b["b_pos"], b["b_mate_pos"] == a["a_pos"]]
-    pairs = a.join(b, on, "full_outer").select(*[F.coalesce(a[k], b[k]).alias(k) for k in keys], *[c for c in (*a.columns, *b.columns) if c not in keys])
+    on = F.expr(" and ".join([*(f"a_{k} = b_{k}" for k in keys), "a_mate_pos = b_pos", "b_mate_pos = a_pos"]))
+    pairs = a.join(b, on, "full_outer").withColumns({k: F.coalesce(f"a_{k}", f"b_{k}") for k in keys})
     both = F.coalesce(F.col("a_ok") & F.col("b_ok"), F.lit(False))
     fwd = lambda c: F.when(F.col("a_reverse"), F.col(f"b_{c}")).otherwise(F.col(f"a_{c}"))
     rev = lambda c: F.when(F.col("a_reverse"), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))

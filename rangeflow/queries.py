@@ -143,7 +143,7 @@ def window_counts_all(v):
     return tiles.window_counts(v.reads, v.axes, least=0, **SLIDING).counts
 
 
-@query('select library, chrom, (p - 1) // 500 as k, (p - 1) // 500 * 500 + 1 as start, least(length, (p - 1) // 500 * 500 + 500)::bigint as "end", count(*) as n from fives group by all', "bins")
+@query('select library, chrom, ((p - 1) // 500)::bigint as k, ((p - 1) // 500 * 500 + 1)::bigint as start, least(length, (p - 1) // 500 * 500 + 500)::bigint as "end", count(*) as n from fives group by all', "bins")
 def bin_counts(v):
     return tiles.window_counts(v.reads, v.axes, width=500, bins=True).counts
 
@@ -444,8 +444,8 @@ def site_profile_stranded(v):
 
 
 @query(COVERAGE + """, p as (select o."offset", round(coalesce(sum(n), 0) / (select count(*) from regions), 9) as v from offsets o left join cov c on o."offset" = c."offset" group by all),
-top as (select max(v) as top, arg_min("offset", (-v, "offset")) as at from p),
-lo as (select coalesce(max("offset"), -301) as lo from p, top where "offset" < at and v < top * 0.5), hi as (select coalesce(min("offset"), 301) as hi from p, top where "offset" > at and v < top * 0.5)
+top as (select max(v) as top, arg_min("offset", (-v, "offset")) as "at" from p),
+lo as (select coalesce(max("offset"), -301) as lo from p, top where "offset" < top."at" and v < top.top * 0.5), hi as (select coalesce(min("offset"), 301) as hi from p, top where "offset" > top."at" and v < top.top * 0.5)
 select greatest(1, hi - lo - 1 - 2 * 100 + 2 - (select median("end" - start + 1) from regions) + 1)::double as width from lo, hi""", "reads", "axes", "regions")
 def half_max_width(v):
     profile = rounded(profiles.site_profile(v.reads, v.axes, v.regions, reach=300), "value")
