@@ -61,10 +61,10 @@ def tmm_factors(data: CountSet, sizes: DataFrame | None = None, weighted: bool =
     # values equal but for rounding are ties
     both = both.withColumns({"m": F.round("m", 12), "a": F.round("a", 12)})
     ranked = average_rank(average_rank(both, "m", "rm", ("library",)), "a", "ra", ("library",))
-    sums = both.groupBy("library").agg(F.count("*").alias("N"), F.max(F.abs("m")).alias("most"))
+    sums = both.groupBy("library").agg(F.count("*").alias("shared"), F.max(F.abs("m")).alias("most"))
     ranked = ranked.join(F.broadcast(sums), "library")  # a row for each library
-    lo_m, lo_a = F.floor(F.col("N") * TRIM_RATIO) + 1, F.floor(F.col("N") * TRIM_SUM) + 1
-    keep = F.col("rm").between(lo_m, F.col("N") + 1 - lo_m) & F.col("ra").between(lo_a, F.col("N") + 1 - lo_a)
+    lo_m, lo_a = F.floor(F.col("shared") * TRIM_RATIO) + 1, F.floor(F.col("shared") * TRIM_SUM) + 1
+    keep = F.col("rm").between(lo_m, F.col("shared") + 1 - lo_m) & F.col("ra").between(lo_a, F.col("shared") + 1 - lo_a)
     kept = ranked.filter(keep).groupBy("library").agg((F.sum(F.col("m") / F.col("v")) / F.sum(1 / F.col("v")) if weighted else F.avg("m")).alias("f"))
     out = quartiles.select("library").join(sums, "library", "left").join(kept, "library", "left")
     value = F.when(F.coalesce(F.col("most"), F.lit(0.0)) < 1e-6, 1.0).otherwise(F.pow(F.lit(2.0), F.coalesce("f", F.lit(0.0))))
