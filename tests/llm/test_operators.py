@@ -194,6 +194,25 @@ def test_near_duplicates_equal_all_pairs(spark, n):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == plain_components(rows, n)
 
 
+def test_links_that_no_centre_has_are_found(spark):
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(160)]
+    rows = []
+    for k in range(90):  # all share buckets; many pairs, and many of the centre's, are just below or above 0.8
+        text = list(base)
+        for at in rng.sample(range(160), rng.randrange(3, 22)):
+            text[at] = f"x{k % 6}-{at}"
+        rows.append((k, " ".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame, "doc_id", "text", 2).collect()} == plain_components(rows, 2)
+    sets = [(i, [hash((w, "s")) for w in dict.fromkeys(t.split())], i % 7) for i, t in rows]
+    got = {tuple(r) for r in minhash.rest_pairs(spark.createDataFrame(sets, "doc_id bigint, set array<bigint>, component bigint"), 80).collect()}
+    for a, left, part in sets:
+        for b, right, other in sets[:a]:
+            if part != other and 100 * len({*left} & {*right}) >= 80 * len({*left} | {*right}):
+                assert (b, a) in got
+
+
 def test_near_duplicates_awkward_rows(awkward, empty):
     got = counted(minhash.near_duplicates(awkward, "doc_id", "text", 2), "doc_id", "component_id")
     assert sum(got.values()) == len(awkward_texts())
