@@ -132,7 +132,7 @@ def rest_pairs(sets: DataFrame, percent: int) -> DataFrame:
     frequencies = spark.sparkContext.broadcast(table)
     rows = stored(sets.mapInArrow(lambda it: _prefixes(it, frequencies, percent), "doc_id bigint, component bigint, size bigint, place bigint, token bigint"), "prefixes")
     parts = rows.groupBy("token", "component").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("token").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("token", "main")
+    mixed = stored(parts.groupBy("token").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("token", "main"), "mixed-tokens")
     outside = stored(rows.join(mixed, "token").filter("component <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "component", "size", "place")]), "outside")
     room = F.least(F.col("size_a") - F.col("place_a"), F.col("size") - F.col("place"))
     close = (F.col("component") != F.col("component_a")) & (room * (100 + percent) >= (F.col("size") + F.col("size_a")) * percent)
@@ -196,19 +196,20 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int = 5, per
     # one signature for each representative: the join key has no hot values; equal rows are alike
     reps = signed.join(classes, (signed["class"] == classes["class"]) & signed["doc_id"].eqNullSafe(classes["rep"])).select("rep", "bands").filter("rep is not null").dropDuplicates(["rep"])
     rows = reps.select("rep", F.posexplode("bands").alias("band", "value"))
-    sizes = rows.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
+    # a table of each bucket's facts is stored before it is joined, so that the rows of a hot bucket can be split
+    sizes = stored(rows.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     rows = stored(rows.join(sizes, ["band", "value"]), "shared-buckets")
     # a document in the midst of its copies shares its buckets with most of them: the best centre
     rows = stored(rows.join(rows.groupBy("rep").agg(F.sum("n").alias("company")), "rep"), "bucket-rows")
     wanted = stored(rows.select(F.col("rep").alias("doc_id")).distinct(), "in-buckets")
     sets = stored(texts.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: _members(it, n), "doc_id bigint, set array<bigint>").dropDuplicates(["doc_id"]), "sets")
     # the centre of a bucket: the member that shares its buckets with most
-    heads = rows.groupBy("band", "value").agg(F.max(F.struct("company", "rep"))["rep"].alias("head"))
+    heads = stored(rows.groupBy("band", "value").agg(F.max(F.struct("company", "rep"))["rep"].alias("head")), "heads")
     pairs = rows.join(heads, ["band", "value"]).filter("rep <> head").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
     parts = stored(components(stored(confirm(stored(pairs, "pairs"), sets, percent), "links")), "parts")
     now = rows.filter("n > 2").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     now = stored(now.select("band", "value", "rep", "component"), "labelled")
-    mixed = now.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "value")
+    mixed = stored(now.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "value"), "mixed")
     still = stored(now.join(mixed, ["band", "value"]).groupBy(F.col("rep").alias("doc_id")).agg(F.first("component").alias("component")), "open")
     rest = stored(confirm(stored(rest_pairs(stored(sets.join(still, "doc_id"), "open-sets"), percent), "rest"), sets, percent), "rest-links")
     if rest.limit(1).count():
