@@ -500,6 +500,18 @@ def test_repeated_runs_are_boilerplate():
     assert extract.main_texts([f"<article>{p}</article>" for p in pages])[0].startswith("all of our shops")
 
 
+def test_repetition_decides_where_no_article_holds_the_bulk():
+    rng = random.Random(16)
+    own = [words(rng, 40, 100_000) for _ in range(4)]
+    teaser = "<article><p>read our big summer story now</p></article>"
+    pages = [f"<div><p>{t}</p></div>{teaser}" for t in own]
+    assert extract.main_texts(pages) == own  # not the teaser alone, and not the teaser either
+    assert extract.main_texts(pages[:1]) == [own[0] + "\n\nread our big summer story now"]
+    mixed = [f"<p>{t}. (All of our shops are open.) \"{t[::-1]}\"</p>" for t in own]  # runs are cut, not blocks
+    assert extract.main_texts(mixed) == [f'{t}. "{t[::-1]}"' for t in own]
+    assert extract.main_texts([f"<article>{own[k]}</article><p>short note {k}</p>" for k in range(4)]) == own
+
+
 def test_repeated_words_equal_plain_search():
     rng = np.random.default_rng(15)
     for _ in range(20):
