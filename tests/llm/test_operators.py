@@ -512,6 +512,19 @@ def test_repetition_decides_where_no_article_holds_the_bulk():
     assert extract.main_texts([f"<article>{own[k]}</article><p>short note {k}</p>" for k in range(4)]) == own
 
 
+def test_repetition_is_that_of_the_whole_host(spark, monkeypatch):
+    rng = random.Random(17)
+    own = [words(rng, 40, 100_000) for _ in range(60)]
+    shared = [words(rng, 12, 100_000) for _ in range(30)]  # each on two pages of the host only
+    rows = [(i, "http://h/", f"<p>{t}</p><p>{shared[i % 30]}</p>") for i, t in enumerate(own)]
+    rows += [(100, "http://h/copy", rows[0][2]), (101, "http://h/copy", rows[0][2]), (102, "http://other/", rows[1][2]), (103, "http://h/", f"<article>{own[2]}</article>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = Counter((i, t) for i, t in enumerate(own) if i != 2) + Counter({(100, own[0]): 1, (101, own[0]): 1, (102, f"{own[1]}\n\n{shared[1]}"): 1, (103, own[2]): 1, (2, ""): 1})
+    for size in (extract.SHARD_BYTES, 1000):
+        monkeypatch.setattr(extract, "SHARD_BYTES", size)
+        assert counted(extract.extract_pages(df, "page_id", "url", "html"), "page_id", "text") == want
+
+
 def test_repeated_words_equal_plain_search():
     rng = np.random.default_rng(15)
     for _ in range(20):
