@@ -26,8 +26,11 @@ BITS, FACTORS = 18, 4
 #: The machine is fitted on about so many labelled rows at most (a bounded sample).
 TRAIN_ROWS = 12_000
 #: A term is learned if so many of the sampled rows have it and the log-likelihood ratio of its
-#: association with the label is so large; rarer words would only let the machine remember rows.
+#: association with the label is so large, by itself or together with another term; other words would
+#: only let the machine remember rows.
 LEAST_ROWS, LEAST_RATIO = 5, 15.0
+#: Pairs are counted between blocks of so many terms.
+PAIR_BLOCK = 1024
 EPOCHS, RATE, DECAY_WEIGHT, DECAY_FACTOR = 200, 0.3, 5e-5, 1e-3
 
 
@@ -73,6 +76,52 @@ def associated(with_1: np.ndarray, with_any: np.ndarray, ones: float, n: float)
     return 2 * sum(np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0) for o, e in cells)
 
 
+def paired(lists: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The terms of the pairs that are associated with the label beyond both parts.
+
+    Among the rows of each of the two terms the other must be associated with the label. The ratio
+    asked for grows with the number of pairs for each term, so that chance lets no more pairs pass than
+    terms. Terms whose rows' labels have too little entropy for any ratio that high are left out first.
+    """
+    common = np.flatnonzero(seen >= LEAST_ROWS)
+    share = toxic[common] / seen[common]
+    highest = -2 * seen[common] * (share * np.log(np.maximum(share, 1e-9)) + (1 - share) * np.log(np.maximum(1 - share, 1e-9)))
+    least = LEAST_RATIO
+    candidates = common[highest >= least]
+    least += 2 * np.log(max(1.0, len(candidates) * (len(candidates) - 1) / 2 / max(1, len(common))))
+    candidates = common[highest >= least]
+    place = np.full(len(seen), -1, np.int64)
+    place[candidates] = np.arange(len(candidates))
+    at = place[np.concatenate(lists)]
+    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])[at >= 0]
+    order = np.argsort(at[at >= 0], kind="stable")
+    rows, at = rows[order], at[at >= 0][order]
+    cuts = np.searchsorted(at, np.arange(0, len(candidates) + PAIR_BLOCK, PAIR_BLOCK))
+
+    def block(k: int) -> np.ndarray:
+        part = slice(cuts[k], cuts[k + 1])
+        out = np.zeros((min(PAIR_BLOCK, len(candidates) - k * PAIR_BLOCK), len(lists)), np.float32)
+        out[at[part] - k * PAIR_BLOCK, rows[part]] = 1
+        return out
+
+    n, ones = seen[candidates].astype(np.float64), toxic[candidates].astype(np.float64)
+    chosen = np.zeros(len(candidates), bool)
+    weight = labels.astype(np.float32)
+    for i in range(len(cuts) - 1):
+        left = block(i)
+        for j in range(i, len(cuts) - 1):
+            right = block(j)
+            a, b = (np.arange(k * PAIR_BLOCK, k * PAIR_BLOCK + len(x)) for k, x in ((i, left), (j, right)))
+            both, both_1 = left @ right.T, (left * weight) @ right.T
+            x, y = np.nonzero((both >= LEAST_ROWS) & (a[:, None] < b[None, :]))
+            both, both_1, a, b = both[x, y].astype(np.float64), both_1[x, y].astype(np.float64), a[x], b[y]
+            high = associated(both_1, both, ones[a], n[a]) >= least
+            both, both_1, a, b = both[high], both_1[high], a[high], b[high]
+            high = associated(both_1, both, ones[b], n[b]) >= least
+            chosen[a[high]] = chosen[b[high]] = True
+    return candidates[chosen]
+
+
 def fit_machine(lists: list[np.ndarray], labels: np.ndarray) -> Machine:
     """Fits by AdaGrad over all rows at once; reruns give the same machine."""
     size, positive = 1 << BITS, float(labels.mean()) if len(labels) else 0.0
@@ -83,7 +132,8 @@ def fit_machine(lists: list[np.ndarray], labels: np.ndarray) -> Machine:
     every = np.concatenate(lists)
     seen = np.bincount(every, minlength=size)
     toxic = np.bincount(every, np.repeat(labels, [len(x) for x in lists]), size)
-    vocabulary = np.flatnonzero((seen >= LEAST_ROWS) & (associated(toxic, seen, float(labels.sum()), float(len(labels))) >= LEAST_RATIO))
+    alone = np.flatnonzero((seen >= LEAST_ROWS) & (associated(toxic, seen, float(labels.sum()), float(len(labels))) >= LEAST_RATIO))
+    vocabulary = np.union1d(alone, paired(lists, labels, seen, toxic))
     place = np.full(size, -1, np.int64)
     place[vocabulary] = np.arange(len(vocabulary))
     flat = place[every]

@@ -329,6 +329,24 @@ def test_machine_learns_a_pair():
     assert raw(score(11, 22)) - raw(score(11)) - raw(score(22)) + raw(score()) > 1  # more than the parts add up to
 
 
+def test_machine_learns_a_pair_of_terms_harmless_alone():
+    rng = random.Random(18)
+    lists, labels = [], []
+    for _ in range(4000):  # with 11 and 22 together toxic, with one of them never, with neither one in ten
+        a, b = rng.random() < 0.1, rng.random() < 0.1
+        lists.append(np.array(sorted({t for t, on in ((11, a), (22, b)) if on} | {rng.randrange(100, 2000) for _ in range(30)}), np.int64))
+        labels.append(float(a and b or not a and not b and rng.random() < 0.1))
+    labels = np.array(labels)
+    seen = np.bincount(np.concatenate(lists), minlength=1 << toxicity.BITS)
+    toxic = np.bincount(np.concatenate(lists), np.repeat(labels, [len(x) for x in lists]), 1 << toxicity.BITS)
+    alone = toxicity.associated(toxic, seen, labels.sum(), float(len(labels)))
+    assert max(alone[11], alone[22]) < toxicity.LEAST_RATIO
+    assert set(toxicity.paired(lists, labels, seen, toxic)) == {11, 22}
+    machine = toxicity.fit_machine(lists, labels)
+    score = lambda *terms: machine.scores(np.array(terms, np.int64), np.array([0, len(terms)]))[0]
+    assert score(11, 22) > 0.5 and max(score(11), score(22), score()) < 0.2
+
+
 def test_toxicity_scores(spark, awkward, empty):
     rng = random.Random(9)
     docs, labels = [], []
