@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,17 +47,75 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage and outlives executors."""
     spark = df.sparkSession
+    ship(spark)
     path = path or new_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    with small_batches(spark):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that an operator writes on its way, in one folder of the shared one, so that they can be deleted."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.paths = spark, new_path(spark, name), []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(f"{self.folder}/{len(self.paths)}-{name}")
+        return stored(df, name, self.paths[-1])
+
+    def clear(self, *kept: str) -> None:
+        """Deletes all tables but those of the names kept, which the operator's result still reads."""
+        for path in self.paths:
+            if path.rpartition("/")[2].partition("-")[2] not in kept:
+                delete_path(self.spark, path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+# -- Python workers --------------------------------------------------------------------------------
+
+#: Bytes of a batch that a Python worker gets at a time while a table is written.
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts reach Python workers in batches of BATCH_BYTES: ten thousand of them could fill a worker."""
+    before = spark.conf.get(_BATCHES)
+    spark.conf.set(_BATCHES, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCHES, before)
+
+
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def _released(batches):
+    """The batches; then freed memory goes back to the machine, as the worker waits for other tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow, by workers that have this package and hand back their memory."""
+    ship(df.sparkSession)
+    return df.mapInArrow(lambda batches: _released(function(batches)), schema)
+
+
 def crc_remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of doc_id as text, modulo divisor (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor

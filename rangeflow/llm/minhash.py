@@ -16,9 +16,11 @@ outside its most frequent component against all. No bucket or candidate is cappe
 the links between documents that share a band, none is lost. Two documents of similarity 0.8 share
 none of the 32 bands about three times in a million.
 
+Links are between rows: repeated and null ids don't join or part what their texts say.
+
 Defined cases: a null text, or one without words, has the empty set and links with nothing; fewer
-than n words are one shingle; equal rows are one class; a null id is never the smallest while its
-class has another; an empty table gives an empty result; only the named columns are read.
+than n words are one shingle; equal texts are one class; a null id is never the smallest while its
+component has another; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, mix64, read_table, stored, text_blocks, word_hashes
+from .common import NON_SPACE, Scratch, map_arrow, mix64, read_table, stored, text_blocks, word_hashes
 
 BINS, ROWS = 160, 5
 BANDS = BINS // ROWS
@@ -72,32 +74,33 @@ def bands(values: np.ndarray) -> np.ndarray:
 
 
 def _sets(batch: pa.RecordBatch, n: int):
-    ids = batch.column(0)
-    for lo, hi, raw, offs in text_blocks(batch.column(1)):
+    """(rows of a block, their sets, their classes): a class is named by a digest of the set, null if that is empty."""
+    for lo, hi, raw, offs in text_blocks(batch.column("text")):
         hashes, first = word_hashes(raw, offs, NON_SPACE)
-        yield ids.slice(lo, hi - lo), [shingles(hashes[first[i] : first[i + 1]], n) for i in range(hi - lo)]
+        sets = [shingles(hashes[first[i] : first[i + 1]], n) for i in range(hi - lo)]
+        yield batch.slice(lo, hi - lo), sets, pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
 
 
 def _signatures(batches, n: int):
     for batch in batches:
-        for ids, sets in _sets(batch, n):
+        for rows, sets, classes in _sets(batch, n):
             full = [s for s in sets if len(s)]
             offsets = np.zeros(len(sets) + 1, np.int32)
             offsets[1:] = np.cumsum([BANDS if len(s) else 0 for s in sets])
             flat = np.concatenate([bands(s) for s in full]).view(np.int64) if full else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                ["doc_id", "n_shingles", "class", "bands"],
+                [rows.column("row"), rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), classes, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                ["row", "doc_id", "n_shingles", "class", "bands"],
             )
 
 
 def _members(batches, n: int):
     for batch in batches:
-        for ids, sets in _sets(batch, n):
+        for _, sets, classes in _sets(batch, n):
             offsets = np.zeros(len(sets) + 1, np.int32)
             offsets[1:] = np.cumsum([len(s) for s in sets])
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "set"])
+            yield pa.RecordBatch.from_arrays([classes, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["class", "set"])
 
 
 def _prefixes(batches, frequencies, percent: int):
@@ -118,38 +121,39 @@ def _prefixes(batches, frequencies, percent: int):
         owner = np.concatenate(owners)
         sizes = np.diff(bounds).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(owner)), batch.column("component").take(pa.array(owner)), pa.array(sizes[owner]), pa.array(np.concatenate(places).astype(np.int64)), pa.array(np.concatenate(tokens))],
-            ["doc_id", "component", "size", "place", "token"],
+            [batch.column("node").take(pa.array(owner)), batch.column("component").take(pa.array(owner)), pa.array(sizes[owner]), pa.array(np.concatenate(places).astype(np.int64)), pa.array(np.concatenate(tokens))],
+            ["node", "component", "size", "place", "token"],
         )
 
 
-def rest_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) among sets(doc_id, set, component): every pair of different components and the similarity is there."""
+def rest_pairs(sets: DataFrame, percent: int, save=stored) -> DataFrame:
+    """Candidates (a, b) among sets(node, set, component): every pair of different components and the similarity is there."""
     spark = sets.sparkSession
     slots = sets.select(F.explode("set").alias("token")).groupBy(F.col("token").bitwiseAND(COUNTERS - 1).alias("slot")).agg(F.count("*").alias("n")).toArrow()
     table = np.zeros(COUNTERS, np.int64)
     table[slots["slot"].to_numpy()] = slots["n"].to_numpy()
     frequencies = spark.sparkContext.broadcast(table)
-    rows = stored(sets.mapInArrow(lambda it: _prefixes(it, frequencies, percent), "doc_id bigint, component bigint, size bigint, place bigint, token bigint"), "prefixes")
+    rows = save(map_arrow(sets, lambda it: _prefixes(it, frequencies, percent), "node bigint, component bigint, size bigint, place bigint, token bigint"), "prefixes")
+    frequencies.destroy()
     parts = rows.groupBy("token", "component").agg(F.count("*").alias("n"))
-    mixed = stored(parts.groupBy("token").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("token", "main"), "mixed-tokens")
-    outside = stored(rows.join(mixed, "token").filter("component <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "component", "size", "place")]), "outside")
+    mixed = save(parts.groupBy("token").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("token", "main"), "mixed-tokens")
+    outside = save(rows.join(mixed, "token").filter("component <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "component", "size", "place")]), "outside")
     room = F.least(F.col("size_a") - F.col("place_a"), F.col("size") - F.col("place"))
     close = (F.col("component") != F.col("component_a")) & (room * (100 + percent) >= (F.col("size") + F.col("size_a")) * percent)
     met = rows.alias("r").join(outside.alias("o"), (F.col("r.token") == F.col("o.token")) & close)
-    return met.select(F.least("doc_id", "doc_id_a").alias("a"), F.greatest("doc_id", "doc_id_a").alias("b")).distinct()
+    return met.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of pairs whose full sets have 100 x intersection >= percent x union."""
     # a set moves once for each of its few centres; a hot centre's rows can be split
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     both = both.withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
     return both.filter(F.col("common") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("common")) * percent).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, save=stored) -> DataFrame:
     """(node, component) of the nodes of edges(a, b): component is the smallest node reachable.
 
     Alternates large stars and small stars (each node's larger neighbours, then its smaller ones, are
@@ -163,13 +167,13 @@ def components(edges: DataFrame) -> DataFrame:
             return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v")
 
-    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    now = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     mark = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = star(both, True).distinct()
         small = star(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False).distinct()
-        now = stored(small, "edges")
+        now = save(small, "edges")
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(new) == mark:
             break
@@ -178,46 +182,65 @@ def components(edges: DataFrame) -> DataFrame:
     return parts.union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(parts: DataFrame, links: DataFrame, save) -> DataFrame:
     """parts with the components joined that links connect."""
     of = lambda side: parts.select(F.col("node").alias(side), F.col("component").alias(f"part_{side}"))
     named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
-    joined = stored(components(named), "joined")
+    joined = save(components(named, save), "joined")
     known = parts.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left")
     known = known.select("node", F.coalesce("whole", "component").alias("component"))
     return known.unionByName(joined).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs."""
-    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    signed = stored(texts.mapInArrow(lambda it: _signatures(it, n), "doc_id bigint, n_shingles bigint, class binary, bands array<bigint>"), "signatures")
-    classes = stored(signed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
-    # one signature for each representative: the join key has no hot values; equal rows are alike
-    reps = signed.join(classes, (signed["class"] == classes["class"]) & signed["doc_id"].eqNullSafe(classes["rep"])).select("rep", "bands").filter("rep is not null").dropDuplicates(["rep"])
+def near_duplicates(docs: DataFrame, id_col: str, text_col: str, n: int = 5, percent: int = 80, row_col: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, row, first_row) for every row of docs.
+
+    row is row_col, which must differ from row to row, or else a number given here. first_row is the
+    row that stands for the component, one of those with the smallest doc_id.
+    """
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    save = scratch.stored
+    row = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
+    texts = docs.select(row.alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    signed = save(map_arrow(texts, lambda it: _signatures(it, n), "row bigint, doc_id bigint, n_shingles bigint, class binary, bands array<bigint>"), "signatures")
+    # a class is represented by one of its rows with the smallest id
+    one = F.coalesce(F.min_by("row", "doc_id"), F.min("row"))
+    classes = save(signed.filter("class is not null").groupBy("class").agg(one.alias("rep"), F.min("doc_id").alias("rep_id")), "classes")
+    # one signature for each representative: the join key has no hot values
+    reps = signed.join(classes, (signed["class"] == classes["class"]) & (signed["row"] == classes["rep"])).select("rep", "bands")
     rows = reps.select("rep", F.posexplode("bands").alias("band", "value"))
     # a table of each bucket's facts is stored before it is joined, so that the rows of a hot bucket can be split
-    sizes = stored(rows.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-    rows = stored(rows.join(sizes, ["band", "value"]), "shared-buckets")
+    sizes = save(rows.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    rows = save(rows.join(sizes, ["band", "value"]), "shared-buckets")
     # a document in the midst of its copies shares its buckets with most of them: the best centre
-    rows = stored(rows.join(rows.groupBy("rep").agg(F.sum("n").alias("company")), "rep"), "bucket-rows")
-    wanted = stored(rows.select(F.col("rep").alias("doc_id")).distinct(), "in-buckets")
-    sets = stored(texts.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: _members(it, n), "doc_id bigint, set array<bigint>").dropDuplicates(["doc_id"]), "sets")
+    rows = save(rows.join(rows.groupBy("rep").agg(F.sum("n").alias("company")), "rep"), "bucket-rows")
+    wanted = save(rows.select("rep").distinct().join(classes, "rep"), "in-buckets")
+    # texts of the representatives' ids; their class tells the representatives' own from others with the id
+    near = texts.join(wanted.select(F.col("rep_id").alias("doc_id")).distinct().withColumnRenamed("doc_id", "rep_id"), F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
+    members = map_arrow(near.select("text"), lambda it: _members(it, n), "class binary, set array<bigint>")
+    sets = save(members.join(wanted, "class").select(F.col("rep").alias("node"), "set").dropDuplicates(["node"]), "sets")
     # the centre of a bucket: the member that shares its buckets with most
-    heads = stored(rows.groupBy("band", "value").agg(F.max(F.struct("company", "rep"))["rep"].alias("head")), "heads")
+    heads = save(rows.groupBy("band", "value").agg(F.max(F.struct("company", "rep"))["rep"].alias("head")), "heads")
     pairs = rows.join(heads, ["band", "value"]).filter("rep <> head").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
-    parts = stored(components(stored(confirm(stored(pairs, "pairs"), sets, percent), "links")), "parts")
+    parts = save(components(save(confirm(save(pairs, "pairs"), sets, percent), "links"), save), "parts")
     now = rows.filter("n > 2").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    now = stored(now.select("band", "value", "rep", "component"), "labelled")
-    mixed = stored(now.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "value"), "mixed")
-    still = stored(now.join(mixed, ["band", "value"]).groupBy(F.col("rep").alias("doc_id")).agg(F.first("component").alias("component")), "open")
-    rest = stored(confirm(stored(rest_pairs(stored(sets.join(still, "doc_id"), "open-sets"), percent), "rest"), sets, percent), "rest-links")
+    now = save(now.select("band", "value", "rep", "component"), "labelled")
+    mixed = save(now.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "value"), "mixed")
+    still = save(now.join(mixed, ["band", "value"]).groupBy(F.col("rep").alias("node")).agg(F.first("component").alias("component")), "open")
+    rest = save(confirm(save(rest_pairs(save(sets.join(still, "node"), "open-sets"), percent, save), "rest"), sets, percent), "rest-links")
     if rest.limit(1).count():
-        parts = stored(_merged(parts, rest), "merged")
-    named = signed.select("doc_id", "n_shingles", "class").join(classes, "class", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    return named.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+        parts = save(_merged(parts, rest, save), "merged")
+    # a component's name is its smallest id
+    named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = save(named.select("class", "component", "rep", "rep_id"), "classes-in-components")
+    names = named.groupBy("component").agg(F.min("rep_id").alias("component_id"), F.coalesce(F.min_by("rep", "rep_id"), F.min("rep")).alias("first_row"))
+    verdicts = save(named.select("class", "component").join(names, "component").select("class", "component_id", "first_row"), "verdicts")
+    scratch.clear("signatures", "verdicts")
+    out = signed.select("row", "doc_id", "n_shingles", "class").join(verdicts, "class", "left")
+    alone = F.col("class").isNull()
+    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row", F.when(alone, F.col("row")).otherwise(F.col("first_row")).alias("first_row"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read_table(spark, sf_dir, "documents"), "doc_id", "text", n=2)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

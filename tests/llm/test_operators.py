@@ -206,7 +206,7 @@ def test_links_that_no_centre_has_are_found(spark):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame, "doc_id", "text", 2).collect()} == plain_components(rows, 2)
     sets = [(i, [hash((w, "s")) for w in dict.fromkeys(t.split())], i % 7) for i, t in rows]
-    got = {tuple(r) for r in minhash.rest_pairs(spark.createDataFrame(sets, "doc_id bigint, set array<bigint>, component bigint"), 80).collect()}
+    got = {tuple(r) for r in minhash.rest_pairs(spark.createDataFrame(sets, "node bigint, set array<bigint>, component bigint"), 80).collect()}
     for a, left, part in sets:
         for b, right, other in sets[:a]:
             if part != other and 100 * len({*left} & {*right}) >= 80 * len({*left} | {*right}):
@@ -220,6 +220,19 @@ def test_near_duplicates_awkward_rows(awkward, empty):
     assert minhash.near_duplicates(empty, "doc_id", "text", 2).count() == 0
 
 
+def test_links_hold_between_rows_not_ids(spark):
+    rng = random.Random(23)
+    x, y = words(rng, 60, 3000), words(rng, 60, 3000)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = minhash.near_duplicates(frame([(1, x), (1, y), (2, x + " end"), (3, "start " + y), (4, "alone")]), "doc_id", "text", 2)
+    assert counted(got, "doc_id", "component_id") == Counter({(1, 1): 2, (2, 1): 1, (3, 1): 1, (4, 4): 1})
+    got = minhash.near_duplicates(frame([(None, x), (5, x + " end"), (None, y), (None, "start " + y)]), "doc_id", "text", 2)
+    assert counted(got, "doc_id", "component_id") == Counter({(None, 5): 1, (5, 5): 1, (None, None): 2})
+    repeated = frame([(1, x)] * 5 + [(2, x)] + [(None, y)] * 3 + [(7, None)] * 2)
+    got = minhash.near_duplicates(repeated, "doc_id", "text")
+    assert Counter(r["doc_id"] for r in got.filter("row = first_row").collect()) == Counter({1: 1, None: 1, 7: 2})
+
+
 def test_densified_bins_agree_with_the_similarity():
     rng = np.random.default_rng(6)
     agree = []
