@@ -11,8 +11,9 @@ No source is sorted as a whole: a histogram over the ranking variable finds the
 target is reached, and only that bucket's documents are ordered.
 
 Defined cases: a null or blank text has size 0 and takes 0; the null source is one source, last in
-order; equal rows (same id, same text) are separate documents with one rank, ties end by id, then
-size; an empty table gives an empty result; only the named columns are read.
+order; rows with one id (or none) share one random number, ties end by size; of rows equal in all of
+these as many are taken as fit, whichever they are; an empty table gives an empty result; only the
+named columns are read.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stored, unit_hash
+from .common import Scratch, read_table, unit_hash
 
 #: Weights by a source's place in code-point order, the mix's size, most copies.
 WEIGHTS, SHARE, MOST_COPIES = (5, 2, 1), 1.5, 2
 SEED = "pareto-mix"
+#: The order in which documents are drawn.
+KEY = ("place", "doc_id", "size")
 
 
 def word_count(text):
@@ -41,13 +44,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     at the first source that stays within its own cap, from where on the shares only fall.
     """
     sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
-    sums.createOrReplaceTempView("rangeflow_mix_sums")
     choice = " ".join(f"when {i} then {w}" for i, w in enumerate(weights))
     # windows over one row for each source
     return sizes.sparkSession.sql(f"""
         with ranked as (
             select *, case (row_number() over (order by source is null, source) - 1) % {len(weights)} {choice} end as weight
-            from rangeflow_mix_sums),
+            from {{sums}}),
         filled as (
             select *, sum({most} * source_size) over w - {most} * source_size as capped_before,
                    sum(weight) over () - sum(weight) over w + weight as weight_left,
@@ -61,24 +63,28 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
             select *, max(case when level <= own then level end) over () as final from levels)
         select source, source_size, documents,
                case when own <= coalesce(final, own) then cast({most} * source_size as double) else final * weight end as target
-        from chosen""")
+        from chosen""", sums=sums)
 
 
-def mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, carry...) for every row of docs."""
-    rows = stored(
-        docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size")), "mix-sizes"
-    )
+def mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = SEED, row_col: str | None = None) -> DataFrame:
+    """(row, doc_id, source, size, source_size, target, copies) for every row of docs.
+
+    row is row_col, a number that differs from row to row, or else a number given here.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    save = scratch.stored
+    row = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
+    rows = save(docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size")), "sizes")
     sources = source_targets(rows, weights, share, most)
     sources = sources.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     sources = sources.withColumn("whole", F.floor("ratio")).withColumn("p", F.col("ratio") - F.col("whole"))
     sources = sources.withColumn("goal", F.col("target") - F.col("whole") * F.col("source_size"))
-    sources = stored(sources, "mix-sources")
+    sources = save(sources, "sources")
     most_docs = sources.agg(F.max("documents")).first()[0] or 1
     buckets = 1 << min(20, max(4, math.ceil(math.log2(max(1, most_docs) / 500 + 1))))
     u = unit_hash(F.col("doc_id"), seed=seed)
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    ranked = rows.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.doc_id", "r.source", "r.size", "s.source_size", "s.target", "s.whole", "s.p", "s.goal")
+    ranked = rows.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.row", "r.doc_id", "r.source", "r.size", "s.source_size", "s.target", "s.whole", "s.p", "s.goal")
     # odds in (0, inf) to a place in (0, 1); nothing is drawn where p is 0
     ranked = ranked.withColumn("place", F.when(F.col("p") > 0, odds / (1 + odds)))
     ranked = ranked.withColumn("bucket", F.least(F.floor(F.col("place") * buckets), F.lit(buckets - 1)))
@@ -87,26 +93,36 @@ def mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights=WE
     hist = drawn.groupBy("source", "bucket", "goal").agg(F.sum("size").alias("words"))
     hist = hist.withColumn("upto", F.expr("sum(words) over (partition by source order by bucket rows unbounded preceding)"))
     cut = hist.filter("upto > goal").groupBy("source").agg(F.min("bucket").alias("cut"), F.min_by(F.col("upto") - F.col("words"), "bucket").alias("before"))
-    cut = stored(cut, "mix-cut")
+    cut = save(cut, "cut")
     edge = drawn.alias("d").join(cut.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.bucket") == F.col("c.cut"))).select("d.*", "c.before")
-    edge = edge.withColumn("run", F.expr("before + sum(size) over (partition by source order by place, doc_id, size rows unbounded preceding)"))
-    # the first document that no longer fits ends the order; its key splits the source in two
-    last = edge.filter("run > goal").groupBy("source").agg(
-        F.min(F.struct("place", "doc_id", "size")).alias("stop"), F.min_by(F.col("run") - F.col("size"), F.struct("place", "doc_id", "size")).alias("sum")
-    )
-    last = stored(last, "mix-last")
-    joined = ranked.alias("d").join(last.alias("l"), F.col("d.source").eqNullSafe(F.col("l.source")), "left").select("d.*", "l.stop", "l.sum")
-    key = F.struct("place", "doc_id", "size")
-    joined = joined.withColumn("key", key).withColumn("inside", (F.col("p") > 0) & (F.col("stop").isNull() | (F.col("key") < F.col("stop"))))
-    # equal keys at the stop: those before it in the order are inside only as far as they fit
-    left = F.col("goal") - F.col("sum")
-    gain = left - F.abs(left - F.col("size"))
+    # rows with an equal key are one step of the order, however many there are
+    edge = edge.groupBy("source", "goal", "before", *KEY).agg(F.count("*").alias("n"))
+    edge = edge.withColumn("run", F.expr("before + sum(size * n) over (partition by source order by place, doc_id, size rows unbounded preceding)"))
+    # the first key whose rows no longer all fit ends the order
+    stop = F.struct(*KEY)
+    last = edge.filter("run > goal").groupBy("source", "goal").agg(F.min(stop).alias("stop"), F.min_by(F.col("run") - F.col("size") * F.col("n"), stop).alias("sum"))
+    last = last.withColumn("fits", F.floor((F.col("goal") - F.col("sum")) / F.col("stop.size")))
+    last = save(last.withColumn("left", F.col("goal") - F.col("sum") - F.col("fits") * F.col("stop.size")).drop("goal"), "last")
+    joined = ranked.alias("d").join(last.alias("l"), F.col("d.source").eqNullSafe(F.col("l.source")), "left").select("d.*", "l.stop", "l.fits", "l.left")
+    joined = joined.withColumn("inside", (F.col("p") > 0) & (F.col("stop").isNull() | (F.struct(*KEY) < F.col("stop"))))
+    gain = F.col("left") - F.abs(F.col("left") - F.col("size"))
     outside = joined.filter("p > 0 and stop is not null and not inside").filter(gain > 0)
-    filler = outside.groupBy("source").agg(F.max_by(F.col("key"), F.struct(gain.alias("g"), (-F.col("place")).alias("o"), (-F.coalesce("doc_id", F.lit(0))).alias("i"))).alias("filler"))
-    filler = stored(filler, "mix-filler")
-    out = joined.alias("d").join(filler.alias("f"), F.col("d.source").eqNullSafe(F.col("f.source")), "left").select("d.*", "f.filler")
-    extra = F.col("inside") | F.coalesce(F.col("key") == F.col("filler"), F.lit(False))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.when(extra, 1).otherwise(0)).cast("int").alias("copies"))
+    filler = outside.groupBy("source").agg(F.min(F.struct((-gain).alias("g"), *KEY)).alias("filler")).select("source", *[F.col(f"filler.{c}").alias(c) for c in KEY], F.lit(1).cast("bigint").alias("take"))
+    # at most two keys of each source of which only some rows are taken
+    partly = last.select("source", *[F.col(f"stop.{c}").alias(c) for c in KEY], F.col("fits").alias("take")).unionByName(filler)
+    partly = save(partly.groupBy("source", *KEY).agg(F.sum("take").alias("take")), "partly")
+    same = F.col("d.source").eqNullSafe(F.col("t.source")) & F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.place") == F.col("t.place")) & (F.col("d.size") == F.col("t.size"))
+    marked = joined.alias("d").join(partly.alias("t"), same, "left").select("d.*", "t.take")
+    tied = marked.filter("take is not null").withColumn("block", F.shiftright("row", 33))
+    # their rows are numbered within blocks, and the blocks' sizes summed up
+    upto = save(tied.groupBy("source", *KEY, "block").agg(F.count("*").alias("n")), "tied").withColumn("upto", F.expr("sum(n) over (partition by source, place, doc_id, size order by block) - n"))
+    upto = save(upto.select("source", *KEY, "block", "upto"), "tied-blocks")
+    tied = tied.withColumn("number", F.expr("row_number() over (partition by source, place, doc_id, size, block order by row)"))
+    same = same & (F.col("d.block") == F.col("t.block"))
+    tied = tied.alias("d").join(upto.alias("t"), same).select("d.*", "t.upto").withColumn("inside", F.col("number") + F.col("upto") <= F.col("take"))
+    columns = ["row", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.when(F.col("inside"), 1).otherwise(0)).cast("int").alias("copies")]
+    scratch.clear("sizes", "sources", "last", "partly", "tied-blocks")
+    return marked.filter("take is null").select(*columns).unionByName(tied.select(*columns))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +131,8 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = f"""
-with sized as (
-    select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
+with sized as materialized (
+    select row_number() over () as rid, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
            (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
     from documents),
 ranked as (
@@ -135,23 +151,18 @@ targets as (
 rates as (select *, case when source_size > 0 then target / source_size else 0.0 end as ratio from targets),
 parts as (select *, floor(ratio)::bigint as whole, ratio - floor(ratio) as p, target - floor(ratio) * source_size as goal from rates),
 odds as (
-    select d.doc_id, d.source, d.size, s.source_size, s.target, s.whole, s.p, s.goal,
+    select d.rid, d.doc_id, d.source, d.size, s.source_size, s.target, s.whole, s.p, s.goal,
            case when s.p > 0 then (d.u / (1 - d.u)) / (s.p / (1 - s.p)) end as odds
     from sized d join parts s on d.source is not distinct from s.source),
 runs as (
     select *, sum(size) over (partition by source order by odds / (1 + odds), doc_id, size rows unbounded preceding) as run,
            odds / (1 + odds) as place from odds),
-stops as (select source, min(case when run > goal then row(place, doc_id, size) end) as stop,
-                 max(case when run <= goal then run end) as fits from runs where p > 0 group by source),
 marked as (
-    select r.*, p > 0 and (stop is null or row(place, doc_id, size) < stop) as inside, stop,
-           (goal - coalesce(fits, 0)) - abs((goal - coalesce(fits, 0)) - size) as gain
-    from runs r left join stops t on r.source is not distinct from t.source),
+    select *, p > 0 and run <= goal as inside, goal - coalesce(max(case when run <= goal then run end) over (partition by source), 0) as room from runs),
 fillers as (
-    select source, place, doc_id, size from marked where p > 0 and stop is not null and not inside and gain > 0
-    qualify row_number() over (partition by source order by gain desc, place, doc_id) = 1)
-select m.doc_id, m.size, m.source_size, m.target,
-       (m.size * (m.whole + case when m.inside or f.doc_id is not null then 1 else 0 end))::bigint as taken
-from marked m left join fillers f
-  on m.source is not distinct from f.source and m.place = f.place and m.doc_id is not distinct from f.doc_id and m.size = f.size
+    select rid from marked where p > 0 and not inside and room - abs(room - size) > 0
+    qualify row_number() over (partition by source order by room - abs(room - size) desc, place, doc_id nulls first, size) = 1)
+select doc_id, size, source_size, target,
+       (size * (whole + case when inside or rid in (select rid from fillers) then 1 else 0 end))::bigint as taken
+from marked
 """
