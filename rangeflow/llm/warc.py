@@ -5,9 +5,12 @@ which is checked when it is read. headers: for each record its exact header byte
 payload. Records are rebuilt by joining the two; the first page with a payload is a response, the
 others revisit it. export_text() writes the same records as WARC text for other readers.
 
-Defined cases: a null html is the empty payload; a null page_id is written as an empty id and sorts
-first; equal rows (same id and payload) are one response and, for each further copy, a revisit of
-that same page; an empty table gives empty tables; only the named columns are read.
+A record's id is its page's id and a number of the archive, so that equal rows differ in it.
+
+Defined cases: a null html is the empty payload; a null url is about:blank; a null page_id is written
+as an empty id and sorts first; equal rows (same id and payload) are one response and, for each
+further copy, a revisit of that same page; an empty table gives empty tables; only the named columns
+are read.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 #: Payloads shorter than this are stored as responses even when they repeat.
 LEAST_REVISIT_BYTES = 0
+#: The capture time written where none is given.
+NO_DATE = "1970-01-01T00:00:00Z"
 
 
 def base32_of_hex(digest: Column) -> Column:
@@ -31,16 +36,17 @@ def base32_of_hex(digest: Column) -> Column:
     return F.translate(F.upper(F.concat(*groups)), DIGITS32, BASE32)
 
 
-def _header() -> Column:
+def _header(date: str) -> Column:
     revisit = F.col("record_type") == "revisit"
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
-    ident = lambda c: F.concat(F.lit("<urn:rangeflow:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+    ident = lambda page, number: F.concat(F.lit("<urn:rangeflow:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), number.cast("string"), F.lit(">"))
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", ident(F.col("page_id"))),
-        line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")),
-        F.when(revisit, line("WARC-Refers-To", ident(F.col("refers_to")))).otherwise(F.lit("")),
+        line("WARC-Record-ID", ident(F.col("page_id"), F.col("number"))),
+        line("WARC-Date", F.lit(date)),
+        line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\r\n]", "")),
+        F.when(revisit, line("WARC-Refers-To", ident(F.col("first_id"), F.col("first_number")))).otherwise(F.lit("")),
         F.when(revisit, line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1_base32"))),
         line("Content-Type", F.lit("text/html")),
@@ -48,30 +54,24 @@ def _header() -> Column:
     )
 
 
-def write_archive(pages: DataFrame, id_col: str, url_col: str, html_col: str, folder: str, least: int = LEAST_REVISIT_BYTES) -> None:
+def write_archive(pages: DataFrame, id_col: str, url_col: str, html_col: str, folder: str, least: int = LEAST_REVISIT_BYTES, date: str = NO_DATE) -> None:
     """Writes folder/headers and folder/payloads."""
     rows = pages.select(
         F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary").alias("payload")
     ).withColumn("key", F.sha2("payload", 256))
-    meta = stored(rows.select("page_id", "url", "key", F.octet_length("payload").cast("bigint").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("sha1_base32")), "warc-meta")
+    meta = rows.select("page_id", "url", "key", F.octet_length("payload").cast("bigint").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("sha1_base32"))
+    meta = stored(meta.withColumn("number", F.monotonically_increasing_id()), "warc-meta")
     # struct order: a null id first, then the smallest
-    first = meta.groupBy("key").agg(F.min(F.struct("page_id")).alias("first"), F.count("*").alias("records"))
-    first = stored(first.select("key", F.col("first.page_id").alias("first_id"), "records"), "warc-first")
+    first = meta.groupBy("key").agg(F.min(F.struct("page_id", "number")).alias("first"), F.count("*").alias("records"))
+    first = stored(first.select("key", F.col("first.page_id").alias("first_id"), F.col("first.number").alias("first_number"), "records"), "warc-first")
     # one payload row for each key: joined on (key, id), which has no hot values, and made distinct where it stands
     ident = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("id")
     kept = rows.select("key", ident("page_id"), "payload").join(first.select("key", ident("first_id")), ["key", "id"]).dropDuplicates(["key", "id"])
     kept.select("key", "payload").write.option("compression", "zstd").parquet(f"{folder}/payloads")
-    repeats = first.filter("records > 1").select("key", "first_id", F.lit(True).alias("repeated"))
-    joined = meta.join(repeats, "key", "left").withColumn("repeated", F.col("repeated").isNotNull() & (F.col("payload_bytes") >= least))
-    # equal rows can share the first id: one of them is the response
-    holds = F.col("repeated") & F.col("first_id").eqNullSafe(F.col("page_id"))
-    twice = joined.filter(holds).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.lit(True).alias("twice"))
-    joined = joined.join(twice, "key", "left").withColumn("twice", F.col("twice").isNotNull() & holds)
-    rank = F.expr("row_number() over (partition by key order by url)")
-    both = joined.filter("not twice").withColumn("again", F.lit(1)).unionByName(joined.filter("twice").withColumn("again", rank))
-    revisit = F.col("repeated") & (~F.col("first_id").eqNullSafe(F.col("page_id")) | (F.col("again") > 1))
-    both = both.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_id")))
-    both.select("page_id", "key", _header().cast("binary").alias("header")).write.parquet(f"{folder}/headers")
+    joined = meta.join(first.filter("records > 1").select("key", "first_id", "first_number"), "key", "left")
+    revisit = F.col("first_number").isNotNull() & (F.col("first_number") != F.col("number")) & (F.col("payload_bytes") >= least)
+    joined = joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
+    joined.select("page_id", "key", _header(date).cast("binary").alias("header")).write.parquet(f"{folder}/headers")
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,7 +95,7 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
     write_archive(read_table(spark, sf_dir, "pages"), "page_id", "url", "html", folder)
     records = read_archive(spark, folder)
-    number = lambda c: F.regexp_extract(c, r"page:(-?\d+)>", 1)
+    number = lambda c: F.regexp_extract(c, r"page:(-?\d+):\d+>", 1)
     return records.select(
         "page_id", F.octet_length("payload").cast("bigint").alias("payload_bytes"),
         F.regexp_replace(header_field("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
