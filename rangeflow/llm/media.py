@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stored
+from .common import map_arrow, read_table, stored
 
 #: Payloads are padded with PAD to squares of SIDE x SIDE samples, one below the other.
 SIDE, PAD, LOW = 24, 255, 8
@@ -53,10 +53,10 @@ def filter_rows(image: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def encode_png(payload: bytes, width: int = SIDE, adaptive: bool = False) -> bytes:
+def encode_png(payload: bytes, width: int = SIDE, adaptive: bool = True) -> bytes:
     """payload, a positive multiple of width long, as an 8-bit greyscale PNG.
 
-    adaptive chooses a filter for each row, as suits pictures; text packs better without one.
+    adaptive chooses a filter for each row by the least sum of signed sizes; else rows have none.
     """
     image = np.frombuffer(payload, np.uint8).reshape(-1, width)
     head = struct.pack(">IIBBBBB", width, image.shape[0], 8, 0, 0, 0, 0)
@@ -75,8 +75,9 @@ def encode_png(payload: bytes, width: int = SIDE, adaptive: bool = False) -> byt
 def unfilter(rows: np.ndarray) -> np.ndarray:
     """The image from rows of a filter type and filtered bytes, one byte a pixel.
 
-    Runs of rows without a filter are copied, "sub" rows are running sums, "up" adds the row above;
-    "average" and "paeth" depend on the pixel to the left and go pixel by pixel.
+    Rows without a filter are copied, "sub" rows are running sums along the row, runs of "up" rows
+    running sums down the columns; "average" and "paeth" depend on the pixel to the left and go pixel
+    by pixel.
     """
     kinds, data = rows[:, 0], rows[:, 1:]
     if kinds.max(initial=0) > 4:
@@ -85,10 +86,13 @@ def unfilter(rows: np.ndarray) -> np.ndarray:
     sub = kinds == 1
     image[sub] = np.cumsum(data[sub], axis=1, dtype=np.uint8)
     zero = np.zeros(data.shape[1], np.uint8)
-    for y in np.flatnonzero(kinds >= 2):
+    up = np.concatenate([[False], kinds == 2, [False]])
+    first, behind = np.flatnonzero(up[1:] & ~up[:-1]), np.flatnonzero(up[:-1] & ~up[1:])
+    ends = dict(zip(first.tolist(), behind.tolist(), strict=True))
+    for y in np.flatnonzero((kinds > 2) | (up[1:-1] & ~up[:-2])).tolist():
         above = image[y - 1] if y else zero
         if kinds[y] == 2:
-            image[y] = data[y] + above
+            image[y : ends[y]] = np.cumsum(data[y : ends[y]], axis=0, dtype=np.uint8) + above
             continue
         left = corner = 0
         line, up = data[y].tolist(), above.tolist()
@@ -202,12 +206,12 @@ def _features(batches):
 def store_media(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n_bytes, media): the texts' bytes as PNG, in a written table."""
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return stored(rows.mapInArrow(_encode, _SCHEMA), "media")
+    return stored(map_arrow(rows, _encode, _SCHEMA), "media")
 
 
 def media_features(media: DataFrame) -> DataFrame:
     """Reads (doc_id, n_bytes, media) back: payload digests and the perceptual hash of each image."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, _FEATURES)
+    return map_arrow(media.select("doc_id", "n_bytes", "media"), _features, _FEATURES)
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
