@@ -19,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTERS, crc_remainder, read_table, text_blocks, unit_hash, word_bounds
+from .common import LETTERS, crc_remainder, map_arrow, read_table, text_blocks, unit_hash, word_bounds
 
 BITS = 16
 #: Documents of each language that the model is fitted on, at most about so many (a bounded sample).
 TRAIN_DOCUMENTS = 3000
 SMOOTHING = 0.5
 FIRST_STEPS, MORE_STEPS = 10, 5
-MOST_LANGUAGES = 512
+#: A model of more languages (256 KiB each) is refused rather than cut: it would not fit beside a worker's batches.
+MOST_LANGUAGES = 2048
 
 
 def trigrams(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,15 +63,18 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int =
     """(languages, log likelihoods of shape buckets x languages) from the rows of docs with a language.
 
     At most about `most` documents a language, drawn by a hash of their id, are read. The counts are
-    one array of fixed length for each language.
+    one array of fixed length for each language. All languages are learned; over MOST_LANGUAGES of
+    them are a ValueError.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values: learn groups of languages apart")
     if not sizes:
         return [], np.zeros((1 << BITS, 0), np.float32)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, most / n))])
     sample = rows.filter(unit_hash(F.col("doc_id"), seed="langid") < share[F.col("lang")])
-    counts = sample.select("lang", "text").mapInArrow(_count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = map_arrow(sample.select("lang", "text"), _count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     lists = counts.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).collect()
     langs = sorted(r["lang"] for r in lists)
     table = np.zeros((1 << BITS, len(langs)))
@@ -159,15 +163,17 @@ def _predict(batches, model):
 def predict(docs: DataFrame, id_col: str, text_col: str, langs: list[str], table: np.ndarray) -> DataFrame:
     """(doc_id, lang_pred, score, mixture): the largest proportion, its language and all proportions.
 
-    The model is broadcast: 4 bytes x 2**BITS x languages, of which there are MOST_LANGUAGES at most.
+    The model is broadcast: 4 bytes x 2**BITS x languages, which fit() bounds.
     """
     model = docs.sparkSession.sparkContext.broadcast((langs, table))
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(lambda it: _predict(it, model), "doc_id bigint, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
+    return map_arrow(rows, lambda it: _predict(it, model), "doc_id bigint, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
 
 
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = crc_remainder(F.col("doc_id"), 4) == 2
     langs, table = fit(docs.filter(~held_out), "doc_id", "text", "lang")
-    return predict(docs, "doc_id", "text", langs, table).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    share = lambda x: F.concat_ws(":", x["lang"], F.round(x["share"], 4).cast("string"))
+    mixture = F.array_join(F.transform("mixture", share), ",").alias("mixture")
+    return predict(docs, "doc_id", "text", langs, table).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", mixture)
