@@ -28,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, delete_path, hash_spans, new_path, read_table, stored, text_blocks, word_bounds
+from .common import NON_SPACE, delete_path, hash_spans, map_arrow, new_path, read_table, stored, text_blocks, word_bounds
 
 #: Chunk sizes in ids: at least, on average beyond that (a power of two), at most; rolling window.
 LEAST, AVERAGE, MOST, ROLL = 64, 256, 2048, 8
-#: Words whose ids a worker keeps; the cache starts anew when it is full.
-CACHED_WORDS = 700_000
+#: Words whose ids a worker keeps, and their bytes; when it has more, only the last run's stay.
+CACHED_WORDS, CACHED_BYTES = 200_000, 64
 DIGEST = 32
 #: Marks that the vocabulary's pattern separates from a letter before them.
 MARKS = b".,;:!?|%&$*#"
@@ -122,8 +122,6 @@ def encode_texts(texts: list[str | None], path: str, end_id: int) -> list[bytes]
 def _word_ids(words: set[bytes], path: str) -> dict[bytes, bytes]:
     """Each word's ids. Marks behind a letter are tokens of their own, so words differing in them share the encoding."""
     cache, code = _cache(path), _CODES[id_type(path)]
-    if len(cache) > CACHED_WORDS:
-        cache.clear()
     missing, cores, split = words.difference(cache), [], set()
     for word in missing:
         core = word.rstrip(MARKS)
@@ -151,7 +149,14 @@ def _word_ids(words: set[bytes], path: str) -> dict[bytes, bytes]:
     encoded = _tokenizer(path).encode_batch_fast(others, add_special_tokens=False)
     cache.update(zip([w.encode("utf-8", "surrogatepass") for w in others], [array(code, e.ids).tobytes() for e in encoded], strict=True))
     cache.update([(word, cache[core] + cache[word[len(core) :]]) for word, core in cores])
-    return dict(zip(words, map(cache.__getitem__, words), strict=True))
+    known = dict(zip(words, map(cache.__getitem__, words), strict=True))
+    if len(cache) > CACHED_WORDS:
+        cache.clear()
+        cache.update(known)
+    for word in missing | split:
+        if len(word) > CACHED_BYTES:
+            cache.pop(word, None)
+    return known
 
 
 def cut_points(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
@@ -248,7 +253,7 @@ def write_store(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str
     spark = docs.sparkSession
     texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     staged = new_path(spark, "encoded")
-    coded = texts.mapInArrow(lambda it: _encode(it, tokenizer_path, end_id), _STAGE)
+    coded = map_arrow(texts, lambda it: _encode(it, tokenizer_path, end_id), _STAGE)
     coded.write.option("compression", "zstd").parquet(staged)
     stage = spark.read.schema(coded.schema).parquet(staged)
     place = F.posexplode(F.expr(f"transform(sequence(1, length(digests), {DIGEST}), i -> substring(digests, i, {DIGEST}))")).alias("place", "digest")
@@ -264,7 +269,7 @@ def write_store(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str
     )
     size = np.dtype(id_type(tokenizer_path)).itemsize
     rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "rid").sortWithinPartitions("doc_id", "rid", "kind")
-    rows.mapInArrow(lambda it: _pack(it, size), _PACK).write.option("compression", "zstd").parquet(folder)
+    map_arrow(rows, lambda it: _pack(it, size), _PACK).write.option("compression", "zstd").parquet(folder)
     delete_path(spark, staged)
 
 
@@ -312,7 +317,7 @@ def read_store(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     fetched = wanted.join(chunks, "digest").groupBy("rid").agg(F.collect_list(F.struct("place", "chunk")).alias("fetched"))
     whole = docs.filter("length(shared) = 0").withColumn("fetched", F.lit(None).cast("array<struct<place:int,chunk:binary>>"))
     joined = docs.filter("length(shared) > 0").join(fetched, "rid")
-    rebuilt = whole.unionByName(joined).drop("rid", "shared").mapInArrow(lambda it: _verify(it, kind), "doc_id bigint, part int, before bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    rebuilt = map_arrow(whole.unionByName(joined).drop("rid", "shared"), lambda it: _verify(it, kind), "doc_id bigint, part int, before bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
     # a row for each partition of the store
     parts = docs.groupBy("part").agg(F.sum("n_tokens").alias("ids_of"))
     parts = stored(parts.select("part", F.expr("coalesce(sum(ids_of) over (order by part rows between unbounded preceding and 1 preceding), 0)").alias("earlier")), "store-parts")
