@@ -7,7 +7,7 @@ machine is fitted by AdaGrad on a bounded sample of labelled rows.
 
 Defined cases: null and empty texts score by the bias alone; without training rows of both labels
 every score is the share of label 1, or 0; rows with a null label are not learned from; a document
-with several label rows is learned from each; equal rows get equal scores; an empty table gives an
+with both labels is learned from with each; equal rows get equal scores; an empty table gives an
 empty table; only the named columns are read.
 """
 
@@ -20,18 +20,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTERS, crc_remainder, read_table, segment_sums, text_blocks, unit_hash, word_hashes
+from .common import LETTERS, crc_remainder, map_arrow, read_table, segment_sums, stored, text_blocks, unit_hash, word_hashes
 
 BITS, FACTORS = 18, 4
-#: The machine is fitted on about so many labelled rows at most (a bounded sample).
-TRAIN_ROWS = 12_000
+#: The machine is fitted on about so many labelled rows with about so many terms at most (a bounded sample).
+TRAIN_ROWS, TRAIN_TERMS = 12_000, 8_000_000
 #: A term is learned if so many of the sampled rows have it and the log-likelihood ratio of its
 #: association with the label is so large, by itself or together with another term; other words would
 #: only let the machine remember rows.
 LEAST_ROWS, LEAST_RATIO = 5, 15.0
-#: Pairs are counted between blocks of so many terms.
-PAIR_BLOCK = 1024
-EPOCHS, RATE, DECAY_WEIGHT, DECAY_FACTOR = 200, 0.3, 5e-5, 1e-3
+#: Pairs are counted in tables of about so many cells; rows with more terms than LONG_ROW are counted by matrix products.
+PAIR_CELLS, LONG_ROW, LONG_ROWS = 4 << 20, 512, 1024
+EPOCHS, RATE, RATE_FACTOR, DECAY_WEIGHT, DECAY_FACTOR = 200, 0.3, 0.08, 5e-5, 3e-4
 
 
 @dataclass
@@ -64,10 +64,10 @@ def terms_of(raw: np.ndarray, offs: np.ndarray, useful: np.ndarray | None = None
 
 def _features(batches):
     for batch in batches:
-        for lo, hi, raw, offs in text_blocks(batch.column(1)):
+        for lo, hi, raw, offs in text_blocks(batch.column(0)):
             terms, bounds = terms_of(raw, offs)
             data = [terms[bounds[i] : bounds[i + 1]].astype("<i4").tobytes() for i in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(data, pa.binary())], ["doc_id", "label", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(data, pa.binary())], ["label", "terms"])
 
 
 def associated(with_1: np.ndarray, with_any: np.ndarray, ones: float, n: float) -> np.ndarray:
@@ -90,35 +90,46 @@ def paired(lists: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, toxic:
     candidates = common[highest >= least]
     least += 2 * np.log(max(1.0, len(candidates) * (len(candidates) - 1) / 2 / max(1, len(common))))
     candidates = common[highest >= least]
+    size = len(candidates)
     place = np.full(len(seen), -1, np.int64)
-    place[candidates] = np.arange(len(candidates))
+    place[candidates] = np.arange(size)
     at = place[np.concatenate(lists)]
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])[at >= 0]
-    order = np.argsort(at[at >= 0], kind="stable")
-    rows, at = rows[order], at[at >= 0][order]
-    cuts = np.searchsorted(at, np.arange(0, len(candidates) + PAIR_BLOCK, PAIR_BLOCK))
-
-    def block(k: int) -> np.ndarray:
-        part = slice(cuts[k], cuts[k + 1])
-        out = np.zeros((min(PAIR_BLOCK, len(candidates) - k * PAIR_BLOCK), len(lists)), np.float32)
-        out[at[part] - k * PAIR_BLOCK, rows[part]] = 1
-        return out
-
+    row_of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])[at >= 0]
+    at = at[at >= 0]
+    ends = np.searchsorted(row_of, np.arange(len(lists)), "right")
+    long = np.flatnonzero(np.bincount(row_of, minlength=len(lists)) > LONG_ROW)
+    is_long = np.zeros(len(lists), bool)
+    is_long[long] = True
+    order = np.argsort(at, kind="stable")
     n, ones = seen[candidates].astype(np.float64), toxic[candidates].astype(np.float64)
-    chosen = np.zeros(len(candidates), bool)
-    weight = labels.astype(np.float32)
-    for i in range(len(cuts) - 1):
-        left = block(i)
-        for j in range(i, len(cuts) - 1):
-            right = block(j)
-            a, b = (np.arange(k * PAIR_BLOCK, k * PAIR_BLOCK + len(x)) for k, x in ((i, left), (j, right)))
-            both, both_1 = left @ right.T, (left * weight) @ right.T
-            x, y = np.nonzero((both >= LEAST_ROWS) & (a[:, None] < b[None, :]))
-            both, both_1, a, b = both[x, y].astype(np.float64), both_1[x, y].astype(np.float64), a[x], b[y]
-            high = associated(both_1, both, ones[a], n[a]) >= least
-            both, both_1, a, b = both[high], both_1[high], a[high], b[high]
-            high = associated(both_1, both, ones[b], n[b]) >= least
-            chosen[a[high]] = chosen[b[high]] = True
+    chosen = np.zeros(size, bool)
+    step = max(1, PAIR_CELLS // max(1, size))
+    for lo in range(0, size, step):
+        hi = min(lo + step, size)
+        entries = order[np.searchsorted(at, lo, sorter=order) : np.searchsorted(at, hi, sorter=order)]
+        entries = entries[~is_long[row_of[entries]]]
+        later = ends[row_of[entries]] - entries - 1  # a row's terms are in order: each is paired with those behind it
+        partner = at[np.repeat(entries + 1 - (np.cumsum(later) - later), later) + np.arange(later.sum())]
+        keys = np.repeat((at[entries] - lo) * size, later) + partner
+        both = np.bincount(keys, minlength=(hi - lo) * size).reshape(hi - lo, size)
+        both_1 = np.bincount(keys[np.repeat(labels[row_of[entries]] == 1, later)], minlength=(hi - lo) * size).reshape(hi - lo, size)
+        for k in range(0, len(long), LONG_ROWS):
+            some = long[k : k + LONG_ROWS]
+            table = np.zeros((size, len(some)), np.float32)
+            for column, row in enumerate(some):
+                table[at[np.searchsorted(row_of, row) : ends[row]], column] = 1
+            toxic_rows = np.flatnonzero(labels[some] == 1)
+            both[:, lo:] += (table[lo:hi] @ table[lo:].T).astype(np.int64)
+            both_1[:, lo:] += (table[lo:hi, toxic_rows] @ table[lo:, toxic_rows].T).astype(np.int64)
+        a, b = np.nonzero(both >= LEAST_ROWS)
+        a, b = a[a + lo < b], b[a + lo < b]
+        pair, pair_1 = both[a, b].astype(np.float64), both_1[a, b].astype(np.float64)
+        a += lo
+        high = associated(pair_1, pair, ones[a], n[a]) >= least
+        a, b, pair, pair_1 = a[high], b[high], pair[high], pair_1[high]
+        high = associated(pair_1, pair, ones[b], n[b]) >= least
+        a, b = a[high], b[high]
+        chosen[a] = chosen[b] = True
     return candidates[chosen]
 
 
@@ -155,7 +166,7 @@ def fit_machine(lists: list[np.ndarray], labels: np.ndarray) -> Machine:
         g_v += d_v**2
         g_bias += d_b**2
         weights -= RATE * d_w / np.sqrt(g_w)
-        factors -= RATE / 10 * d_v / np.sqrt(g_v)
+        factors -= RATE_FACTOR * d_v / np.sqrt(g_v)
         bias -= RATE * d_b / g_bias**0.5
     blank.bias = bias
     blank.weights[vocabulary], blank.factors[vocabulary] = weights, factors
@@ -165,30 +176,50 @@ def fit_machine(lists: list[np.ndarray], labels: np.ndarray) -> Machine:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: Column, most: int = TRAIN_ROWS) -> Machine:
     """Learns label_col of labels (by id_col) from the texts of docs; learn says which doc_id may be used.
 
-    About `most` rows, drawn by a hash of their id, reach the driver as hashed terms.
+    About `most` rows and TRAIN_TERMS terms, drawn by hashes, reach the driver as hashed terms.
     """
-    marked = labels.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter(learn & F.col("label").isin(0, 1))
+    marked = labels.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter(learn & F.col("label").isin(0, 1)).distinct()
     share = min(1.0, most / max(1, marked.count()))
     marked = marked.filter(unit_hash(F.col("doc_id"), seed="toxicity") < share)
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    rows = texts.join(marked, "doc_id").select("doc_id", "text", "label").mapInArrow(_features, "doc_id bigint, label int, terms binary").orderBy("doc_id", "label", "terms").collect()
+    rows = map_arrow(texts.join(marked, "doc_id").select("text", "label"), _features, "label int, terms binary")
+    rows = stored(rows, "toxicity-rows")
+    n, terms = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("terms")), F.lit(0)) / 4).first()
+    share = min(1.0, most / max(1, n), TRAIN_TERMS / max(1, terms))  # ids can repeat, and texts can be long
+    rows = rows.filter(unit_hash(F.monotonically_increasing_id(), seed="toxicity-rows") < share).orderBy("label", "terms").collect()
     return fit_machine([np.frombuffer(r["terms"], "<i4").astype(np.int64) for r in rows], np.array([r["label"] for r in rows], np.float64))
 
 
-def _score(batches, shared):
+def _scored(batches, shared, column: int):
+    """(rows of a block, their scores)"""
     machine = shared.value
     useful = (machine.weights != 0) | machine.factors.any(axis=1)
     for batch in batches:
-        for lo, hi, raw, offs in text_blocks(batch.column(1)):
-            scores = machine.scores(*terms_of(raw, offs, useful))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(scores, pa.float64())], ["doc_id", "score"])
+        for lo, hi, raw, offs in text_blocks(batch.column(column)):
+            yield batch.slice(lo, hi - lo), machine.scores(*terms_of(raw, offs, useful))
+
+
+def _score(batches, shared):
+    for rows, scores in _scored(batches, shared, 1):
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+
+
+def _below(batches, shared, column: int, threshold: float):
+    for rows, scores in _scored(batches, shared, column):
+        yield rows.filter(pa.array(scores < threshold))
 
 
 def score(docs: DataFrame, id_col: str, text_col: str, machine: Machine) -> DataFrame:
     """(doc_id, score) for every row; the machine's broadcast has a fixed size, 2**BITS terms."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(lambda it: _score(it, shared), "doc_id bigint, score double")
+    return map_arrow(rows, lambda it: _score(it, shared), "doc_id bigint, score double")
+
+
+def without_toxic(docs: DataFrame, text_col: str, machine: Machine, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that score below the threshold; nothing is joined or shuffled."""
+    shared, column = docs.sparkSession.sparkContext.broadcast(machine), docs.columns.index(text_col)
+    return map_arrow(docs, lambda it: _below(it, shared, column, threshold), docs.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
