@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import contextlib
 import ctypes
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +46,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage and outlives executors."""
     spark = df.sparkSession
-    ship(spark)
     path = path or new_path(spark, name)
-    with small_batches(spark):
-        df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -79,20 +76,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 # -- Python workers --------------------------------------------------------------------------------
 
-#: Bytes of a batch that a Python worker gets at a time while a table is written.
+#: Bytes of the batches that Python workers get, unless the session sets its own.
 BATCH_BYTES = 4 << 20
 _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Texts reach Python workers in batches of BATCH_BYTES: ten thousand of them could fill a worker."""
-    before = spark.conf.get(_BATCHES)
-    spark.conf.set(_BATCHES, str(BATCH_BYTES))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCHES, before)
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes where they aren't: ten thousand long texts could fill a worker."""
+    if _BATCHES not in spark.conf.getAll:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
 
 
 @functools.cache
@@ -113,6 +105,7 @@ def _released(batches):
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """df.mapInArrow, by workers that have this package and hand back their memory."""
     ship(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.mapInArrow(lambda batches: _released(function(batches)), schema)
 
 

@@ -249,34 +249,47 @@ def _runs(covered: np.ndarray, row_of: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(covered & ~np.concatenate([[False], joined])), np.flatnonzero(covered & ~np.concatenate([joined, [False]])) + 1
 
 
-def _scan(batches, bench):
-    bench = bench.value
+def _searched(batches, bench: Benchmark, column: int):
+    """(rows of a block, word bounds of the rows, words, row of each word, occurrences of windows)"""
     for batch in batches:
-        for lo, hi, raw, offs in text_blocks(batch.column(2)):
+        for lo, hi, raw, offs in text_blocks(batch.column(column)):
             words, bounds = word_hashes(raw, offs, ALPHANUMERIC)
             row_of = np.repeat(np.arange(hi - lo), np.diff(bounds))
             found = [(np.zeros(0, np.int64),) * 3]
             for _, _, w0, w1 in _shards(bounds, bench.window - 1):
                 window, place, size = search(words[w0:w1], np.minimum(bounds[row_of[w0:w1] + 1], w1) - w0, bench)
                 found.append((window, place + w0, size))
-            window, place, size = (np.concatenate(x) for x in zip(*found, strict=True))
-            columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(bounds))]
-            if not len(place):
-                yield pa.RecordBatch.from_arrays([*columns, *[pa.array([[]] * (hi - lo), pa.list_(pa.int64()))] * 6], _NAMES)
-                continue
-            starts, ends = _runs(_covered(place, size, len(words)), row_of)
-            lists = np.unique(row_of[place] * len(bench.list_bounds) + bench.list_of[window])
-            which, texts = ragged(bench.texts_of, bench.list_bounds, lists % len(bench.list_bounds))
-            pairs = np.unique(lists[which] // len(bench.list_bounds) * len(bench.bounds) + texts)
-            which, item = ragged(np.arange(len(bench.ids)), bench.id_bounds, pairs % len(bench.bounds))
-            item_row = (pairs // len(bench.bounds))[which]
-            at, text, length = _matches(words, row_of, (window, place, size), bench)
-            as_lists = lambda rows, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(hi - lo + 1)).astype(np.int32)), values)
-            ids = lambda items: pa.array([bench.ids[i] for i in items.tolist()], pa.int64())
-            first = bounds[row_of[starts]]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, as_lists(row_of[starts], pa.array(starts - first)), as_lists(row_of[starts], pa.array(ends - first)), as_lists(item_row, ids(item)),
-                 as_lists(row_of[at], ids(bench.id_bounds[text])), as_lists(row_of[at], pa.array(at - bounds[row_of[at]])), as_lists(row_of[at], pa.array(length))], _NAMES)
+            yield batch.slice(lo, hi - lo), bounds, words, row_of, tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _scan(batches, bench):
+    bench = bench.value
+    for rows, bounds, words, row_of, (window, place, size) in _searched(batches, bench, 2):
+        n = rows.num_rows
+        columns = [rows.column(0), rows.column(1), pa.array(np.diff(bounds))]
+        if not len(place):
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array([[]] * n, pa.list_(pa.int64()))] * 6], _NAMES)
+            continue
+        starts, ends = _runs(_covered(place, size, len(words)), row_of)
+        lists = np.unique(row_of[place] * len(bench.list_bounds) + bench.list_of[window])
+        which, texts = ragged(bench.texts_of, bench.list_bounds, lists % len(bench.list_bounds))
+        pairs = np.unique(lists[which] // len(bench.list_bounds) * len(bench.bounds) + texts)
+        which, item = ragged(np.arange(len(bench.ids)), bench.id_bounds, pairs % len(bench.bounds))
+        item_row = (pairs // len(bench.bounds))[which]
+        at, text, length = _matches(words, row_of, (window, place, size), bench)
+        as_lists = lambda of, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), values)  # noqa: B023, E731
+        ids = lambda items: pa.array([bench.ids[i] for i in items.tolist()], pa.int64())
+        first = bounds[row_of[starts]]
+        yield pa.RecordBatch.from_arrays(
+            [*columns, as_lists(row_of[starts], pa.array(starts - first)), as_lists(row_of[starts], pa.array(ends - first)), as_lists(item_row, ids(item)),
+             as_lists(row_of[at], ids(bench.id_bounds[text])), as_lists(row_of[at], pa.array(at - bounds[row_of[at]])), as_lists(row_of[at], pa.array(length))], _NAMES)
+
+
+def _clean(batches, bench, column: int):
+    for rows, _, _, row_of, (_, place, _) in _searched(batches, bench.value, column):
+        keep = np.ones(rows.num_rows, bool)
+        keep[row_of[place]] = False
+        yield rows.filter(pa.array(keep))
 
 
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -331,6 +344,16 @@ def contamination(docs: DataFrame, id_col: str, text_col: str, items: DataFrame,
     )
 
 
+def without_hits(docs: DataFrame, text_col: str, items: DataFrame, item_text: str, window: int = WINDOW) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of the items occurs; nothing is joined or shuffled."""
+    spark, column, left = docs.sparkSession, docs.columns.index(text_col), None
+    for block in _blocks(items.select(F.lit(None).cast("bigint"), F.col(f"`{item_text}`")), BLOCK_TEXT_BYTES):
+        bench = spark.sparkContext.broadcast(Benchmark([b[0] for b in block], [b[1] for b in block], window))
+        docs = docs if left is None else stored(left, "clean")
+        left = map_arrow(docs, lambda it, b=bench: _clean(it, b, column), docs.schema)
+    return left
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(read_table(spark, sf_dir, "documents"), "doc_id", "text", read_table(spark, sf_dir, "benchmark"), "item_id", "text")
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: F.coalesce(x.cast("string"), F.lit("")))), ",")
