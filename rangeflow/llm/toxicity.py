@@ -29,8 +29,9 @@ TRAIN_ROWS, TRAIN_TERMS = 12_000, 8_000_000
 #: association with the label is so large, by itself or together with another term; other words would
 #: only let the machine remember rows.
 LEAST_ROWS, LEAST_RATIO = 5, 15.0
-#: Pairs are counted in tables of about so many cells; rows with more terms than LONG_ROW are counted by matrix products.
-PAIR_CELLS, LONG_ROW, LONG_ROWS = 4 << 20, 512, 1024
+#: Pairs are counted in tables of about so many cells and listed in runs of about as many; rows with
+#: more terms than LONG_ROW are counted by matrix products.
+PAIR_CELLS, LONG_ROW, LONG_ROWS = 2 << 20, 4096, 512
 EPOCHS, RATE, RATE_FACTOR, DECAY_WEIGHT, DECAY_FACTOR = 200, 0.3, 0.08, 5e-5, 3e-4
 
 
@@ -93,34 +94,40 @@ def paired(lists: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, toxic:
     size = len(candidates)
     place = np.full(len(seen), -1, np.int64)
     place[candidates] = np.arange(size)
-    at = place[np.concatenate(lists)]
-    row_of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])[at >= 0]
+    at = place[np.concatenate(lists)].astype(np.int32)
+    row_of = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])[at >= 0]
     at = at[at >= 0]
     ends = np.searchsorted(row_of, np.arange(len(lists)), "right")
     long = np.flatnonzero(np.bincount(row_of, minlength=len(lists)) > LONG_ROW)
     is_long = np.zeros(len(lists), bool)
     is_long[long] = True
     order = np.argsort(at, kind="stable")
+    cuts = np.searchsorted(at[order], np.arange(size + 1))
     n, ones = seen[candidates].astype(np.float64), toxic[candidates].astype(np.float64)
     chosen = np.zeros(size, bool)
     step = max(1, PAIR_CELLS // max(1, size))
     for lo in range(0, size, step):
         hi = min(lo + step, size)
-        entries = order[np.searchsorted(at, lo, sorter=order) : np.searchsorted(at, hi, sorter=order)]
+        entries = order[cuts[lo] : cuts[hi]]
         entries = entries[~is_long[row_of[entries]]]
         later = ends[row_of[entries]] - entries - 1  # a row's terms are in order: each is paired with those behind it
-        partner = at[np.repeat(entries + 1 - (np.cumsum(later) - later), later) + np.arange(later.sum())]
-        keys = np.repeat((at[entries] - lo) * size, later) + partner
-        both = np.bincount(keys, minlength=(hi - lo) * size).reshape(hi - lo, size)
-        both_1 = np.bincount(keys[np.repeat(labels[row_of[entries]] == 1, later)], minlength=(hi - lo) * size).reshape(hi - lo, size)
+        both, both_1 = np.zeros((hi - lo) * size, np.int32), np.zeros((hi - lo) * size, np.int32)
+        runs = np.cumsum(later) // PAIR_CELLS
+        for run in np.split(np.arange(len(entries)), np.flatnonzero(np.diff(runs)) + 1):
+            some, n_later = entries[run], later[run]
+            partner = at[np.repeat(some + 1 - (np.cumsum(n_later) - n_later), n_later) + np.arange(n_later.sum())]
+            keys = np.repeat((at[some].astype(np.int64) - lo) * size, n_later) + partner
+            both += np.bincount(keys, minlength=len(both)).astype(np.int32)
+            both_1 += np.bincount(keys[np.repeat(labels[row_of[some]] == 1, n_later)], minlength=len(both)).astype(np.int32)
+        both, both_1 = both.reshape(hi - lo, size), both_1.reshape(hi - lo, size)
         for k in range(0, len(long), LONG_ROWS):
             some = long[k : k + LONG_ROWS]
             table = np.zeros((size, len(some)), np.float32)
             for column, row in enumerate(some):
                 table[at[np.searchsorted(row_of, row) : ends[row]], column] = 1
             toxic_rows = np.flatnonzero(labels[some] == 1)
-            both[:, lo:] += (table[lo:hi] @ table[lo:].T).astype(np.int64)
-            both_1[:, lo:] += (table[lo:hi, toxic_rows] @ table[lo:, toxic_rows].T).astype(np.int64)
+            both[:, lo:] += (table[lo:hi] @ table[lo:].T).astype(np.int32)
+            both_1[:, lo:] += (table[lo:hi, toxic_rows] @ table[lo:, toxic_rows].T).astype(np.int32)
         a, b = np.nonzero(both >= LEAST_ROWS)
         a, b = a[a + lo < b], b[a + lo < b]
         pair, pair_1 = both[a, b].astype(np.float64), both_1[a, b].astype(np.float64)
@@ -186,8 +193,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     rows = stored(rows, "toxicity-rows")
     n, terms = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("terms")), F.lit(0)) / 4).first()
     share = min(1.0, most / max(1, n), TRAIN_TERMS / max(1, terms))  # ids can repeat, and texts can be long
-    rows = rows.filter(unit_hash(F.monotonically_increasing_id(), seed="toxicity-rows") < share).orderBy("label", "terms").collect()
-    return fit_machine([np.frombuffer(r["terms"], "<i4").astype(np.int64) for r in rows], np.array([r["label"] for r in rows], np.float64))
+    rows = rows.filter(unit_hash(F.monotonically_increasing_id(), seed="toxicity-rows") < share).orderBy("label", "terms").toArrow()
+    lists = [np.frombuffer(x.as_buffer(), "<i4") for x in rows["terms"]]
+    return fit_machine(lists, rows["label"].to_numpy().astype(np.float64))
 
 
 def _scored(batches, shared, column: int):
