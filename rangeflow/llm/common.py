@@ -47,7 +47,7 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -95,13 +95,18 @@ def _trim() -> Callable[[int], int]:
         return lambda _: 0
 
 
-def _released(batches):
-    """The batches; then freed memory goes back to the machine, as the worker waits for other tasks."""
-    yield from batches
+def release_memory() -> None:
+    """Gives memory that this process has freed back to the machine."""
     pa.default_memory_pool().release_unused()
     _trim()(0)
 
 
+def _released(batches):
+    """The batches; then memory is released, as the worker waits for other tasks."""
+    yield from batches
+    release_memory()
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """df.mapInArrow, by workers that have this package and hand back their memory."""
     ship(df.sparkSession)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, delete_path, hash_spans, map_arrow, new_path, read_table, stored, text_blocks, word_bounds
+from .common import NON_SPACE, Scratch, delete_path, hash_spans, map_arrow, new_path, read_table, stored, text_blocks, word_bounds
 
 #: Chunk sizes in ids: at least, on average beyond that (a power of two), at most; rolling window.
 LEAST, AVERAGE, MOST, ROLL = 64, 256, 2048, 8
@@ -252,17 +252,17 @@ def write_store(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str
     """Encodes docs into the store table at folder."""
     spark = docs.sparkSession
     texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    staged = new_path(spark, "encoded")
+    staged, scratch = new_path(spark, "encoded"), Scratch(spark, "store")
     coded = map_arrow(texts, lambda it: _encode(it, tokenizer_path, end_id), _STAGE)
     coded.write.option("compression", "zstd").parquet(staged)
     stage = spark.read.schema(coded.schema).parquet(staged)
     place = F.posexplode(F.expr(f"transform(sequence(1, length(digests), {DIGEST}), i -> substring(digests, i, {DIGEST}))")).alias("place", "digest")
-    places = stored(stage.select("rid", "doc_id", place), "places")
+    places = scratch.stored(stage.select("rid", "doc_id", place), "places")
     shared = places.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("first")).filter("n > 1").select("digest", "first")
     listed = places.join(shared, "digest").groupBy("doc_id", "rid").agg(
         F.collect_list("place").alias("places"), F.collect_list(F.when(F.struct("rid", "place") == F.col("first"), F.col("place"))).alias("owned")
     )
-    listed = stored(listed, "shared-places")
+    listed = scratch.stored(listed, "shared-places")
     empty = "array<int>"
     rows = listed.select(F.lit(0).alias("kind"), "rid", "doc_id", "places", "owned").unionByName(
         stage.withColumns({"kind": F.lit(1), "places": F.lit(None).cast(empty), "owned": F.lit(None).cast(empty)}), allowMissingColumns=True
@@ -271,6 +271,7 @@ def write_store(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str
     rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "rid").sortWithinPartitions("doc_id", "rid", "kind")
     map_arrow(rows, lambda it: _pack(it, size), _PACK).write.option("compression", "zstd").parquet(folder)
     delete_path(spark, staged)
+    scratch.clear()
 
 
 def _verify(batches, kind: str):

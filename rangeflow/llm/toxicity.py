@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTERS, crc_remainder, map_arrow, read_table, segment_sums, stored, text_blocks, unit_hash, word_hashes
+from .common import LETTERS, crc_remainder, map_arrow, read_table, release_memory, segment_sums, stored, text_blocks, unit_hash, word_hashes
 
 BITS, FACTORS = 18, 4
 #: The machine is fitted on about so many labelled rows with about so many terms at most (a bounded sample).
@@ -31,7 +31,7 @@ TRAIN_ROWS, TRAIN_TERMS = 12_000, 8_000_000
 LEAST_ROWS, LEAST_RATIO = 5, 15.0
 #: Pairs are counted in tables of about so many cells and listed in runs of about as many; rows with
 #: more terms than LONG_ROW are counted by matrix products.
-PAIR_CELLS, LONG_ROW, LONG_ROWS = 2 << 20, 4096, 512
+PAIR_CELLS, LONG_ROW, LONG_ROWS = 1 << 20, 4096, 512
 EPOCHS, RATE, RATE_FACTOR, DECAY_WEIGHT, DECAY_FACTOR = 200, 0.3, 0.08, 5e-5, 3e-4
 
 
@@ -147,16 +147,16 @@ def fit_machine(lists: list[np.ndarray], labels: np.ndarray) -> Machine:
     if positive in (0.0, 1.0):
         blank.bias = 40.0 if positive else -40.0
         return blank
-    every = np.concatenate(lists)
-    seen = np.bincount(every, minlength=size)
-    toxic = np.bincount(every, np.repeat(labels, [len(x) for x in lists]), size)
+    seen, toxic = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for terms, label in zip(lists, labels, strict=True):  # a row's terms differ
+        seen[terms] += 1
+        toxic[terms] += int(label)
     alone = np.flatnonzero((seen >= LEAST_ROWS) & (associated(toxic, seen, float(labels.sum()), float(len(labels))) >= LEAST_RATIO))
     vocabulary = np.union1d(alone, paired(lists, labels, seen, toxic))
     place = np.full(size, -1, np.int64)
     place[vocabulary] = np.arange(len(vocabulary))
-    flat = place[every]
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])[flat >= 0]
-    flat = flat[flat >= 0]
+    known = [place[x][place[x] >= 0] for x in lists]
+    flat, rows = np.concatenate(known), np.repeat(np.arange(len(lists)), [len(x) for x in known])
     bounds = np.searchsorted(rows, np.arange(len(lists) + 1))
     n = len(vocabulary)
     weights, factors = np.zeros(n), np.random.default_rng(5).normal(0, 0.01, (n, FACTORS))
@@ -194,8 +194,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     n, terms = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("terms")), F.lit(0)) / 4).first()
     share = min(1.0, most / max(1, n), TRAIN_TERMS / max(1, terms))  # ids can repeat, and texts can be long
     rows = rows.filter(unit_hash(F.monotonically_increasing_id(), seed="toxicity-rows") < share).orderBy("label", "terms").toArrow()
-    lists = [np.frombuffer(x.as_buffer(), "<i4") for x in rows["terms"]]
-    return fit_machine(lists, rows["label"].to_numpy().astype(np.float64))
+    machine = fit_machine([np.frombuffer(x.as_buffer(), "<i4") for x in rows["terms"]], rows["label"].to_numpy().astype(np.float64))
+    del rows
+    release_memory()
+    return machine
 
 
 def _scored(batches, shared, column: int):
