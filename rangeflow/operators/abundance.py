@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.containers import CountSet
 from ..plans.scans import block_scan, value_blocks
+from ..plans.tables import settle
 from ..shipping import ship
 
 #: Dispersion if none is known, and the prior count.
@@ -30,29 +31,29 @@ def one_group(y: np.ndarray, offsets: np.ndarray, dispersion: np.ndarray, steps:
     return beta
 
 
-def average_abundance(y: np.ndarray, sizes: np.ndarray, scale: np.ndarray, prior: float | np.ndarray, dispersion: float) -> np.ndarray:
+def average_abundance(y: np.ndarray, sizes: np.ndarray, scale: np.ndarray, prior: float | np.ndarray, dispersion: float | np.ndarray) -> np.ndarray:
     """log2 counts per million of rows of y, each divided by its scale: -inf at scale 0, NaN below."""
     prior = np.broadcast_to(np.asarray(prior, float), (len(y),))[:, None] * sizes / sizes.mean()
     ok = scale > 0
     safe = np.where(ok, scale, 1.0)
-    beta = one_group(y + safe[:, None] * prior, np.log(sizes + 2 * prior), np.full(len(y), float(dispersion)))
+    beta = one_group(y + safe[:, None] * prior, np.log(sizes + 2 * prior), np.broadcast_to(np.asarray(dispersion, float), (len(y),)))
     out = (beta - np.log(safe) + np.log(1e6)) / np.log(2)
     return np.where(ok, out, np.where(scale == 0, -np.inf, np.nan))
 
 
-def scaled_average(rows: DataFrame, sizes: list[float], scale: Column | float = 1.0, prior: Column | float = PRIOR, dispersion: float = DISPERSION, out: str = "abundance", y: str = "y") -> DataFrame:
-    """Adds the average abundance of column y, an array of counts in the order of sizes."""
+def scaled_average(rows: DataFrame, sizes: list[float], scale: Column | float = 1.0, prior: Column | float = PRIOR, dispersion: Column | float = DISPERSION, out: str = "abundance", y: str = "y") -> DataFrame:
+    """Adds the average abundance of column y, an array of counts in the order of sizes; scale, prior and dispersion may differ by row."""
     ship(rows.sparkSession)
     totals = np.array(sizes, float)
 
     @F.pandas_udf("double")
-    def fit(counts: pd.Series, scales: pd.Series, priors: pd.Series) -> pd.Series:
+    def fit(counts: pd.Series, scales: pd.Series, priors: pd.Series, dispersions: pd.Series) -> pd.Series:
         if not len(counts):
             return pd.Series([], dtype="float64")
-        return pd.Series(average_abundance(np.stack(counts.to_numpy()), totals, scales.to_numpy(float), priors.to_numpy(float), dispersion))
+        return pd.Series(average_abundance(np.stack(counts.to_numpy()), totals, *(x.to_numpy(float) for x in (scales, priors, dispersions))))
 
     as_column = lambda x: x if isinstance(x, Column) else F.lit(float(x))
-    return rows.withColumn(out, fit(F.col(y), as_column(scale).cast("double"), as_column(prior).cast("double")))
+    return rows.withColumn(out, fit(F.col(y), as_column(scale).cast("double"), as_column(prior).cast("double"), as_column(dispersion).cast("double")))
 
 
 def fragment_length(data: CountSet) -> int:
@@ -94,11 +95,11 @@ def _same_sizes(data: CountSet, back: CountSet) -> None:
 def filter_proportion(data: CountSet, axes: DataFrame, prior: float = PRIOR) -> DataFrame:
     """(range..., abundance, filter): the share of the genome's windows that are no more abundant."""
     names, sizes = library_sizes(data)
-    rows = scaled_average(data.matrix(names), sizes, prior=prior)
+    rows = settle(scaled_average(data.matrix(names), sizes, prior=prior))
     n, genome = rows.count(), genome_windows(axes, data.spacing)
-    ranked = average_rank(rows, "abundance", "rank")
+    ranked = average_rank(rows.withColumn("_tied", F.round("abundance", 9)), "_tied", "rank")  # equal but for rounding
     share = F.col("rank") / n if genome <= n else 1 + (F.col("rank") - n) / genome
-    return ranked.withColumn("filter", share.cast("double")).drop("rank", "y")
+    return ranked.withColumn("filter", share.cast("double")).drop("rank", "_tied", "y")
 
 
 def global_background(rows: DataFrame, axes: DataFrame, spacing: int, sizes: list[float], prior: float) -> float:
@@ -115,14 +116,14 @@ def global_background(rows: DataFrame, axes: DataFrame, spacing: int, sizes: lis
 def filter_global(data: CountSet, axes: DataFrame, background: CountSet | None = None, prior: float = PRIOR) -> DataFrame:
     """(range..., abundance, filter): log2 enrichment over the genome's typical window, or typical bin scaled to window width."""
     names, sizes = library_sizes(data)
-    rows = scaled_average(data.matrix(names), sizes, prior=prior)
+    rows = settle(scaled_average(data.matrix(names), sizes, prior=prior))
     if background is None:
         level = global_background(rows, axes, data.spacing, sizes, prior)
     else:
         _same_sizes(data, background)
         width = lambda d: d.ranges().agg(F.percentile(effective_width(F.col("start"), F.col("end"), fragment_length(d)), 0.5)).first()[0]
-        ratio = width(background) / width(data)
-        bins = scaled_average(background.matrix(names), sizes, scale=ratio, prior=prior)
+        ratio = (width(background) or 1.0) / (width(data) or 1.0)  # without ranges any ratio will do
+        bins = settle(scaled_average(background.matrix(names), sizes, scale=ratio, prior=prior))
         level = global_background(bins, axes, background.spacing, sizes, prior)
     return rows.withColumn("filter", F.col("abundance") - F.lit(level)).drop("y")
 

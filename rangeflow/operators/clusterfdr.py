@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +16,18 @@ from ..plans.scans import adjusted, block_scan, value_blocks
 from .clusters import cluster_extents, merge_windows
 from .stats import best_test, fold_columns, p_column, simes
 
-#: Fixed values of the grid search: half-range in logits, points, rounds, contraction, slack.
-HALF_RANGE, POINTS, ROUNDS, CONTRACTION, SLACK = 10.0, 21, 5, 4.0, 1.000001
+#: Fixed value: thresholds may exceed the target by rounding only.
+SLACK = 1.000001
+
+
+@dataclass(frozen=True)
+class Grid:
+    """The grid search for a threshold: half-range in logits, points, rounds, and how much the range shrinks a round."""
+
+    half_range: float = 10.0
+    points: int = 21
+    rounds: int = 5
+    contraction: float = 4.0
 
 
 def cluster_weights(ids: DataFrame, weight: str | None = None, within: tuple[str, ...] = ()) -> DataFrame:
@@ -48,20 +59,20 @@ def _expit(x: float) -> float:
     return 1 / (1 + math.exp(-x))
 
 
-def control_cluster_fdr(target: float, rows: DataFrame, adjp: str, cluster: Callable[[DataFrame, tuple[str, ...]], DataFrame], weight: str | None = None, batched: bool = True) -> tuple[float, float]:
+def control_cluster_fdr(target: float, rows: DataFrame, adjp: str, cluster: Callable[[DataFrame, tuple[str, ...]], DataFrame], weight: str | None = None, batched: bool = True, search: Grid = Grid()) -> tuple[float, float]:
     """(threshold, fdr): the window threshold whose cluster FDR is nearest to target, the largest of equals.
 
     cluster maps significant rows to rows with cluster_id. With batched it takes the rows of all grid
     points at once with a column grid to cluster apart, one job a round; otherwise it is called for
-    each point. The driver sees at most POINTS numbers a round.
+    each point. The driver sees at most search.points numbers a round.
     """
     spark = rows.sparkSession
-    centre, half, best = math.log(target / (1 - target)), HALF_RANGE, (target, 0.0)
+    centre, half, best = math.log(target / (1 - target)), search.half_range, (target, 0.0)
     kept = rows.persist()
     try:
-        for _ in range(ROUNDS):
-            step = 2 * half / (POINTS - 1)
-            points = [_expit(centre - half + i * step) for i in range(POINTS)]
+        for _ in range(search.rounds):
+            step = 2 * half / (search.points - 1)
+            points = [_expit(centre - half + i * step) for i in range(search.points)]
             points = [x for x in points if x <= target * SLACK]
             if not points:
                 break
@@ -77,13 +88,13 @@ def control_cluster_fdr(target: float, rows: DataFrame, adjp: str, cluster: Call
                     found[x] = cluster_fdr(cluster(kept.filter(F.col(adjp) <= x), ()), x, weight).first()["fdr"]
             level = max(points, key=lambda x: (-abs(found[x] - target), x))
             best = (level, found[level])
-            centre, half = math.log(level / (1 - level)), half / CONTRACTION
+            centre, half = math.log(level / (1 - level)), half / search.contraction
     finally:
         kept.unpersist()
     return best
 
 
-def cluster_windows(regions, tests: DataFrame, target: float | None = None, tol: int | None = None, p: str | None = None, fc: str | None = None, weight: str | None = None, **merge) -> tuple[DataFrame, DataFrame, float]:
+def cluster_windows(regions, tests: DataFrame, target: float | None = None, tol: int | None = None, p: str | None = None, fc: str | None = None, weight: str | None = None, search: Grid = Grid(), **merge) -> tuple[DataFrame, DataFrame, float]:
     """(windows with cluster_id, clusters, FDR): clusters of significant windows at a target cluster FDR.
 
     cluster_id is null for windows that aren't significant. With fc clusters keep the sign of the
@@ -106,7 +117,7 @@ def cluster_windows(regions, tests: DataFrame, target: float | None = None, tol:
     def cluster(chosen: DataFrame, within: tuple[str, ...]) -> DataFrame:
         return merge_windows(chosen, tol, "_sign" if fc else None, within=within, **merge)
 
-    level, fdr = control_cluster_fdr(target, rows, "_adj", cluster, weight)
+    level, fdr = control_cluster_fdr(target, rows, "_adj", cluster, weight, search=search)
     ids = cluster(rows.filter(F.col("_adj") <= level), ())
     out = df.join(ids.select("range_id", *keys, "cluster_id"), ["range_id", *keys], "left")
     return out, cluster_extents(ids), fdr

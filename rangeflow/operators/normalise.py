@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from ..params import warn
 from ..plans.containers import CountSet
+from ..plans.tables import settle
 from ..shipping import ship
 from .abundance import average_rank, library_sizes, scaled_average
 
 #: Fixed values of the trimmed mean: shares of log-ratios and of intensities cut at either end.
 TRIM_RATIO, TRIM_SUM = 0.3, 0.05
-#: The loess fit sees at most so many points of each library: means over ranges of the covariate.
-LOESS_POINTS = 4096
+#: The loess fit sees means over so many ranges of the covariate, at every size of the data; it is
+#: evaluated at so many knots of each library, between which it is linear.
+LOESS_CELLS, LOESS_KNOTS = 4096, 200
 
 
 def _long(data: CountSet, sizes: DataFrame | None) -> DataFrame:
@@ -23,9 +25,9 @@ def _long(data: CountSet, sizes: DataFrame | None) -> DataFrame:
     key = F.struct(*data.keys)
     if sizes is None:
         sizes = data.libraries.select("library", F.col("total").cast("double").alias("size"))
-    rows = data.counts.select(key.alias("range"), "library", "n")
+    rows = settle(data.counts.select(key.alias("range"), "library", "n"))
     grid = rows.groupBy("range").agg(F.sum("n").alias("all")).filter("all > 0").select("range").crossJoin(F.broadcast(sizes))  # every range has a count in each library
-    return grid.join(rows, ["range", "library"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("double"))
+    return settle(grid.join(rows, ["range", "library"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("double")))
 
 
 def _geometric(factors: DataFrame) -> DataFrame:
@@ -59,7 +61,7 @@ def tmm_factors(data: CountSet, sizes: DataFrame | None = None, weighted: bool =
     a, b = F.log2(F.col("n") / F.col("size")), F.log2(F.col("rn") / F.col("rs"))
     both = both.withColumns({"m": a - b, "a": (a + b) / 2, "v": (F.col("size") - F.col("n")) / F.col("size") / F.col("n") + (F.col("rs") - F.col("rn")) / F.col("rs") / F.col("rn")})
     # values equal but for rounding are ties
-    both = both.withColumns({"m": F.round("m", 12), "a": F.round("a", 12)})
+    both = settle(both.withColumns({"m": F.round("m", 12), "a": F.round("a", 12)}))
     ranked = average_rank(average_rank(both, "m", "rm", ("library",)), "a", "ra", ("library",))
     sums = both.groupBy("library").agg(F.count("*").alias("shared"), F.max(F.abs("m")).alias("most"))
     ranked = ranked.join(F.broadcast(sums), "library")  # a row for each library
@@ -74,8 +76,8 @@ def tmm_factors(data: CountSet, sizes: DataFrame | None = None, weighted: bool =
 METHODS = {"TMM": tmm_factors, "RLE": rle_factors, "upperquartile": upper_quartile_factors}
 
 
-def lowess(x: np.ndarray, y: np.ndarray, w: np.ndarray, at: np.ndarray, span: float = 0.3, rounds: int = 4) -> np.ndarray:
-    """Robust local linear fit of weighted points, evaluated at `at`."""
+def lowess(x: np.ndarray, y: np.ndarray, w: np.ndarray, span: float = 0.3, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Robust local linear fit of weighted points: knots along x, at their quantiles, and the fit there."""
     order = np.argsort(x, kind="stable")
     x, y, w = x[order], y[order], w[order]
     near = max(2, int(np.ceil(span * len(x))))
@@ -101,21 +103,21 @@ def lowess(x: np.ndarray, y: np.ndarray, w: np.ndarray, at: np.ndarray, span: fl
             out[i] = my + ((k * (x[s] - mx) * (y[s] - my)).sum() / var * (p - mx) if var > 1e-12 * total else 0)
         return out
 
-    knots = np.unique(np.quantile(x, np.linspace(0, 1, min(len(x), 200))))
+    knots = np.unique(np.quantile(x, np.linspace(0, 1, min(len(x), LOESS_KNOTS))))
     for _ in range(rounds - 1):
         residual = np.abs(y - np.interp(x, knots, fit(knots)))
         scale = 6 * np.median(residual)
         if scale < 1e-12:
             break
         robust = np.clip(1 - (residual / scale) ** 2, 0, None) ** 2
-    return np.interp(at, knots, fit(knots))
+    return knots, fit(knots)
 
 
 def loess_offsets(data: CountSet, span: float = 0.3) -> DataFrame:
     """(range keys, library, offset): trends of each library's log counts against the average, less the mean over libraries.
 
-    Each library's points are averaged into at most LOESS_POINTS ranges of the covariate before the
-    fit, so a group has bounded size; with fewer distinct abundances the fit sees every point.
+    Each library's points are averaged over LOESS_CELLS ranges of the covariate before the fit, so a
+    group has bounded size; each count's trend is read at its own covariate.
     """
     ship(data.counts.sparkSession)
     names, sizes = library_sizes(data)
@@ -123,20 +125,24 @@ def loess_offsets(data: CountSet, span: float = 0.3) -> DataFrame:
     rows = scaled_average(data.matrix(names), sizes, prior=0.5).withColumn("covariate", F.round(F.col("abundance") * float(np.log(2)), 9)).drop("abundance")
     points = F.arrays_zip(F.array(*map(F.lit, names)).alias("library"), F.col("y").alias("n"), F.array(*[F.lit(s) for s in sizes]).alias("size"))
     rows = rows.select(*data.keys, "covariate", F.explode(points).alias("p")).select(*data.keys, "covariate", "p.library", F.log(F.col("p.n") + 0.5 * F.col("p.size") / mean).alias("response"))
-    limits = rows.agg(F.min("covariate").alias("lo"), F.max("covariate").alias("hi"), F.approx_count_distinct("covariate").alias("n")).first()
+    rows = settle(rows)
+    limits = rows.agg(F.min("covariate").alias("lo"), F.max("covariate").alias("hi")).first()
     if limits["lo"] is None:
         return rows.withColumn("offset", F.col("response")).drop("covariate", "response")
-    step = (limits["hi"] - limits["lo"]) / LOESS_POINTS if limits["n"] > LOESS_POINTS / 2 else 0.0
-    cell = F.floor((F.col("covariate") - limits["lo"]) / step) if step else F.col("covariate")
-    cells = rows.groupBy("library", cell.alias("cell")).agg(F.avg("covariate").alias("x"), F.avg("response").alias("y"), F.count("*").cast("double").alias("w"))
+    step = (limits["hi"] - limits["lo"]) / LOESS_CELLS or 1.0
+    cells = rows.groupBy("library", F.floor((F.col("covariate") - limits["lo"]) / step).alias("cell"))
+    cells = cells.agg(F.avg("covariate").alias("x"), F.avg("response").alias("y"), F.count("*").cast("double").alias("w"))
 
     def trend(points: pd.DataFrame) -> pd.DataFrame:
-        x = points["x"].to_numpy()
-        return pd.DataFrame({"library": points["library"], "cell": points["cell"], "offset": lowess(x, points["y"].to_numpy(), points["w"].to_numpy(), x, span)})
+        knots, values = lowess(*(points[c].to_numpy() for c in "xyw"), span)
+        return pd.DataFrame({"library": points["library"].iloc[:1], "knots": [knots], "values": [values]})
 
-    kind = dict(cells.dtypes)["cell"]
-    fitted = cells.groupBy("library").applyInPandas(trend, f"library string, cell {kind}, offset double")
-    out = rows.withColumn("cell", cell).join(fitted, ["library", "cell"])
+    @F.pandas_udf("double")
+    def read(at: pd.Series, knots: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([np.interp(*p) for p in zip(at, knots, values, strict=True)], dtype="float64")
+
+    fitted = cells.groupBy("library").applyInPandas(trend, "library string, knots array<double>, values array<double>")
+    out = rows.join(F.broadcast(fitted), "library").withColumn("offset", read("covariate", "knots", "values"))  # a row of LOESS_KNOTS knots for each library
     return out.withColumn("offset", F.col("offset") - F.avg("offset").over(Window.partitionBy(*data.keys))).select(*data.keys, "library", "offset")
 
 
@@ -160,10 +166,16 @@ def normalize(data: CountSet, kind: str = "scaling", **kwargs) -> CountSet:
     return data.replace(counts=data.counts.join(found, [*data.keys, "library"], "left"))
 
 
-def model_tables(data: CountSet, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(wide counts with a column for each library, samples(library, lib_size, norm_factor)) for model packages."""
+def model_tables(data: CountSet, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(wide counts with a column for each library, samples(library, lib_size, norm_factor), wide offsets) for model packages.
+
+    The offsets are None unless the counts have them, as normalize(kind="loess") leaves them.
+    """
     names = [r[0] for r in data.libraries.select("library").orderBy("library").collect()]
     wide = data.counts.groupBy(*data.keys).pivot("library", names).agg(F.first("n")).fillna(0, names)
     factor = F.col("norm_factor") if "norm_factor" in data.libraries.columns else F.lit(1.0)
     samples = data.libraries.select("library", F.col("total").cast("double").alias("lib_size"), factor.alias("norm_factor"))
-    return wide, samples if sizes is None else samples.drop("lib_size").join(sizes.withColumnRenamed("size", "lib_size"), "library")
+    if sizes is not None:
+        samples = samples.drop("lib_size").join(sizes.withColumnRenamed("size", "lib_size"), "library")
+    offsets = data.counts.groupBy(*data.keys).pivot("library", names).agg(F.first("offset")) if "offset" in data.counts.columns else None
+    return wide, samples, offsets

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scans import adjusted, block_scan, value_blocks
+from ..plans.tables import settle
 
 #: Fixed value: log-fold changes beyond it count as up or down.
 FOLD = 0.5
@@ -31,7 +32,12 @@ def _prepared(tests: DataFrame, key: str, p: str, weight: str | None) -> DataFra
 
 
 def simes(tests: DataFrame, key: str = "cluster_id", p: str | None = None, fc=None, weight: str | None = None, row: str = "range_id", blocks: int = 1) -> DataFrame:
-    """(key, n, up/down counts of each fold column, p, fdr, direction) for each cluster.
+    """(key, n, up/down counts of each fold column, p, fdr, direction) for each cluster: combined() with p adjusted."""
+    return adjusted(combined(tests, key, p, fc, weight, row, blocks), "p", "fdr")
+
+
+def combined(tests: DataFrame, key: str = "cluster_id", p: str | None = None, fc=None, weight: str | None = None, row: str = "range_id", blocks: int = 1) -> DataFrame:
+    """simes() before the adjustment over clusters.
 
     p is the least p_(i) x total weight / weight up to i. direction (with one fold column) looks at
     the tests up to the first that attains it. Rows with a null key are left out. blocks > 1 cuts
@@ -57,7 +63,7 @@ def simes(tests: DataFrame, key: str = "cluster_id", p: str | None = None, fc=No
     if len(folds) == 1:
         up, down = F.count_if(leads & (F.col(folds[0]) > 0)) > 0, F.count_if(leads & (F.col(folds[0]) < 0)) > 0
         sums.append(F.when(up & ~down, "up").when(down & ~up, "down").otherwise("mixed").alias("direction"))
-    return adjusted(rows.groupBy(key).agg(*sums), "p", "fdr")
+    return rows.groupBy(key).agg(*sums)
 
 
 def best_test(tests: DataFrame, key: str = "cluster_id", p: str | None = None, weight: str | None = None, cpm: str | None = None, row: str = "range_id") -> DataFrame:
@@ -87,8 +93,9 @@ def empirical_fdr(tests: DataFrame, key: str = "cluster_id", p: str | None = Non
     folds = fold_columns(tests, fc)
     sided = one_sided(tests, p, fc)
     right, wrong = ("p_up", "p_down") if neg_down else ("p_down", "p_up")
-    good = simes(sided, key, right, folds, weight, row).drop("fdr", "direction")
-    bad = simes(sided, key, wrong, folds, weight, row).select(F.col("p").alias("_p"), F.lit(0).alias("_right"), F.lit(1).alias("_wrong"))
+    sided = settle(sided)
+    good = settle(combined(sided, key, right, folds, weight, row).drop("direction"))
+    bad = combined(sided, key, wrong, folds, weight, row).select(F.col("p").alias("_p"), F.lit(0).alias("_right"), F.lit(1).alias("_wrong"))
     steps = bad.unionByName(good.select(F.col("p").alias("_p"), F.lit(1).alias("_right"), F.lit(0).alias("_wrong"))).groupBy("_p").agg(F.sum("_right").alias("_right"), F.sum("_wrong").alias("_wrong"))
     steps = block_scan(value_blocks(steps, "_p"), [], "block", ["_p"], {"_r": ("sum", F.col("_right")), "_f": ("sum", F.col("_wrong"))})
     steps = steps.filter("_right > 0").withColumn("_raw", F.least(F.lit(1.0), F.col("_f") / F.col("_r")))
@@ -100,8 +107,9 @@ def mixed_clusters(tests: DataFrame, key: str = "cluster_id", p: str | None = No
     """(key, n, up, down, p, fdr): clusters that change in both directions (the larger of the two one-sided p-values)."""
     folds = fold_columns(tests, fc)
     sided = one_sided(tests, p, fc)
-    up = simes(sided, key, "p_up", folds, weight, row).drop("fdr", "direction")
-    down = simes(sided, key, "p_down", folds, weight, row).select(key, F.col("p").alias("_down"))
+    sided = settle(sided)
+    up = combined(sided, key, "p_up", folds, weight, row).drop("direction")
+    down = combined(sided, key, "p_down", folds, weight, row).select(key, F.col("p").alias("_down"))
     return adjusted(up.join(down, key).withColumn("p", F.greatest("p", "_down")).drop("_down"), "p", "fdr")
 
 

@@ -373,14 +373,36 @@ def consolidate_sizes(v):
     return rounded(clusterfdr.consolidate_sizes(*two_sets(v), tol=3)[1], "p", "fdr")
 
 
-@query()
+def searched_sql(table: str, target: float, tol: int, sign: str | None = None, key: str = "range_id") -> str:
+    """CTEs of the threshold search over table(chrom, start, end, adj, w): five rounds of a grid, and ids(…, cluster_id) of the best threshold."""
+    out, centre, half = "", f"(select ln({target} / (1 - {target})) as centre)", 10.0
+    for k in range(5):
+        out += f"""points{k} as materialized (select i, level from (select i, 1 / (1 + exp(-(centre - {half} + i * {half} / 10))) as level from {centre}, (select unnest(range(21)) as i)) where level <= {target} * 1.000001),
+chosen{k} as materialized (select t.*, i, level from {table} t join points{k} on adj <= level),
+""" + merged(f"chosen{k}", tol, key, "i, chrom", "i, chrom", sign, f"ids{k}").lstrip("+") + f""", sizes{k} as (select i, level, cluster_id, sum(w) as size from ids{k} group by all),
+runs{k} as (select i, level, sum(size) over (partition by i order by size, cluster_id) as run, sum(size) over (partition by i) * level as room, size from sizes{k}),
+fdrs{k} as (select i, count(*) filter (run <= room + size * 1e-9) / count(*) as fdr from runs{k} group by i),
+best{k} as materialized (select arg_max(level, (-abs(coalesce(fdr, 0) - {target}), level)) as level from points{k} left join fdrs{k} using (i)),
+"""
+        centre, half = f"(select ln(level / (1 - level)) as centre from best{k})", half / 4
+    return out + f"significant as (select t.* from {table} t, best4 where adj <= level),\n" + merged("significant", tol, key, sign=sign).lstrip("+")
+
+
+EXTENTS = 'select cluster_id, min(chrom) as chrom, min(start)::int as start, max("end")::int as "end", count(*) as n from ids group by cluster_id'
+
+
+@query(f"""+cubed as (select * exclude (w), pow("PValue", 3) as p3, 1e0 as w, "logFC" > 0 as s from bins),
+tested as materialized (select * from {bh("cubed", "p3", "w", "adj")}),
+""" + searched_sql("tested", 0.3, 7, "s") + EXTENTS, "bins")
 def cluster_windows(v):
     tests = v.bins()
     _, found, _ = clusterfdr.cluster_windows(tests.select("range_id", "chrom", "start", "end"), tests.select("range_id", F.pow("PValue", F.lit(3.0)).alias("PValue"), "logFC"), 0.3, 7, fc="logFC")
     return found
 
 
-@query()
+@query(BOTH_SETS + f""", cubed as (select * exclude (w), pow("PValue", 3) as p3, 1e0 / count(*) over (partition by set_id) as w from sets),
+tested as materialized (select * from {bh("cubed", "p3", "w", "adj")}),
+""" + searched_sql("tested", 0.3, 7, key="set_id, range_id") + EXTENTS, "bins", "bins20")
 def consolidate_clusters(v):
     sets, results = two_sets(v)
     results = [r.withColumn("PValue", F.pow("PValue", F.lit(3.0))) for r in results]
@@ -465,6 +487,30 @@ def bimodality(v):
 # -- abundance and normalisation ---------------------------------------------------------------------
 
 
+def abundance_sql(name: str, source: str, scale: str = "1.0", prior: str = "2.0") -> str:
+    """CTEs of an independent fit: name(source's columns, abundance) from lists y of counts and s of library sizes, by Newton's steps on the likelihood."""
+    mu = "exp(b + o[j])"
+    slope, curve = (f"list_sum(list_transform(range(1, len(z) + 1), lambda j: {x} / (1 + 0.05 * {mu})))" for x in (f"(z[j] - {mu})", mu))
+    return f"""{name}_a as materialized (select *, {scale} as _scale, list_transform(range(1, len(y) + 1), lambda j: y[j] + {scale} * {prior} * s[j] / list_avg(s)) as z, list_transform(s, lambda x: ln(x + 2 * {prior} * x / list_avg(s))) as o from {source}),
+{name}_b as (select *, case when list_sum(z) > 0 then list_reduce([ln(list_sum(z) / list_sum(list_transform(o, lambda x: exp(x))))] || list_transform(range(30), lambda i: 0e0), lambda b, i: b + {slope} / {curve}) end as beta from {name}_a),
+{name} as (select * exclude (z, o, beta, _scale), (beta - ln(_scale) + ln(1e6)) / ln(2) as abundance from {name}_b)"""
+
+
+def matrix_sql(name: str, ranges: str, hits: str, on: str, keys: str, libs: str = "libs") -> str:
+    """A CTE name(keys, y, s): lists of the counts of hits and of library sizes for each of ranges."""
+    columns = ", ".join(f"r.{k}" for k in keys.split(", "))
+    return f"""{name} as (select {keys}, list(n order by library) as y, list(size order by library) as s from (
+    select {columns}, l.library, l.size, count(h.library)::double as n from {ranges} r cross join {libs} l left join {hits} h on h.library = l.library and {on} group by all) group by {keys})"""
+
+
+LIBS = "libs as (select library, count(*)::double as size from reads group by library)"
+READ_LENGTH = "(select floor(avg(l))::int from (select round_even(avg(aln_len), 0) as l from reads group by library))"
+KEPT_WINDOWS = WINDOWS + f""", {LIBS}, kept as (select chrom, k, start, "end" from hits group by all having count(*) >= 10),
+""" + matrix_sql("m", "kept", "hits", "h.chrom = r.chrom and h.k = r.k", 'chrom, k, start, "end"')
+REGION_HIT = 'h.chrom = r.chrom and h.start <= r."end" and h."end" >= r.start'
+REGION_MATRIX = f"+frags as ({FRAGS}), {LIBS},\n" + matrix_sql("m", "regions", "frags", REGION_HIT, 'region_id, start, "end"')
+
+
 def counted_regions(v: Views, ext=100):
     return tiles.region_counts(v.reads, v.axes, v.regions.select(*REGION_COLUMNS), ext=ext)
 
@@ -480,31 +526,52 @@ def genome_windows(v):
     return v.spark.createDataFrame([(abundance.genome_windows(v.axes, 50),)], "windows bigint")
 
 
-@query()
+@query(REGION_MATRIX + ", " + abundance_sql("found", "m") + "\nselect region_id, round(abundance, 9) as abundance from found", "reads", "axes", "regions")
 def scaled_average(v):
     data = counted_regions(v)
     names, sizes = abundance.library_sizes(data)
     return rounded(abundance.scaled_average(data.matrix(names), sizes), "abundance").select("region_id", "abundance")
 
 
-@query()
+@query(KEPT_WINDOWS + ", " + abundance_sql("found", "m") + """, g as (select sum(ceil(length / 50)) as genome from axes),
+ranked as (select *, rank() over (order by round(abundance, 9)) + (count(*) over (partition by round(abundance, 9)) - 1) / 2 as r, count(*) over () as n from found)
+select chrom, k, round(case when genome <= n then r / n else 1 + (r - n) / genome end, 9) as filter from ranked, g""", "reads", "axes")
 def proportion_filter(v):
     return rounded(abundance.filter_proportion(tiles.window_counts(v.reads, v.axes, least=10, **SLIDING), v.axes), "filter").select("chrom", "k", "filter")
 
 
-@query()
+@query(KEPT_WINDOWS + """, fives as (select r.library, r.chrom, a.length, greatest(1, least(a.length, case when (r.flag & 16) > 0 then r.pos + r.aln_len - 1 else r.pos end)) as p from reads r join axes a on r.chrom = a.chrom),
+places as (select library, chrom, (p - 1) // 1000 as k, length from fives), wide as (select distinct chrom, k, k * 1000 + 1 as start, least(length, k * 1000 + 1000) as "end" from places),
+""" + matrix_sql("w", "wide", "places", "h.chrom = r.chrom and h.k = r.k", 'chrom, k, start, "end"') + f""",
+ratios as (select (select median("end" - start + 1) from wide) / (select median("end" - start + {READ_LENGTH}) from kept) as ratio), wr as (select * from w, ratios),
+""" + abundance_sql("found", "m") + ", " + abundance_sql("back", "wr", "ratio") + """,
+ordered as (select abundance, row_number() over (order by abundance) - 1 as pos, count(*) over () as n from back),
+level as (select sum(abundance * greatest(0, 1 - abs((1 - 0.5 / least(1, n / genome)) * (n - 1) - pos))) as level from ordered, (select sum(ceil(length / 1000)) as genome from axes))
+select chrom, k, round(abundance - level, 9) as filter from found, level""", "reads", "axes")
 def global_filter(v):
     data = tiles.window_counts(v.reads, v.axes, least=10, **SLIDING)
     return rounded(abundance.filter_global(data, v.axes, tiles.window_counts(v.reads, v.axes, width=1000, bins=True)), "filter").select("chrom", "k", "filter")
 
 
-@query()
+@query(REGION_MATRIX + """, wide as (select region_id, chrom, greatest(1, start - 1000) as start, "end" + 1000 as "end" from regions),
+""" + matrix_sql("w", "wide", "frags", REGION_HIT, 'region_id, start, "end"') + f""",
+rest as (select region_id, list_transform(range(1, len(m.y) + 1), lambda j: greatest(0, w.y[j] - m.y[j])) as y, m.s, (w."end" - w.start - m."end" + m.start) / (m."end" - m.start + {READ_LENGTH}) as ratio from m join w using (region_id)),
+""" + abundance_sql("found", "m") + ", " + abundance_sql("back", "rest", "ratio") + "\nselect region_id, round(f.abundance - b.abundance, 9) as filter from found f join back b using (region_id)", "reads", "axes", "regions")
 def local_filter(v):
     wide = v.regions.select("region_id", "chrom", F.greatest(F.lit(1), F.col("start") - 1000).alias("start"), (F.col("end") + 1000).alias("end"))
     return rounded(abundance.filter_local(counted_regions(v), tiles.region_counts(v.reads, v.axes, wide)), "filter").select("region_id", "filter")
 
 
-@query()
+@query(f"""+frags as ({FRAGS}), {LIBS}, own as (select * from libs where library = 'lib0'), others as (select * from libs where library <> 'lib0'),
+fives as (select r.library, r.chrom, greatest(1, least(a.length, case when (r.flag & 16) > 0 then r.pos + r.aln_len - 1 else r.pos end)) as p from reads r join axes a on r.chrom = a.chrom),
+places as (select library, chrom, (p - 1) // 5000 as k from fives), wide as (select chrom, unnest(range(ceil(length / 5000)::bigint)) as k from axes),
+lengths as (select floor(avg(l) filter (library = 'lib0'))::int as own, floor(avg(l) filter (library <> 'lib0'))::int as others from (select library, round_even(avg(aln_len), 0) as l from reads group by library)),
+""" + ",\n".join([matrix_sql("bo", "wide", "places", "h.chrom = r.chrom and h.k = r.k", "chrom, k", "own"), matrix_sql("bc", "wide", "places", "h.chrom = r.chrom and h.k = r.k", "chrom, k", "others"),
+    abundance_sql("fo", "bo", prior="0.0"), abundance_sql("fc", "bc", prior="0.0"),
+    "norms as (select pow(2, -coalesce(median(fo.abundance - fc.abundance), 0)) as norm from fo join fc using (chrom, k))", "scaled as (select library, size * norm as size from others, norms)",
+    matrix_sql("mo", "regions", "frags", REGION_HIT, 'region_id, start, "end"', "own"), matrix_sql("mc", "regions", "frags", REGION_HIT, 'region_id, start, "end"', "scaled"),
+    'md as (select mc.*, (\"end\" - start + others) / (\"end\" - start + own) as ratio, 2 * list_avg(s) / (select size from own) as share from mc, lengths)',
+    abundance_sql("found", "mo"), abundance_sql("back", "md", "ratio", "share")]) + "\nselect region_id, round(f.abundance - b.abundance, 9) as filter from found f join back b using (region_id)", "reads", "axes", "regions")
 def control_filter(v):
     place = v.regions.select(*REGION_COLUMNS)
     split = lambda own: v.reads.filter((F.col("library") == "lib0") == own)
