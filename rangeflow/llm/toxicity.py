@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     rows = stored(rows, "toxicity-rows")
     n, terms = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("terms")), F.lit(0)) / 4).first()
     share = min(1.0, most / max(1, n), TRAIN_TERMS / max(1, terms))  # ids can repeat, and texts can be long
-    rows = rows.filter(unit_hash(F.monotonically_increasing_id(), seed="toxicity-rows") < share).orderBy("label", "terms").toArrow()
+    rows = rows.filter(unit_hash(F.monotonically_increasing_id(), seed="toxicity-rows") < share).toArrow().sort_by([("label", "ascending"), ("terms", "ascending")])
     machine = fit_machine([np.frombuffer(x.as_buffer(), "<i4") for x in rows["terms"]], rows["label"].to_numpy().astype(np.float64))
     del rows
     release_memory()
