@@ -2,8 +2,9 @@
 
 spark.dataSource.register(BamDataSource); spark.read.format("bam").load(path). A file with an index
 (.bai) is cut at the record offsets of its linear index into partitions of about partitionBytes;
-without one it is a single partition. With spark.sql.python.filterPushdown.enabled, filters on chrom
-leave out partitions of other axes, and filters on flag bits stay with Spark.
+without one it is a single partition. The option chroms, names with commas between, reads only the
+records and, with an index, the partitions of these axes. Filters aren't pushed down: Spark keeps
+them for a frame's later queries, which would lose rows.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ import struct
 import zlib
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "library string, qname string, flag int, chrom string, pos int, mapq int, aln_len int, mate_chrom string, mate_pos int"
 #: Fixed values of the format: CIGAR operations in code order, and those that use up the axis.
 CIGAR, ON_AXIS = "MIDNSHP=X", frozenset("MDN=X")
 PARTITION_BYTES = 64 << 20
+#: Records of a batch handed to Spark.
+BATCH_ROWS = 8192
 END = 1 << 63
 
 
@@ -153,15 +156,7 @@ class BamReader(DataSourceReader):
         self.paths = options["path"].split(",")
         self.library = options.get("library")
         self.partition_bytes = int(options.get("partitionBytes", PARTITION_BYTES))
-        self.chroms = None
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("chrom",):
-                self.chroms = {f.value} if self.chroms is None else self.chroms & {f.value}
-            elif isinstance(f, In) and f.attribute == ("chrom",):
-                self.chroms = set(f.value) if self.chroms is None else self.chroms & set(f.value)
-            yield f  # whole partitions are left out; Spark still tests the rows
+        self.chroms = set(options["chroms"].split(",")) if options.get("chroms") else None
 
     def partitions(self):
         out = []
@@ -195,6 +190,7 @@ class BamReader(DataSourceReader):
         if not partition.path:
             return
         library = self.library or partition.path.rsplit("/", 1)[-1].removesuffix(".bam")
+        rows: list[tuple] = []
         with _open(partition.path) as file:
             axes = read_header(BlockReader(file))
             reader = BlockReader(file, partition.start)
@@ -202,7 +198,22 @@ class BamReader(DataSourceReader):
                 size = reader.read(4)
                 if len(size) < 4:
                     break
-                yield record(reader.read(struct.unpack("<i", size)[0]), axes, library)
+                row = record(reader.read(struct.unpack("<i", size)[0]), axes, library)
+                if self.chroms is None or row[3] in self.chroms:
+                    rows.append(row)
+                if len(rows) == BATCH_ROWS:
+                    yield _batch(rows)
+                    rows = []
+        if rows:
+            yield _batch(rows)
+
+
+def _batch(rows: list[tuple]):
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "int": pa.int32()}
+    names, types = zip(*(c.split() for c in SCHEMA.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
 
 
 def bam_axes(paths: list[str]) -> list[tuple[str, str, int]]:
