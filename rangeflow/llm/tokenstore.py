@@ -20,7 +20,6 @@ import functools
 import hashlib
 import os
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +27,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, Scratch, delete_path, hash_spans, map_arrow, new_path, read_table, stored, text_blocks, word_bounds
+from .common import LETTERS, NON_SPACE, Scratch, delete_path, hash_spans, map_arrow, new_path, read_table, stored, text_blocks, word_bounds
 
 #: Chunk sizes in ids: at least, on average beyond that (a power of two), at most; rolling window.
 LEAST, AVERAGE, MOST, ROLL = 64, 256, 2048, 8
-#: Words whose ids a worker keeps, and their bytes; when it has more, only the last run's stay.
-CACHED_WORDS, CACHED_BYTES = 200_000, 64
+#: Words whose ids a worker keeps, and the longest's bytes; when it has more, only the last run's stay.
+CACHED_WORDS, CACHED_BYTES = 1_000_000, 64
 DIGEST = 32
 #: Marks that the vocabulary's pattern separates from a letter before them.
 MARKS = b".,;:!?|%&$*#"
-#: Array codes of the id types; both machines and files are little-endian.
-_CODES = {"<u2": "H", "<u4": "I"}
 #: Bytes of text whose distinct words are found together.
 RUN_BYTES = 4 << 20
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_IS_MARK = np.isin(np.arange(256), np.frombuffer(MARKS, np.uint8))
 
 
 @functools.cache
@@ -52,11 +50,6 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-@functools.cache
-def _cache(path: str) -> dict[bytes, bytes]:
-    return {}
-
-
 @functools.cache
 def _word_ends(path: str) -> np.ndarray:
     """Which ids end a word."""
@@ -74,13 +67,13 @@ def encode_column(column: pa.Array, path: str, end_id: int):
     """(first row, end row, ids, bounds) of runs of rows: each row's ids and the end id, one after the other.
 
     White space always separates tokens in this vocabulary and case is folded, so words are encoded
-    one by one: the distinct words of a run are found by their hashes and looked up or encoded once,
-    and the run's ids are gathered from theirs. Texts that may hold a special token's string are
-    encoded as they are.
+    one by one: the distinct words of a run are found by their 64-bit hashes and looked up or encoded
+    once, and the run's ids are gathered from theirs. Texts that may hold a special token's string
+    are encoded as they are.
     """
     kind = np.dtype(id_type(path))
     for lo, hi, raw, offs in text_blocks(column, RUN_BYTES):
-        starts, ends, first = _white_space_words(raw, offs)
+        starts, ends, first = _words(raw, offs)
         hashes = hash_spans(NON_SPACE[raw], starts, ends)
         special = np.flatnonzero((raw[:-1] == 0x3C) & (raw[1:] == 0x7C)) if len(raw) else starts[:0]
         lowered = np.where((raw >= 0x41) & (raw <= 0x5A), raw + np.uint8(32), raw).tobytes()
@@ -89,15 +82,10 @@ def encode_column(column: pa.Array, path: str, end_id: int):
             text = raw[offs[row] : offs[row + 1]].tobytes().decode("utf-8", "surrogatepass")
             kept[row] = np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, kind)
         distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        words = [lowered[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        known = _word_ids(set(words), path)
-        coded = [known[w] for w in words]
-        sizes = np.array([len(c) for c in coded], np.int64) // kind.itemsize
-        flat = np.frombuffer(b"".join(coded), kind)
-        at_word = np.concatenate([[0], np.cumsum(sizes)])[:-1] if len(sizes) else sizes
+        flat, at_word, sizes = _word_table(path).look_up(distinct, lowered, starts[at], ends[at])
         n = sizes[which]
         upto = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(at_word[which] - upto[:-1], n) + np.arange(upto[-1])] if len(n) else flat
+        ids = flat[np.repeat(at_word[which] - upto[:-1], n) + np.arange(upto[-1])] if len(n) else flat[:0]
         bounds = upto[first]
         if kept:
             parts = [kept.get(r, ids[bounds[r] : bounds[r + 1]]) for r in range(hi - lo)]
@@ -106,9 +94,86 @@ def encode_column(column: pa.Array, path: str, end_id: int):
         yield lo, hi, ids, bounds + np.arange(len(bounds))
 
 
-def _white_space_words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    starts, ends = word_bounds(NON_SPACE[raw], offs) if len(raw) else (offs[:0], offs[:0])
-    return starts, ends, np.searchsorted(starts, offs)
+def _words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and each row's first. Marks behind a letter are tokens of their own, so they are words too."""
+    if not len(raw):
+        return offs[:0], offs[:0], np.zeros(len(offs), np.int64)
+    starts, ends = word_bounds(NON_SPACE[raw], offs)
+    if not len(starts):
+        return starts, ends, np.zeros(len(offs), np.int64)
+    other = np.maximum.accumulate(np.where(_IS_MARK[raw], -1, np.arange(len(raw))))
+    stops = np.maximum(other[ends - 1] + 1, starts)  # behind the last byte that isn't a mark
+    cut = (stops > starts) & (stops < ends) & (LETTERS[raw[stops - 1]] != 0) & (raw[stops - 1] < 0x80)
+    upto = np.concatenate([[0], np.cumsum(1 + cut)])
+    first = upto[np.searchsorted(starts, offs)]
+    starts, ends = np.repeat(starts, 1 + cut), np.repeat(ends, 1 + cut)
+    marks = upto[1:][cut] - 1
+    starts[marks], ends[marks - 1] = stops[cut], stops[cut]
+    return starts, ends, first
+
+
+class _WordTable:
+    """The ids of words seen before, by the words' hashes: sorted hashes, and where each one's ids lie in one array."""
+
+    def __init__(self, path: str):
+        self.path, self.kind = path, np.dtype(id_type(path))
+        self.hashes, self.at, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, self.kind)
+
+    def look_up(self, hashes: np.ndarray, text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, place, size) of words with these ascending hashes, which stand at these places of the text."""
+        place = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = place < len(self.hashes)
+        known[inside] = self.hashes[place[inside]] == hashes[inside]
+        new = np.flatnonzero(~known)
+        short = ends[new] - starts[new] <= CACHED_BYTES
+        new = np.concatenate([new[short], new[~short]])  # long ones last: they aren't kept
+        n_short = int(short.sum())
+        coded, new_sizes = _encode_words([text[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], self.path)
+        flat = np.concatenate([self.ids, coded])
+        at, sizes = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int32)
+        at[known], sizes[known] = self.at[place[known]], self.sizes[place[known]]
+        at[new], sizes[new] = len(self.ids) + np.cumsum(new_sizes) - new_sizes, new_sizes
+        if len(self.hashes) + n_short <= CACHED_WORDS:
+            kept = new[:n_short]
+            self.hashes, self.at, self.sizes = (np.insert(old, place[kept], more[kept]) for old, more in ((self.hashes, hashes), (self.at, at), (self.sizes, sizes)))
+            self.ids = flat[: len(self.ids) + int(new_sizes[:n_short].sum())]
+        else:
+            kept = np.flatnonzero(ends - starts <= CACHED_BYTES)
+            self.hashes, self.sizes = hashes[kept], sizes[kept]
+            self.at = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+            self.ids = flat[np.repeat(at[kept] - self.at, self.sizes) + np.arange(int(self.sizes.sum()))]
+        return flat, at, sizes
+
+
+@functools.cache
+def _word_table(path: str) -> _WordTable:
+    return _WordTable(path)
+
+
+def _encode_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The words' ids, one word after the other, and each one's number of ids."""
+    kind, last, encode = np.dtype(id_type(path)), _word_ends(path), _tokenizer(path)
+    coded, sizes = [np.zeros(0, kind)], [np.zeros(0, np.int32)]
+    for lo in range(0, len(words), 4096):
+        some = [w.decode("utf-8", "surrogatepass") for w in words[lo : lo + 4096]]
+        # a word of letters alone is one unit of the vocabulary, whose last token carries the end mark:
+        # such words are encoded in one text and its ids cut there
+        alone = np.array([w.isalpha() for w in some])
+        letters = [w for w, a in zip(some, alone.tolist(), strict=True) if a]
+        ids = np.array(encode.encode(" ".join(letters), add_special_tokens=False).ids, kind)
+        ends = np.flatnonzero(last[ids]) + 1
+        if len(ends) != len(letters):  # a letter that the vocabulary's pattern takes otherwise
+            alone[:], ids, ends = False, ids[:0], ends[:0]
+        others = encode.encode_batch_fast([w for w, a in zip(some, alone.tolist(), strict=True) if not a], add_special_tokens=False)
+        n = np.zeros(len(some), np.int32)
+        n[alone], n[~alone] = np.diff(ends, prepend=0), [len(e.ids) for e in others]
+        of_letters = np.repeat(alone, n)
+        both = np.zeros(len(of_letters), kind)
+        both[of_letters], both[~of_letters] = ids, [i for e in others for i in e.ids]
+        coded.append(both)
+        sizes.append(n)
+    return np.concatenate(coded), np.concatenate(sizes)
 
 
 def encode_texts(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
@@ -119,46 +184,6 @@ def encode_texts(texts: list[str | None], path: str, end_id: int) -> list[bytes]
     return out
 
 
-def _word_ids(words: set[bytes], path: str) -> dict[bytes, bytes]:
-    """Each word's ids. Marks behind a letter are tokens of their own, so words differing in them share the encoding."""
-    cache, code = _cache(path), _CODES[id_type(path)]
-    missing, cores, split = words.difference(cache), [], set()
-    for word in missing:
-        core = word.rstrip(MARKS)
-        if core and core != word and (0x61 <= core[-1] <= 0x7A or core[-1] >= 0x80 and core.decode("utf-8", "surrogatepass")[-1].isalpha()):
-            cores.append((word, core))
-            split.add(core)
-            split.add(word[len(core) :])
-        else:
-            split.add(word)
-    new = [w.decode("utf-8", "surrogatepass") for w in split.difference(cache)]
-    # a word of letters alone is one unit of the vocabulary, whose last token carries the end mark:
-    # such words are encoded in one text and its ids cut there
-    letters = [w for w in new if w.isalpha()]
-    kind, last = np.dtype(id_type(path)), _word_ends(path)
-    for lo in range(0, len(letters), 4096):
-        some = letters[lo : lo + 4096]
-        ids = np.array(_tokenizer(path).encode(" ".join(some), add_special_tokens=False).ids, kind)
-        ends, data = ((np.flatnonzero(last[ids]) + 1) * kind.itemsize).tolist(), ids.tobytes()
-        if len(ends) != len(some):  # a letter that the vocabulary's pattern takes otherwise
-            encoded = _tokenizer(path).encode_batch_fast(some, add_special_tokens=False)
-            cache.update(zip([w.encode("utf-8", "surrogatepass") for w in some], [array(code, e.ids).tobytes() for e in encoded], strict=True))
-            continue
-        cache.update(zip([w.encode("utf-8", "surrogatepass") for w in some], [data[x:y] for x, y in zip([0, *ends], ends, strict=False)], strict=True))
-    others = [w for w in new if not w.isalpha()]
-    encoded = _tokenizer(path).encode_batch_fast(others, add_special_tokens=False)
-    cache.update(zip([w.encode("utf-8", "surrogatepass") for w in others], [array(code, e.ids).tobytes() for e in encoded], strict=True))
-    cache.update([(word, cache[core] + cache[word[len(core) :]]) for word, core in cores])
-    known = dict(zip(words, map(cache.__getitem__, words), strict=True))
-    if len(cache) > CACHED_WORDS:
-        cache.clear()
-        cache.update(known)
-    for word in missing | split:
-        if len(word) > CACHED_BYTES:
-            cache.pop(word, None)
-    return known
-
-
 def cut_points(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
     """Chunk ends within each document of the concatenated ids: where the rolling hash hits, within the limits."""
     codes = (ids.astype(np.uint64) + np.uint64(1)) * _SPREAD
