@@ -1,5 +1,6 @@
 """Each operator over awkward rows, held against plain Python."""
 
+import functools
 import hashlib
 import random
 import re
@@ -446,11 +447,15 @@ def test_toxicity_scores(spark, awkward, empty):
 # -- 8 token store -----------------------------------------------------------------------------------
 
 
-def encoded(text):
+@functools.cache
+def word_bpe():
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenstore.word_bpe_path())
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+    return Tokenizer.from_file(tokenstore.word_bpe_path())
+
+
+def encoded(text):
+    return [*word_bpe().encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def test_word_by_word_encoding_is_the_same():
@@ -462,6 +467,19 @@ def test_word_by_word_encoding_is_the_same():
     assert got == [encoded(t) for t in texts]
 
 
+def test_encoding_is_the_same_when_the_kept_words_change(monkeypatch):
+    monkeypatch.setattr(tokenstore, "CACHED_WORDS", 40)
+    monkeypatch.setattr(tokenstore, "RUN_BYTES", 200)
+    tokenstore._word_table.cache_clear()
+    rng = random.Random(13)
+    words = [rng.choice(["ab", "É", "long" * 40, "7"]) * rng.randrange(1, 4) + str(rng.randrange(9)) * rng.randrange(2) + rng.choice(["", ".", "...", "!,"]) for _ in range(90)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(30))) for _ in range(200)] + ["", "...", ".. a. .", None]
+    path = tokenstore.word_bpe_path()
+    got = [np.frombuffer(x, tokenstore.id_type(path)).tolist() for x in tokenstore.encode_texts(texts, path, 2)]
+    tokenstore._word_table.cache_clear()
+    assert got == [encoded(t) for t in texts]
+
+
 def test_cuts_follow_the_content():
     ids = np.random.default_rng(11).integers(0, 49000, 60_000)
     cuts = tokenstore.cut_points(np.concatenate([ids, ids[1234:]]), np.array([0, 60_000, 2 * 60_000 - 1234]))
