@@ -284,6 +284,8 @@ def write_store(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str
     place = F.posexplode(F.expr(f"transform(sequence(1, length(digests), {DIGEST}), i -> substring(digests, i, {DIGEST}))")).alias("place", "digest")
     places = scratch.stored(stage.select("rid", "doc_id", place), "places")
     shared = places.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("first")).filter("n > 1").select("digest", "first")
+    # written first: the join can then split a digest that a large part of the places share
+    shared = scratch.stored(shared, "shared")
     listed = places.join(shared, "digest").groupBy("doc_id", "rid").agg(
         F.collect_list("place").alias("places"), F.collect_list(F.when(F.struct("rid", "place") == F.col("first"), F.col("place"))).alias("owned")
     )
