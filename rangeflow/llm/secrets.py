@@ -24,7 +24,8 @@ from .common import new_path, read_table, stored
 class Rule:
     """kind: its name; version: raise it when the pattern changes, so that all blobs are scanned anew.
 
-    measured: the group whose length must reach least, or the match itself (0).
+    measured: the group whose length must reach least, or the match itself (0). base: whether its
+    spans belong to the base spans, which rules added later leave as they are.
     """
 
     kind: str
@@ -32,6 +33,7 @@ class Rule:
     pattern: str
     least: int
     measured: int = 0
+    base: bool = True
 
     @property
     def key(self) -> str:
@@ -124,18 +126,20 @@ def scan_versions(versions: DataFrame, path_col: str, text_col: str, ledger: str
     return paths, _ledger(spark, f"{ledger}/findings", FINDINGS).filter(F.col("rule").isin(keys)).distinct()
 
 
-def summarise(paths: DataFrame, findings: DataFrame) -> DataFrame:
-    """A row for each path with its counts and spans; the rows of a group are one text's findings."""
-    text = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
+def summarise(paths: DataFrame, findings: DataFrame, rules=RULES) -> DataFrame:
+    """A row for each path with its counts for each kind, all spans and the digest of the base spans."""
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base, counts = [r.kind for r in rules if r.base], [f"n_{r.kind}" for r in rules]
+    # the rows of a group are one text's findings
     blobs = findings.groupBy("blob").agg(
-        *[F.sum((F.col("kind") == r.kind).cast("bigint")).alias(f"n_{r.kind}") for r in RULES],
+        *[F.sum((F.col("kind") == r.kind).cast("bigint")).alias(f"n_{r.kind}") for r in rules],
         F.array_sort(F.collect_list(F.struct("start", "kind_no", "kind", "end"))).alias("all"),
     )
-    blobs = blobs.select("blob", *[f"n_{r.kind}" for r in RULES], F.array_join(F.transform("all", text), ",").alias("spans"))
-    out = paths.join(blobs, "blob", "left").select(
-        "path", "blob", *[F.coalesce(f"n_{r.kind}", F.lit(0)).cast("bigint").alias(f"n_{r.kind}") for r in RULES], F.coalesce("spans", F.lit("")).alias("spans")
+    blobs = blobs.select("blob", *counts, joined(F.col("all")).alias("spans"), joined(F.filter("all", lambda x: x["kind"].isin(base))).alias("base"))
+    known = lambda c, none: F.coalesce(F.col(c), F.lit(none))
+    return paths.join(blobs, "blob", "left").select(
+        "path", "blob", *[known(c, 0).cast("bigint").alias(c) for c in counts], known("spans", "").alias("spans"), F.sha2(known("base", "").cast("binary"), 256).alias("base_sha256")
     )
-    return out.withColumn("base_sha256", F.sha2(F.col("spans").cast("binary"), 256))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,15 @@ def test_secret_ledger_scans_only_unseen_pairs(spark):
     assert spark.read.parquet(f"{ledger}/scanned").filter("rule = 'hex@2'").count() == 2
 
 
+def test_added_rules_leave_the_base_digest(spark):
+    rules = (*secrets.RULES, secrets.Rule("key", 1, "BEGIN [A-Z]+ KEY", 8, base=False))
+    rows = spark.createDataFrame([("a", "BEGIN RSA KEY token=abcdefghij"), ("b", "BEGIN RSA KEY"), ("c", None)], "p string, t string")
+    paths, findings = secrets.scan_versions(rows, "p", "t", new_path(spark, "ledger"), rules)
+    got = {r["path"]: r for r in secrets.summarise(paths, findings, rules).collect()}
+    assert {k: (r["spans"], r["n_assign"], r["n_key"]) for k, r in got.items()} == {"a": ("key:0:13,assign:14:30", 1, 1), "b": ("key:0:13", 0, 1), "c": ("", 0, 0)}
+    assert {k: r["base_sha256"] for k, r in got.items()} == {k: hashlib.sha256(x).hexdigest() for k, x in (("a", b"assign:14:30"), ("b", b""), ("c", b""))}
+
+
 def test_secrets_awkward_rows(spark, awkward, empty):
     paths, findings = secrets.scan_versions(awkward, "doc_id", "text", new_path(spark, "ledger"))
     assert counted(secrets.summarise(paths, findings), "path", "spans") == Counter((i, secret_spans(t)) for i, t in awkward_texts())
