@@ -72,17 +72,25 @@ def classify_mates(reads: DataFrame, params: ExtractParams) -> DataFrame:
     pairs = pairs.select(
         *keys, F.when(both & oriented, "valid").when(both, "unoriented").when(count("a_ok", "b_ok") == 1, "one_mapped").otherwise("none").alias("class"),
         count("a_kept", "b_kept").alias("n_pass"), F.lit(None).cast("boolean").alias("is_first"), fwd("pos").alias("start"), (rev("pos") + rev("aln_len") - 1).alias("end"),
+        (fwd("pos") + fwd("aln_len") - 1).alias("forward_end"), rev("pos").alias("reverse_start"),
     )
     one = lambda df, name: df.select(*keys, F.when(F.col("ok"), name).otherwise("none").alias("class"), F.col("kept").cast("int").alias("n_pass"), "is_first", F.col("pos").alias("start"), (F.col("pos") + F.col("aln_len") - 1).alias("end"))
-    return pairs.unionByName(one(plain, "single")).unionByName(one(alone, "one_mapped")).unionByName(one(far, "inter"))
+    for rows, name in ((plain, "single"), (alone, "one_mapped"), (far, "inter")):
+        pairs = pairs.unionByName(one(rows, name), allowMissingColumns=True)
+    return pairs
 
 
-def valid_pairs(reads: DataFrame, params: ExtractParams, capped: bool = True) -> DataFrame:
-    """(library, chrom, start, end) of properly oriented pairs whose reads both survive."""
+#: The reads of a pair: places of its forward and its reverse read.
+MATES = ("forward_start", "forward_end", "reverse_start", "reverse_end")
+
+
+def valid_pairs(reads: DataFrame, params: ExtractParams, capped: bool = True, mates: bool = False) -> DataFrame:
+    """(library, chrom, start, end) of properly oriented pairs whose reads both survive; with mates also the MATES."""
     out = classify_mates(reads, params).filter((F.col("class") == "valid") & (F.col("n_pass") == 2))
     if capped and params.max_frag is not None:
         out = out.filter(F.col("end") - F.col("start") + 1 <= params.max_frag)
-    return out.select("library", "chrom", "start", "end")
+    out = out.withColumns({"forward_start": F.col("start"), "reverse_end": F.col("end")})
+    return out.select("library", "chrom", "start", "end", *(MATES if mates else ()))
 
 
 def pair_diagnostics(reads: DataFrame, params: ExtractParams) -> DataFrame:
@@ -137,11 +145,12 @@ def resized(start: Column, end: Column, final: int | None) -> tuple[Column, Colu
     return start + cut, end - cut
 
 
-def fragments(reads: DataFrame, axes: DataFrame, params: ExtractParams, ext=100) -> DataFrame:
-    """(library, chrom, start, end, strand) of all retained fragments, clamped into their axis."""
+def fragments(reads: DataFrame, axes: DataFrame, params: ExtractParams, ext=100, mates: bool = False) -> DataFrame:
+    """(library, chrom, start, end, strand) of all retained fragments, clamped into their axis; with mates also the MATES of pairs."""
+    kept = MATES if mates else ()
     if params.pe == "both":
         final = ext[1] if isinstance(ext, tuple) else None
-        rows = valid_pairs(reads, params).withColumn("strand", F.lit("*"))
+        rows = valid_pairs(reads, params, mates=mates).withColumn("strand", F.lit("*"))
         start, end = resized(F.col("start"), F.col("end"), final)
     else:
         length, final = _extension(ext, reads)
@@ -149,27 +158,37 @@ def fragments(reads: DataFrame, axes: DataFrame, params: ExtractParams, ext=100)
         args = (F.col("pos"), F.col("aln_len"), F.col("reverse"), length)
         start, end = resized(fragment_start(*args), fragment_end(*args), final)
         rows = rows.withColumn("strand", F.when(F.col("reverse"), "-").otherwise("+"))
-    rows = rows.select("library", "chrom", start.alias("start"), end.alias("end"), "strand")
+    rows = rows.select("library", "chrom", start.alias("start"), end.alias("end"), "strand", *kept)
     rows = rows.join(F.broadcast(axes.select("chrom", "length")), "chrom")  # a row for each axis
-    return rows.select("library", "chrom", clamp(F.col("start"), F.col("length")).cast("long").alias("start"), clamp(F.col("end"), F.col("length")).cast("long").alias("end"), "strand")
+    return rows.select("library", "chrom", clamp(F.col("start"), F.col("length")).cast("long").alias("start"), clamp(F.col("end"), F.col("length")).cast("long").alias("end"), "strand", *kept)
 
 
-def fetch_region(reads: DataFrame, axes: DataFrame, chrom: str, start: int, end: int, params: ExtractParams, ext=100) -> DataFrame:
-    """Fragments overlapping one region; the scan is narrowed by the longest a fragment can reach."""
+def fetch_region(reads: DataFrame, axes: DataFrame, chrom: str, start: int, end: int, params: ExtractParams, ext=100, as_reads: bool = False) -> DataFrame:
+    """Fragments overlapping one region; the scan is narrowed by the longest a fragment can reach.
+
+    as_reads (pairs only) gives (library, chrom, MATES) of the pairs whose fragments overlap instead.
+    Pairs of unlimited size need the whole axis.
+    """
+    as_reads = as_reads and params.pe == "both"
+    found = lambda near: fragments(near, axes, params, ext, as_reads)
+    columns = ("library", "chrom", *(MATES if as_reads else ("start", "end", "strand")))
     known = axes.filter(F.col("chrom") == chrom).limit(1).count()
     if not known:
         raise ValueError(f"unknown axis {chrom}")
     if params.restrict and chrom not in params.restrict:
         warn(f"{chrom} is not among the axes to use")
-        return fragments(reads.filter("false"), axes, params, ext)
-    if params.pe == "both":
-        near = reads.filter(F.col("chrom") == chrom)
-    else:
+        return found(reads.filter("false")).select(*columns)
+    near = reads.filter(F.col("chrom") == chrom)
+    final = [ext[1]] if isinstance(ext, tuple) and ext[1] else []
+    if params.pe != "both":
         each = ext[0] if isinstance(ext, tuple) else ext
-        lengths = [x for x in (each if isinstance(each, list) else [each]) if x] + ([ext[1]] if isinstance(ext, tuple) and ext[1] else [])
+        lengths = [x for x in (each if isinstance(each, list) else [each]) if x] + final
+    else:
+        lengths = [params.max_frag, *final] if params.max_frag is not None else None
+    if lengths is not None:
         reach = max(lengths, default=0)
-        near = reads.filter((F.col("chrom") == chrom) & (F.col("pos") <= end + reach) & (F.col("pos") + F.col("aln_len") >= start - reach))
-    return fragments(near, axes, params, ext).filter((F.col("start") <= end) & (F.col("end") >= start))
+        near = near.filter((F.col("pos") <= end + reach) & (F.col("pos") + F.col("aln_len") >= start - reach))
+    return found(near).filter((F.col("start") <= end) & (F.col("end") >= start)).select(*columns)
 
 
 def library_summary(reads: DataFrame, params: ExtractParams, axes: DataFrame | None = None) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import dataclasses
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import ExtractParams
 
+SCALARS = "spacing int, width int, shift int, final_ext int"
+
 
 @dataclass(frozen=True)
 class CountSet:
@@ -41,8 +43,16 @@ class CountSet:
         return self.counts.groupBy(*self.keys).agg(known.alias("_m")).select(*self.keys, y.alias("y"))
 
     def write(self, folder: str) -> None:
+        """Everything but the extraction parameters, as three tables."""
         self.counts.write.parquet(f"{folder}/counts")
         self.libraries.write.parquet(f"{folder}/libraries")
+        scalars = [(self.spacing, self.width, self.shift, self.final_ext)]
+        self.counts.sparkSession.createDataFrame(scalars, SCALARS).coalesce(1).write.parquet(f"{folder}/scalars")
+
+    @classmethod
+    def read(cls, spark: SparkSession, folder: str) -> CountSet:
+        scalars = spark.read.schema(SCALARS).parquet(f"{folder}/scalars").first().asDict()
+        return cls(spark.read.parquet(f"{folder}/counts"), spark.read.parquet(f"{folder}/libraries"), **scalars)
 
 
 def as_ranges(x: CountSet | DataFrame) -> DataFrame:

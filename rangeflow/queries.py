@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from .operators import abundance, annotate, clusterfdr, clusters, extract, normalise, profiles, stats, tiles
 from .params import ExtractParams
+from .plans.containers import CountSet
 from .plans.intervals import interval_join
 from .plans.scans import adjusted
-from .sources.sam import axis_catalog, leftover_count
+from .plans.tables import new_path
+from .sources.genes import read_gtf
+from .sources.sam import axis_catalog, leftover_count, read_sam
 from .views import Views, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +92,11 @@ def region_fetch(v):
     return extract.fetch_region(v.reads, v.axes, "chrP", 4000, 9000, ExtractParams(), 100)
 
 
+@query("select library, qname, chrom, pos, aln_len from reads where chrom in ('chrC', 'chrP') and (flag & 16) = 0", "reads")
+def restricted_reads(v):
+    return extract.single_reads(v.reads, ExtractParams(restrict=("chrC", "chrP", "chrX"), forward=True)).select("library", "qname", "chrom", "pos", "aln_len")
+
+
 # -- pairs -------------------------------------------------------------------------------------------
 
 MATES = """+marked as (select *, (mapq >= 10 and (flag & 1024) = 0) as ok, (flag & 16) > 0 as rev from pairs),
@@ -126,6 +134,110 @@ def pair_diagnostics(v):
     return extract.pair_diagnostics(v.pairs, ExtractParams(pe="both", min_mapq=10, dedup=True))
 
 
+PAIR_READS = """, fetched as (select a.library, a.chrom, a.rev, case when a.rev then b.pos else a.pos end as fs, case when a.rev then b.pos + b.aln_len - 1 else a.pos + a.aln_len - 1 end as fe,
+    case when a.rev then a.pos else b.pos end as rs, case when a.rev then a.pos + a.aln_len - 1 else b.pos + b.aln_len - 1 end as re
+    from marked a join marked b on a.qname = b.qname and a.library = b.library and a.chrom = b.chrom and (a.flag & 65) = 65 and (b.flag & 129) = 129 and a.mate_pos = b.pos and b.mate_pos = a.pos
+    where a.ok and b.ok and a.rev <> b.rev and a.chrom = 'chrP'),
+near_region as (select * from fetched where fs <= re and re - fs + 1 <= 400 and fs <= 17000 and re >= 2000)
+"""
+FETCHED_PAIRS = ExtractParams(pe="both", min_mapq=10, dedup=True, max_frag=400)
+
+
+@query(MATES + PAIR_READS + """select library, f.chrom, greatest(1, least(length, fs))::bigint as start, greatest(1, least(length, re))::bigint as "end", '*' as strand from near_region f join axes a on f.chrom = a.chrom""", "pairs", "axes")
+def pair_fetch(v):
+    return extract.fetch_region(v.pairs, v.axes, "chrP", 2000, 17000, FETCHED_PAIRS)
+
+
+@query(MATES + PAIR_READS + "select library, chrom, fs as forward_start, fe as forward_end, rs as reverse_start, re as reverse_end from near_region", "pairs")
+def pair_fetch_reads(v):
+    return extract.fetch_region(v.pairs, v.axes, "chrP", 2000, 17000, FETCHED_PAIRS, as_reads=True)
+
+
+@query("select library, qname, chrom, pos, aln_len from pairs where (flag & 193) = 65 and mapq >= 10", "pairs")
+def first_mates(v):
+    return extract.single_reads(v.pairs, ExtractParams(pe="first", min_mapq=10)).select("library", "qname", "chrom", "pos", "aln_len")
+
+
+@query("select library, qname, chrom, pos, aln_len from pairs where (flag & 193) = 129 and (flag & 16) > 0", "pairs")
+def second_mates(v):
+    return extract.single_reads(v.pairs, ExtractParams(pe="second", forward=False)).select("library", "qname", "chrom", "pos", "aln_len")
+
+
+# -- files -------------------------------------------------------------------------------------------
+
+NAMED = """select 's' as library, qname, flag, chrom, pos, mapq, aln_len from reads"""
+
+
+@query(NAMED, "reads")
+def sam_reads(v):
+    """The reads written as SAM text, with clips, an insertion and a deletion, and read back."""
+    cigar = F.concat(F.lit("5S"), (F.col("aln_len") - 10).cast("string"), F.lit("M2I10D3H"))
+    line = F.concat_ws("\t", "qname", "flag", "chrom", "pos", "mapq", cigar, F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"))
+    path = new_path(v.spark, "sam")
+    v.reads.select(line.alias("value")).write.text(path)
+    return read_sam(v.spark, path, "s").drop("mate_chrom", "mate_pos")
+
+
+@query("select chrom, (max(length) - case when chrom < 'chrP' then 7 else 0 end)::int as length, cast(row_number() over (order by chrom) as int) as ord from axes where chrom <> 'chrS' group by chrom", "axes")
+def axes_of_files(v):
+    """Headers of two files: one lacks an axis and has shorter ones."""
+    shorter = F.when(F.col("chrom") < "chrP", F.col("length") - 7).otherwise(F.col("length"))
+    other = v.axes.filter("chrom <> 'chrS'").select("chrom", shorter.alias("length"), F.lit("b").alias("file"))
+    return axis_catalog(v.axes.withColumn("file", F.lit("a")).unionByName(other))
+
+
+GTF = "concat_ws('\t', chrom, 'made', '{kind}', {start}, {end}, '.', strand, '.', concat('gene_id \"', gene_id, '\"; gene_name \"n', gene_id, '\";')) as value"
+
+
+def gene_files(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    path = new_path(v.spark, "gtf")
+    lines = v.exons.selectExpr(GTF.format(kind="exon", start="start", end="`end`"))
+    lines.unionByName(v.transcripts.selectExpr(GTF.format(kind="transcript", start="tx_start", end="tx_end"))).write.text(path)
+    return read_gtf(v.spark, path)
+
+
+@query('select distinct gene_id, chrom, start, "end", strand from exons', "exons")
+def gtf_exons(v):
+    return gene_files(v)[0]
+
+
+@query("select distinct gene_id, chrom, strand, tx_start, tx_end, 'n' || gene_id as symbol from transcripts", "transcripts")
+def gtf_transcripts(v):
+    _, transcripts, symbols = gene_files(v)
+    return transcripts.join(symbols, "gene_id")
+
+
+# -- overlaps ----------------------------------------------------------------------------------------
+
+
+def touching(v: Views, **how) -> DataFrame:
+    placed = v.reads.select("read_id", "chrom", F.col("pos").alias("start"), (F.col("pos") + F.col("aln_len") - 1).alias("end"), F.when(F.col("flag").bitwiseAND(16) > 0, "-").otherwise("+").alias("strand"))
+    return interval_join(placed, v.regions.select(*REGION_COLUMNS, "strand"), **how).select("read_id", F.col("r_region_id").alias("region_id"))
+
+
+TOUCHING = "select read_id, region_id from reads a join regions r on a.chrom = r.chrom and "
+
+
+@query(TOUCHING + 'pos >= start and pos + aln_len - 1 <= "end"', "reads", "regions")
+def overlaps_within(v):
+    return touching(v, within=True)
+
+
+@query(TOUCHING + 'least(pos + aln_len - 1, "end") - greatest(pos, start) + 1 >= 15', "reads", "regions")
+def overlaps_least(v):
+    return touching(v, min_overlap=15)
+
+
+@query(TOUCHING + 'pos <= "end" + 40 and pos + aln_len - 1 >= start - 40', "reads", "regions")
+def overlaps_near(v):
+    return touching(v, gap=40)
+
+
+@query(TOUCHING + """pos <= "end" and pos + aln_len - 1 >= start and r.strand in ('*', case when (flag & 16) > 0 then '-' else '+' end)""", "reads", "regions")
+def overlaps_stranded(v):
+    return touching(v, stranded=True)
+
+
 # -- counting ----------------------------------------------------------------------------------------
 
 GRID = 'grid as (select chrom, k, greatest(1, k * 50 + 1 - 10)::bigint as start, least(length, k * 50 + 1 - 10 + 119)::bigint as "end" from axes, lateral (select unnest(range(cast(floor((length + 10 - 1) / 50) + 1 as bigint))) as k))'
@@ -165,6 +277,16 @@ def region_counts(v):
     return tiles.region_counts(v.reads, v.axes, v.regions.select(*REGION_COLUMNS)).counts.select("region_id", "library", "chrom", "start", "end", "n")
 
 
+@query(f"""+frags as ({FRAGS}), libs as (select distinct library from reads)
+select r.region_id, l.library, r.chrom, r.start, r."end", count(f.library) as n from regions r cross join libs l
+left join frags f on f.library = l.library and f.chrom = r.chrom and f.start <= r."end" and f."end" >= r.start group by all""", "reads", "axes", "regions")
+def written_counts(v):
+    """Region counts written as a container and read back."""
+    folder = new_path(v.spark, "counts")
+    counted_regions(v).write(folder)
+    return CountSet.read(v.spark, folder).counts.select("region_id", "library", "chrom", "start", "end", "n")
+
+
 @query(MATES + """, capped as (select * from classes where class = 'valid' and "end" - start + 1 <= 400)
 select library, chrom, k, k * 100 + 1 as start, least(length, k * 100 + 150)::bigint as "end", n from (
     select f.library, f.chrom, a.length, k, count(*) as n from capped f join axes a on f.chrom = a.chrom, lateral (select unnest(range(cast(floor((a.length - 1) / 100) + 1 as bigint))) as k)
@@ -373,19 +495,26 @@ def consolidate_sizes(v):
     return rounded(clusterfdr.consolidate_sizes(*two_sets(v), tol=3)[1], "p", "fdr")
 
 
-def searched_sql(table: str, target: float, tol: int, sign: str | None = None, key: str = "range_id") -> str:
-    """CTEs of the threshold search over table(chrom, start, end, adj, w): five rounds of a grid, and ids(…, cluster_id) of the best threshold."""
-    out, centre, half = "", f"(select ln({target} / (1 - {target})) as centre)", 10.0
-    for k in range(5):
-        out += f"""points{k} as materialized (select i, level from (select i, 1 / (1 + exp(-(centre - {half} + i * {half} / 10))) as level from {centre}, (select unnest(range(21)) as i)) where level <= {target} * 1.000001),
+@query(BOTH_SETS + """, hits as (select r.region_id as cluster_id, s.* from regions r join sets s on r.chrom = s.chrom and s.start <= r."end" and s."end" >= r.start),
+even as (select * exclude (w), 1e0 / count(*) over (partition by cluster_id, set_id) as w from hits)
+, """ + simes_sql("even", "cluster_id", row="set_id, range_id") + f"select cluster_id, n, up, down, direction, {P_FDR} from {bh('simes')}", "bins", "bins20", "regions")
+def consolidate_regions(v):
+    return rounded(clusterfdr.consolidate_sizes(*two_sets(v), regions=v.regions)[1], "p", "fdr")
+
+
+def searched_sql(table: str, target: float, tol: int, sign: str | None = None, key: str = "range_id", search: clusterfdr.Grid = clusterfdr.Grid()) -> str:
+    """CTEs of the threshold search over table(chrom, start, end, adj, w): rounds of a grid, each with its best, and ids(…, cluster_id) of the best threshold."""
+    out, centre, half = "", f"(select ln({target} / (1 - {target})) as centre)", search.half_range
+    for k in range(search.rounds):
+        out += f"""points{k} as materialized (select i, level from (select i, 1 / (1 + exp(-(centre - {half} + i * 2 * {half} / {search.points - 1}))) as level from {centre}, (select unnest(range({search.points})) as i)) where level <= {target} * 1.000001),
 chosen{k} as materialized (select t.*, i, level from {table} t join points{k} on adj <= level),
 """ + merged(f"chosen{k}", tol, key, "i, chrom", "i, chrom", sign, f"ids{k}").lstrip("+") + f""", sizes{k} as (select i, level, cluster_id, sum(w) as size from ids{k} group by all),
 runs{k} as (select i, level, sum(size) over (partition by i order by size, cluster_id) as run, sum(size) over (partition by i) * level as room, size from sizes{k}),
 fdrs{k} as (select i, count(*) filter (run <= room + size * 1e-9) / count(*) as fdr from runs{k} group by i),
-best{k} as materialized (select arg_max(level, (-abs(coalesce(fdr, 0) - {target}), level)) as level from points{k} left join fdrs{k} using (i)),
+best{k} as materialized (select arg_max(level, (-abs(coalesce(fdr, 0) - {target}), level)) as level, arg_max(coalesce(fdr, 0), (-abs(coalesce(fdr, 0) - {target}), level)) as fdr from points{k} left join fdrs{k} using (i)),
 """
-        centre, half = f"(select ln(level / (1 - level)) as centre from best{k})", half / 4
-    return out + f"significant as (select t.* from {table} t, best4 where adj <= level),\n" + merged("significant", tol, key, sign=sign).lstrip("+")
+        centre, half = f"(select ln(level / (1 - level)) as centre from best{k})", half / search.contraction
+    return out + f"significant as (select t.* from {table} t, best{search.rounds - 1} where adj <= level),\n" + merged("significant", tol, key, sign=sign).lstrip("+")
 
 
 EXTENTS = 'select cluster_id, min(chrom) as chrom, min(start)::int as start, max("end")::int as "end", count(*) as n from ids group by cluster_id'
@@ -410,6 +539,29 @@ def consolidate_clusters(v):
     return found
 
 
+@query(BOTH_SETS + f""", cubed as (select * exclude (w), pow("PValue", 3) as p3, 1e0 / count(*) over (partition by set_id) as w from sets),
+tested as materialized (select * from {bh("cubed", "p3", "w", "adj")}),
+""" + searched_sql("tested", 0.3, 7, key="set_id, range_id") + "select s.set_id, s.range_id, i.cluster_id from sets s left join ids i on s.set_id = i.set_id and s.range_id = i.range_id", "bins", "bins20")
+def consolidated_windows(v):
+    """The windows of each set with their clusters."""
+    sets, results = two_sets(v)
+    results = [r.withColumn("PValue", F.pow("PValue", F.lit(3.0))) for r in results]
+    return clusterfdr.consolidate_clusters(sets, results, 0.3, 7)[0].select("set_id", "range_id", "cluster_id")
+
+
+COARSE = clusterfdr.Grid(half_range=6.0, points=9, rounds=3, contraction=2.0)
+
+
+@query(f"""+cubed as (select * exclude (w), pow("PValue", 3) as p3, 1e0 as w from bins),
+tested as materialized (select * from {bh("cubed", "p3", "w", "adj")}),
+""" + searched_sql("tested", 0.3, 7, search=COARSE) + "select round(level, 9) as level, round(fdr, 9) as fdr from best2", "bins")
+def threshold_search(v):
+    """The threshold for a rule of clustering given as a function, on a grid of one's own."""
+    rows = adjusted(v.bins().withColumn("p", F.pow("PValue", F.lit(3.0))), "p", "adj")
+    found = clusterfdr.control_cluster_fdr(0.3, rows, "adj", lambda chosen, within: clusters.merge_windows(chosen, 7, within=within), batched=False, search=COARSE)
+    return rounded(v.spark.createDataFrame([found], "level double, fdr double"), "level", "fdr")
+
+
 # -- profiles ----------------------------------------------------------------------------------------
 
 
@@ -456,6 +608,11 @@ def site_profile_total(v):
     return rounded(profiles.site_profile(v.reads, v.axes, v.regions, reach=300, normalize="total", skip_empty=True), "value")
 
 
+@query(COVERAGE + ', by_site as (select *, n / max(n) over (partition by region_id) as s from cov) select o."offset"::int as "offset", round(coalesce(sum(s), 0) / (select count(distinct region_id) from cov), 9) as value from offsets o left join by_site c on o."offset" = c."offset" group by all', "reads", "axes", "regions")
+def site_profile_max(v):
+    return rounded(profiles.site_profile(v.reads, v.axes, v.regions, reach=300, normalize="max", skip_empty=True), "value")
+
+
 STRANDED_COVERAGE = COVERAGE.replace("join frags f on r.chrom = f.chrom", "join frags f on r.chrom = f.chrom and f.strand = case when r.strand = '-' then '-' else '+' end").replace("regions r join", "(select region_id, chrom, strand, case when strand = '-' then \"end\" else start end as start from regions) r join").replace("select r.region_id, o as", "select r.region_id, case when r.strand = '-' then -o else o end as")
 
 
@@ -608,6 +765,19 @@ def rle_factors(v):
     return rounded(normalise.norm_offsets(counted_regions(v), method="RLE"), "norm_factor")
 
 
+NORMALISED = COUNTED + ", factors as (select library, quantile_cont(n / size, 0.75) as f from y group by library), norms as (" + GEOMETRIC + ")\n"
+
+
+@query(NORMALISED + "select l.library, l.size::bigint as total, norm_factor from libs l join norms n on l.library = n.library", "reads", "axes", "regions")
+def normalised_libraries(v):
+    return rounded(normalise.normalize(counted_regions(v), method="upperquartile").libraries.select("library", "total", "norm_factor"), "norm_factor")
+
+
+@query(NORMALISED + "select l.library, l.size as lib_size, norm_factor from libs l join norms n on l.library = n.library", "reads", "axes", "regions")
+def model_samples(v):
+    return rounded(normalise.model_tables(normalise.normalize(counted_regions(v), method="upperquartile"))[1], "norm_factor")
+
+
 @query()
 def loess_offsets(v):
     return rounded(normalise.norm_offsets(counted_regions(v), "loess"), "offset").select("region_id", "library", "offset")
@@ -640,7 +810,7 @@ def gene_features(v):
     return features_of(v)
 
 
-@query(FEATURES + """, touching as (
+ANNOTATED = """, touching as (
     select region_id, 'overlap' as mode, f.*, null as d from regions r join features f on r.chrom = f.chrom and f.start <= r."end" and f."end" >= r.start
     union all select region_id, 'left', f.*, r.start - f."end" from regions r join features f on r.chrom = f.chrom and f.exon > 0 and r.start - f."end" between 1 and 400
     union all select region_id, 'right', f.*, f.start - r."end" from regions r join features f on r.chrom = f.chrom and f.exon > 0 and f.start - r."end" between 1 and 400),
@@ -649,6 +819,14 @@ texts as (select region_id, mode, internal, case when min(exon) = max(exon) then
 genes as (select t.region_id, t.mode, t.internal, t.symbol || '|' || coalesce((select string_agg(x.t, ',' order by x.at) from texts x where x.region_id = t.region_id and x.mode = t.mode and x.internal = t.internal), 'I') || '|' || t.strand || case when min(d) is null then '' else '[' || min(d) || ']' end as g
     from touching t group by t.region_id, t.mode, t.internal, t.symbol, t.strand)
 select r.region_id, coalesce(string_agg(g, ',' order by internal) filter (mode = 'overlap'), '') as overlap, coalesce(string_agg(g, ',' order by internal) filter (mode = 'left'), '') as "left", coalesce(string_agg(g, ',' order by internal) filter (mode = 'right'), '') as "right"
-from regions r left join genes g on r.region_id = g.region_id group by r.region_id""", "transcripts", "symbols", "axes", "regions")
+from regions r left join genes g on r.region_id = g.region_id group by r.region_id"""
+
+
+@query(FEATURES + ANNOTATED, "transcripts", "symbols", "axes", "regions")
 def annotate_regions(v):
     return annotate.annotate_regions(v.regions.select(*REGION_COLUMNS), features_of(v), 400)
+
+
+@query(FEATURES + ANNOTATED.replace("on r.chrom = f.chrom", "on r.chrom = f.chrom and (r.strand = f.strand or r.strand = '*')"), "transcripts", "symbols", "axes", "regions")
+def annotate_stranded(v):
+    return annotate.annotate_regions(v.regions.select(*REGION_COLUMNS, "strand"), features_of(v), 400, ignore_strand=False)
