@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, langid, media, minhash, mixing, secrets, tokenstore, toxicity, warc
+from . import decontaminate, extract, langid, media, minhash, mixing, negatives, quality, secrets, tokenstore, toxicity, warc, whitening
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_token_store": tokenstore.op8_token_store,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_main_text": extract.op10_main_text,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_quality_rules": quality.op13_quality_rules,
 }
 
 ORACLES = {
     "op3_mix_sources": mixing.OP3_SQL,
     "op6_warc_archive": warc.OP6_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
+    "op13_quality_rules": quality.OP13_SQL,
 }
