@@ -19,10 +19,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTERS, NON_SPACE, map_arrow, mix64, read_table, text_blocks, word_hashes
+from .common import LETTERS, NON_SPACE, map_arrow, mix64, read_table, stored, text_blocks, word_hashes
 
 #: Fixed values of the base rule: words of a window, least words, most repeated words in a hundred.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 3, 50, 50
@@ -132,8 +132,9 @@ def references(docs: DataFrame, text_col: str, lang_col: str) -> list[Reference]
     """A reference for each language, in the order of their names, counted over all rows of docs."""
     rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")).filter("lang is not null and text is not null")
     counts = map_arrow(rows, _count, "lang string, is_word boolean, key bigint, n bigint").groupBy("lang", "is_word", "key").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("lang", "is_word"))
-    found = counts.withColumn("total", total).filter(~F.col("is_word") | (F.col("n") * COMMON >= F.col("total")))
+    counts = stored(counts, "word-counts")
+    totals = counts.groupBy("lang", "is_word").agg(F.sum("n").alias("total"))
+    found = counts.join(totals, ["lang", "is_word"]).filter(~F.col("is_word") | (F.col("n") * COMMON >= F.col("total")))
     # at most COMMON words and the classes of each language
     found = found.limit(MOST_LANGUAGES * (COMMON + N_CLASSES) + 1).collect()
     langs = sorted({r["lang"] for r in found})
