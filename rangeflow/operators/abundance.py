@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.containers import CountSet
+from ..plans.quantiles import exact_quantile
 from ..plans.scans import block_scan, value_blocks
 from ..plans.tables import settle
 from ..shipping import ship
@@ -110,7 +111,7 @@ def global_background(rows: DataFrame, axes: DataFrame, spacing: int, sizes: lis
         seen = 1.0
     if seen < 0.5:
         return float(average_abundance(np.zeros((1, len(sizes))), np.array(sizes), np.ones(1), prior, DISPERSION)[0])
-    return rows.agg(F.percentile("abundance", 1 - 0.5 / seen)).first()[0]
+    return exact_quantile(rows, "abundance", 1 - 0.5 / seen).first()[0]
 
 
 def filter_global(data: CountSet, axes: DataFrame, background: CountSet | None = None, prior: float = PRIOR) -> DataFrame:
@@ -121,7 +122,7 @@ def filter_global(data: CountSet, axes: DataFrame, background: CountSet | None =
         level = global_background(rows, axes, data.spacing, sizes, prior)
     else:
         _same_sizes(data, background)
-        width = lambda d: d.ranges().agg(F.percentile(effective_width(F.col("start"), F.col("end"), fragment_length(d)), 0.5)).first()[0]
+        width = lambda d: exact_quantile(d.ranges(), effective_width(F.col("start"), F.col("end"), fragment_length(d)), 0.5).first()[0]
         ratio = (width(background) or 1.0) / (width(data) or 1.0)  # without ranges any ratio will do
         bins = settle(scaled_average(background.matrix(names), sizes, scale=ratio, prior=prior))
         level = global_background(bins, axes, background.spacing, sizes, prior)
@@ -150,7 +151,7 @@ def filter_control(data: CountSet, control: CountSet, norm: float | tuple[CountS
     norm scales the control's sizes: a factor, or (data bins, control bins) whose median enrichment gives it.
     """
     if not isinstance(norm, (int, float)):
-        median = filter_control(norm[0], norm[1], 1.0, prior=0.0).filter(~F.isnan("filter") & (F.abs("filter") < float("inf"))).agg(F.percentile("filter", 0.5)).first()[0]
+        median = exact_quantile(filter_control(norm[0], norm[1], 1.0, prior=0.0).filter(~F.isnan("filter") & (F.abs("filter") < float("inf"))), "filter", 0.5).first()[0]
         norm = 2 ** -(median or 0.0)
     names, sizes = library_sizes(data)
     c_names, c_sizes = library_sizes(control)

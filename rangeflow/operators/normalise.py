@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import warn
 from ..plans.containers import CountSet
+from ..plans.quantiles import exact_quantile
 from ..plans.tables import settle
 from ..shipping import ship
 from .abundance import average_rank, library_sizes, scaled_average
@@ -37,14 +38,15 @@ def _geometric(factors: DataFrame) -> DataFrame:
 
 
 def upper_quartile_factors(data: CountSet, sizes: DataFrame | None = None, p: float = 0.75) -> DataFrame:
-    return _geometric(_long(data, sizes).groupBy("library").agg(F.percentile(F.col("n") / F.col("size"), p).alias("f")))
+    return _geometric(exact_quantile(_long(data, sizes), F.col("n") / F.col("size"), p, ("library",), "f"))
 
 
 def rle_factors(data: CountSet, sizes: DataFrame | None = None) -> DataFrame:
     """Median ratio to the geometric mean over libraries, by library size."""
     rows = _long(data, sizes)
     means = rows.groupBy("range").agg(F.min("n").alias("least"), F.exp(F.avg(F.log(F.greatest("n", F.lit(1.0))))).alias("gm")).filter("least > 0")
-    return _geometric(rows.join(means, "range").groupBy("library", "size").agg(F.percentile(F.col("n") / F.col("gm"), 0.5).alias("m")).select("library", (F.col("m") / F.col("size")).alias("f")))
+    medians = exact_quantile(rows.join(means, "range"), F.col("n") / F.col("gm"), 0.5, ("library", "size"), "m")
+    return _geometric(medians.select("library", (F.col("m") / F.col("size")).alias("f")))
 
 
 def tmm_factors(data: CountSet, sizes: DataFrame | None = None, weighted: bool = False) -> DataFrame:
@@ -54,7 +56,7 @@ def tmm_factors(data: CountSet, sizes: DataFrame | None = None, weighted: bool =
     over ties and taken by scans over distinct values, not by sorting a library in one task.
     """
     rows = _long(data, sizes)
-    quartiles = rows.groupBy("library", "size").agg(F.percentile(F.col("n") / F.col("size"), 0.75).alias("q"))  # a row for each library
+    quartiles = exact_quantile(rows, F.col("n") / F.col("size"), 0.75, ("library", "size"))  # a row for each library
     ref = quartiles.withColumn("d", F.abs(F.col("q") - F.avg("q").over(Window.partitionBy()))).agg(F.min_by("library", F.struct("d", "library")).alias("ref")).first()["ref"]
     base = rows.filter(F.col("library") == ref).select("range", F.col("n").alias("rn"), F.col("size").alias("rs"))
     both = rows.join(base, "range").filter("n > 0 and rn > 0")
@@ -113,6 +115,14 @@ def lowess(x: np.ndarray, y: np.ndarray, w: np.ndarray, span: float = 0.3, round
     return knots, fit(knots)
 
 
+def _interpolated(x: Column) -> Column:
+    """The value at x between the knots around it; that of the outermost knot beyond them."""
+    left = F.greatest(F.size(F.filter("knots", lambda k: k <= x)), F.lit(1))
+    right = F.least(left + 1, F.size("knots"))
+    x0, x1, y0, y1 = (F.element_at(c, i) for c in ("knots", "values") for i in (left, right))
+    return F.when((x > x0) & (x1 > x0), y0 + (y1 - y0) * (x - x0) / (x1 - x0)).otherwise(y0)
+
+
 def loess_offsets(data: CountSet, span: float = 0.3) -> DataFrame:
     """(range keys, library, offset): trends of each library's log counts against the average, less the mean over libraries.
 
@@ -121,6 +131,8 @@ def loess_offsets(data: CountSet, span: float = 0.3) -> DataFrame:
     """
     ship(data.counts.sparkSession)
     names, sizes = library_sizes(data)
+    if not names:
+        return data.counts.select(*data.keys, "library", F.lit(0.0).alias("offset")).filter("false")
     mean = sum(sizes) / len(sizes)
     rows = scaled_average(data.matrix(names), sizes, prior=0.5).withColumn("covariate", F.round(F.col("abundance") * float(np.log(2)), 9)).drop("abundance")
     points = F.arrays_zip(F.array(*map(F.lit, names)).alias("library"), F.col("y").alias("n"), F.array(*[F.lit(s) for s in sizes]).alias("size"))
@@ -137,12 +149,8 @@ def loess_offsets(data: CountSet, span: float = 0.3) -> DataFrame:
         knots, values = lowess(*(points[c].to_numpy() for c in "xyw"), span)
         return pd.DataFrame({"library": points["library"].iloc[:1], "knots": [knots], "values": [values]})
 
-    @F.pandas_udf("double")
-    def read(at: pd.Series, knots: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([np.interp(*p) for p in zip(at, knots, values, strict=True)], dtype="float64")
-
     fitted = cells.groupBy("library").applyInPandas(trend, "library string, knots array<double>, values array<double>")
-    out = rows.join(F.broadcast(fitted), "library").withColumn("offset", read("covariate", "knots", "values"))  # a row of LOESS_KNOTS knots for each library
+    out = rows.join(F.broadcast(fitted), "library").withColumn("offset", _interpolated(F.col("covariate")))  # a row of LOESS_KNOTS knots for each library
     return out.withColumn("offset", F.col("offset") - F.avg("offset").over(Window.partitionBy(*data.keys))).select(*data.keys, "library", "offset")
 
 
