@@ -2,13 +2,18 @@
 
 spark.dataSource.register(BamDataSource); spark.read.format("bam").load(path). A file with an index
 (.bai) is cut at the record offsets of its linear index into partitions of about partitionBytes;
-without one it is a single partition. The option chroms, names with commas between, reads only the
-records and, with an index, the partitions of these axes. Filters aren't pushed down: Spark keeps
-them for a frame's later queries, which would lose rows.
+without one it is cut at bytes, and a partition begins with the first record after its first byte.
+The option chroms, names with commas between, reads only the records and, with an index, the
+partitions of these axes. The option region, name:start-end or a name, reads only the records that
+overlap it and, with an index, only the chunks that may hold them; the region is clamped to its axis,
+an unknown name or an empty region is an error. Filters aren't pushed down: Spark keeps them for a
+frame's later queries, which would lose rows.
 """
 
 from __future__ import annotations
 
+import bisect
+import re
 import struct
 import zlib
 from dataclasses import dataclass
@@ -18,7 +23,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SCHEMA = "library string, qname string, flag int, chrom string, pos int, mapq int, aln_len int, mate_chrom string, mate_pos int"
 #: Fixed values of the format: CIGAR operations in code order, and those that use up the axis.
 CIGAR, ON_AXIS = "MIDNSHP=X", frozenset("MDN=X")
+#: Fixed values of the index: for each level of its bins, the bits that a place is shifted and the first bin; bin 0 holds everything.
+BIN_LEVELS, LINEAR_SHIFT = ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)), 14
+#: Fixed values of the block compression: the first bytes of a block, and its greatest size.
+MAGIC, BLOCK_LIMIT = b"\x1f\x8b\x08\x04", 1 << 16
 PARTITION_BYTES = 64 << 20
+#: A record's start is recognised by so many sound records in a row, each with at most so many bytes of tags.
+CHAIN, TAG_BYTES = 8, 1 << 20
 #: Records of a batch handed to Spark.
 BATCH_ROWS = 8192
 END = 1 << 63
@@ -38,6 +49,17 @@ def _exists(path: str) -> bool:
     return store.get_file_info(name).type == fs.FileType.File
 
 
+def _size_in(extra: bytes) -> int | None:
+    """The size of a block from its extra fields."""
+    at = 0
+    while at + 4 <= len(extra):
+        kind, n = extra[at : at + 2], struct.unpack_from("<H", extra, at + 2)[0]
+        if kind == b"BC" and at + 6 <= len(extra):
+            return struct.unpack_from("<H", extra, at + 4)[0] + 1
+        at += 4 + n
+    return None
+
+
 class BlockReader:
     """Uncompressed bytes of a block-compressed file from a virtual offset on."""
 
@@ -53,15 +75,10 @@ class BlockReader:
         if len(head) < 12:
             self.data = b""
             return False
-        if head[:4] != b"\x1f\x8b\x08\x04":
+        if head[:4] != MAGIC:
             raise ValueError("not a block-compressed file")
         extra = self.file.read(struct.unpack_from("<H", head, 10)[0])
-        at, size = 0, None
-        while at + 4 <= len(extra):
-            kind, n = extra[at : at + 2], struct.unpack_from("<H", extra, at + 2)[0]
-            if kind == b"BC":
-                size = struct.unpack_from("<H", extra, at + 4)[0] + 1
-            at += 4 + n
+        size = _size_in(extra)
         if size is None:
             raise ValueError("a block without its size")
         body = self.file.read(size - 12 - len(extra))
@@ -104,18 +121,108 @@ def read_header(reader: BlockReader) -> list[tuple[str, int]]:
     return axes
 
 
-def read_index(data: bytes) -> list[list[int]]:
-    """For each axis the sorted distinct record offsets of its linear index."""
+def block_after(file, at: int) -> int | None:
+    """The place of the first block that starts at byte `at` or behind it; None after the last."""
+    file.seek(at)
+    data = file.read(3 * BLOCK_LIMIT)  # the block that holds the byte, and the two behind it
+    place = data.find(MAGIC)
+    while place >= 0:
+        extra = struct.unpack_from("<H", data, place + 10)[0] if place + 12 <= len(data) else 0
+        size = _size_in(data[place + 12 : place + 12 + extra])
+        if size and data[place + size : place + size + 4] in (MAGIC, b""):
+            return at + place
+        place = data.find(MAGIC, place + 1)
+    return None
+
+
+def _sound(data: bytes, at: int, axes: list[tuple[str, int]]) -> int:
+    """The size of the record that starts at `at`, 0 if none can start there."""
+    size, ref, pos, name_size, _, _, ops, _, bases, mate_ref, mate_pos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
+    for r, p in ((ref, pos), (mate_ref, mate_pos)):
+        if not -1 <= r < len(axes) or p < -1 or r >= 0 and p > axes[r][1]:
+            return 0
+    least = 32 + name_size + 4 * ops + (bases + 1) // 2 + bases
+    name = data[at + 36 : at + 36 + name_size]
+    if bases < 0 or not least <= size <= least + TAG_BYTES or not name.endswith(b"\0") or not all(32 < c < 127 for c in name[:-1]):
+        return 0
+    cigar = data[at + 36 + name_size : at + 36 + name_size + 4 * ops : 4]
+    return size + 4 if all(c & 15 < len(CIGAR) for c in cigar) else 0
+
+
+def record_after(file, block: int, axes: list[tuple[str, int]]) -> int:
+    """The virtual offset of the first record that starts in the block or behind it; END if there is none.
+
+    A start is where a chain of sound records begins, or one that ends with the file.
+    """
+    reader = BlockReader(file, block << 16)
+    data, places, more = reader.data, [(0, block)], True
+
+    def load(upto: int) -> bool:
+        nonlocal data, more
+        while more and len(data) < upto:
+            places.append((len(data), reader.next))
+            more = reader._load()
+            data += reader.data
+        return len(data) >= upto
+
+    def chained(at: int) -> bool:
+        for _ in range(CHAIN):
+            if not load(at + 36):
+                return at == len(data)
+            if not load(at + 36 + data[at + 12] + 4 * struct.unpack_from("<H", data, at + 16)[0]) or not (size := _sound(data, at, axes)):
+                return False
+            at += size
+        return True
+
+    at = 0
+    while load(at + 36):
+        # its name and operations may lie in the next block: chained() loads them
+        if -1 <= struct.unpack_from("<i", data, at + 4)[0] < len(axes) and chained(at):
+            start, of = places[bisect.bisect_right(places, (at, END)) - 1]
+            return of << 16 | at - start
+        at += 1
+    return END
+
+
+@dataclass
+class AxisIndex:
+    """An axis in the index: the chunks of its bins, and the first record offset for each stretch."""
+
+    bins: dict[int, list[tuple[int, int]]]
+    linear: list[int]
+
+    def offsets(self) -> list[int]:
+        return sorted({x for x in self.linear if x})
+
+    def chunks(self, start: int, end: int) -> list[tuple[int, int]]:
+        """Merged stretches of the file with all records that overlap start to end (from 1, both inside)."""
+        lo, hi = start - 1, end - 1
+        wanted = [0] + [b for shift, first in BIN_LEVELS for b in range(first + (lo >> shift), first + (hi >> shift) + 1)]
+        before = self.linear[lo >> LINEAR_SHIFT] if lo >> LINEAR_SHIFT < len(self.linear) else 0
+        found = sorted((max(a, before), b) for w in wanted for a, b in self.bins.get(w, ()) if b > before)
+        out: list[tuple[int, int]] = []
+        for a, b in found:
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
+        return out
+
+
+def read_index(data: bytes) -> list[AxisIndex]:
     if data[:4] != b"BAI\x01":
         raise ValueError("not a BAM index")
     at, out = 8, []
     for _ in range(struct.unpack_from("<i", data, 4)[0]):
-        bins = struct.unpack_from("<i", data, at)[0]
-        at += 4
-        for _ in range(bins):
-            at += 8 + 16 * struct.unpack_from("<i", data, at + 4)[0]
+        bins: dict[int, list[tuple[int, int]]] = {}
+        at, n_bins = at + 4, struct.unpack_from("<i", data, at)[0]
+        for _ in range(n_bins):
+            number, chunks = struct.unpack_from("<Ii", data, at)
+            ends = struct.unpack_from(f"<{2 * chunks}Q", data, at + 8)
+            bins[number] = list(zip(ends[::2], ends[1::2], strict=True))
+            at += 8 + 16 * chunks
         n = struct.unpack_from("<i", data, at)[0]
-        out.append(sorted({x for x in struct.unpack_from(f"<{n}Q", data, at + 4) if x}))
+        out.append(AxisIndex(bins, list(struct.unpack_from(f"<{n}Q", data, at + 4))))
         at += 4 + 8 * n
     return out
 
@@ -129,14 +236,34 @@ def record(data: bytes, axes: list[tuple[str, int]], library: str) -> tuple:
     return library, qname, flag, name(ref), pos + 1, mapq, length, name(mate_ref), mate_pos + 1
 
 
+def read_region(text: str) -> tuple[str, int | None, int | None]:
+    """(name, start, end) of name:start-end, or of a name alone."""
+    found = re.fullmatch(r"(.+):(\d+)-(\d+)", text)
+    return (found[1], int(found[2]), int(found[3])) if found else (text, None, None)
+
+
+def clamped(region: tuple[str, int | None, int | None], axes: list[tuple[str, int]]) -> tuple[str, int, int]:
+    name, start, end = region
+    length = dict(axes).get(name)
+    if length is None:
+        raise ValueError(f"unknown axis {name}")
+    start, end = max(1, start or 1), min(length, end if end is not None else length)
+    if start > end:
+        raise ValueError(f"the region's start is behind its end or its axis: {name}:{region[1]}-{region[2]}")
+    return name, start, end
+
+
 @dataclass
 class BamSlice(InputPartition):
+    """Records that start between two virtual offsets or, in_bytes, in blocks that start between two bytes."""
+
     path: str
     start: int
     end: int
+    in_bytes: bool
 
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, start: int, end: int, in_bytes: bool = False):
+        self.path, self.start, self.end, self.in_bytes = path, start, end, in_bytes
 
 
 class BamDataSource(DataSource):
@@ -157,6 +284,16 @@ class BamReader(DataSourceReader):
         self.library = options.get("library")
         self.partition_bytes = int(options.get("partitionBytes", PARTITION_BYTES))
         self.chroms = set(options["chroms"].split(",")) if options.get("chroms") else None
+        self.region = read_region(options["region"]) if options.get("region") else None
+
+    def _cut(self, path: str, start: int, end: int, offsets: list[int]) -> list[BamSlice]:
+        """Slices from start to end of about partition_bytes, cut at record offsets."""
+        out = []
+        for o in offsets:
+            if start < o < end and (o >> 16) - (start >> 16) >= self.partition_bytes:
+                out.append(BamSlice(path, start, o))
+                start = o
+        return [*out, BamSlice(path, start, end)]
 
     def partitions(self):
         out = []
@@ -164,24 +301,27 @@ class BamReader(DataSourceReader):
             with _open(path) as file:
                 reader = BlockReader(file)
                 axes = read_header(reader)
-                first = reader.tell()
+                first, size = reader.tell(), file.size()
+            region = clamped(self.region, axes) if self.region else None
             index = next((p for p in (path + ".bai", path.removesuffix(".bam") + ".bai") if _exists(p)), None)
             if index is None:
-                out.append(BamSlice(path, first, END))
+                cuts = range(0, max(1, size), self.partition_bytes)
+                out += [BamSlice(path, cut, min(cut + self.partition_bytes, size), True) for cut in cuts]
                 continue
             with _open(index) as file:
-                offsets = read_index(file.read())
+                found = read_index(file.read())
+            offsets = [a.offsets() for a in found]
+            if region:
+                of = [name for name, _ in axes].index(region[0])
+                for start, end in found[of].chunks(*region[1:]) if of < len(found) else []:
+                    out += self._cut(path, start, end, offsets[of])
+                continue
             starts = [(o[0], name) for (name, _), o in zip(axes, offsets, strict=False) if o]
             for i, (_, name) in enumerate(starts):
                 if self.chroms is not None and name not in self.chroms:
                     continue
                 own = offsets[[a for a, _ in axes].index(name)]
-                end, at = starts[i + 1][0] if i + 1 < len(starts) else END, own[0]
-                for o in own[1:]:
-                    if (o >> 16) - (at >> 16) >= self.partition_bytes:
-                        out.append(BamSlice(path, at, o))
-                        at = o
-                out.append(BamSlice(path, at, end))
+                out += self._cut(path, own[0], starts[i + 1][0] if i + 1 < len(starts) else END, own)
             if not starts:
                 out.append(BamSlice(path, first, END))
         return out or [BamSlice("", 0, 0)]
@@ -192,14 +332,24 @@ class BamReader(DataSourceReader):
         library = self.library or partition.path.rsplit("/", 1)[-1].removesuffix(".bam")
         rows: list[tuple] = []
         with _open(partition.path) as file:
-            axes = read_header(BlockReader(file))
-            reader = BlockReader(file, partition.start)
-            while (at := reader.tell()) < partition.end and at != END:
+            head = BlockReader(file)
+            axes = read_header(head)
+            region = clamped(self.region, axes) if self.region else None
+            start, end = partition.start, partition.end
+            if partition.in_bytes:
+                block = block_after(file, start)
+                behind = block_after(file, end)
+                end = END if behind is None else behind << 16
+                start = head.tell() if not start else END if block is None or block << 16 >= end else record_after(file, block, axes)
+            if start >= end:
+                return
+            reader = BlockReader(file, start)
+            while (at := reader.tell()) < end and at != END:
                 size = reader.read(4)
                 if len(size) < 4:
                     break
                 row = record(reader.read(struct.unpack("<i", size)[0]), axes, library)
-                if self.chroms is None or row[3] in self.chroms:
+                if (self.chroms is None or row[3] in self.chroms) and (region is None or row[3] == region[0] and row[4] <= region[2] and row[4] + max(row[6], 1) > region[1]):
                     rows.append(row)
                 if len(rows) == BATCH_ROWS:
                     yield _batch(rows)

@@ -11,7 +11,7 @@ from rangeflow.operators import extract
 from rangeflow.params import ExtractParams
 from rangeflow.sources import bam, genes, sam
 
-AXES = [("chrA", 5000), ("chrB", 3000), ("chrC", 400)]
+AXES = [("chrA", 500_000), ("chrB", 300_000), ("chrC", 40_000)]
 OPS = {c: i for i, c in enumerate(bam.CIGAR)}
 
 
@@ -63,24 +63,35 @@ def write_bam(path, rows, size=1000, index=False):
     if index:
         offset = lambda s: places[s - s % size] << 16 | s % size
         text = b"BAI\x01" + struct.pack("<i", len(AXES))
-        for a in range(len(AXES)):
-            own = [offset(s) for s, r in zip(starts, rows, strict=True) if r[2] == a][::50]
-            text += struct.pack("<ii", 0, len(own)) + struct.pack(f"<{len(own)}Q", *own)
+        ends = [*starts[1:], len(data)]
+        for a, (_, length) in enumerate(AXES):
+            linear, bins = [0] * (-(-length >> 14)), {}
+            for s, e, r in zip(starts, ends, rows, strict=True):
+                if r[2] == a:
+                    lo, hi = r[3] - 1, max(r[3], r[3] - 1 + sum(n for n, c in r[5] if c in "MDN=X")) - 1
+                    number = next((first + (lo >> shift) for shift, first in bam.BIN_LEVELS if lo >> shift == hi >> shift), 0)
+                    bins.setdefault(number, []).append((offset(s), offset(e) if e < len(data) else len(out) << 16))
+                    for k in range(lo >> 14, min(hi >> 14, len(linear) - 1) + 1):
+                        linear[k] = linear[k] or offset(s)
+            text += struct.pack("<i", len(bins))
+            for number, chunks in bins.items():
+                text += struct.pack("<Ii", number, len(chunks)) + b"".join(struct.pack("<2Q", *c) for c in chunks)
+            text += struct.pack("<i", len(linear)) + struct.pack(f"<{len(linear)}Q", *linear)
         path.with_suffix(".bam.bai").write_bytes(text)
 
 
 def test_sam_text(spark, tmp_path):
     rows = alignments(200)
     (tmp_path / "one.sam").write_text(sam_text(rows))
-    (tmp_path / "two.sam").write_text(sam_text(rows[:50]).replace("LN:5000", "LN:4000").replace("@SQ\tSN:chrC\tLN:400\n", ""))
+    (tmp_path / "two.sam").write_text(sam_text(rows[:50]).replace("LN:500000", "LN:400000").replace("@SQ\tSN:chrC\tLN:40000\n", ""))
     got = sam.read_sam(spark, str(tmp_path / "*.sam"))
     assert Counter(map(tuple, got.collect())) == expected(rows, "one") + expected(rows[:50], "two")
     assert {r["library"] for r in sam.read_sam(spark, str(tmp_path / "one.sam"), "mine").collect()} == {"mine"}
     with pytest.warns(UserWarning, match="axis lengths differ"):
         axes = sam.axis_catalog(sam.read_sam_axes(spark, str(tmp_path / "*.sam"))).orderBy("ord").collect()
-    assert [tuple(r) for r in axes] == [("chrA", 4000, 1), ("chrB", 3000, 2)]
+    assert [tuple(r) for r in axes] == [("chrA", 400_000, 1), ("chrB", 300_000, 2)]
     one = sam.axis_catalog(sam.read_sam_axes(spark, str(tmp_path / "one.sam")), restrict=("chrB", "unknown")).collect()
-    assert [tuple(r) for r in one] == [("chrB", 3000, 1)]
+    assert [tuple(r) for r in one] == [("chrB", 300_000, 1)]
     assert sam.leftover_count(got, ("chrA", "chrB", "chrC")) == 1
 
 
@@ -91,7 +102,7 @@ def test_bam(spark, tmp_path, index):
     spark.dataSource.register(bam.BamDataSource)
     got = spark.read.format("bam").option("partitionBytes", 4000).load(str(tmp_path / "lib.bam"))
     assert Counter(map(tuple, got.collect())) == expected(rows, "lib")
-    assert (got.rdd.getNumPartitions() > 5) == index
+    assert got.rdd.getNumPartitions() > 5
     assert bam.bam_axes([str(tmp_path / "lib.bam")]) == [(str(tmp_path / "lib.bam"), n, size) for n, size in AXES]
 
 
@@ -108,6 +119,44 @@ def test_bam_of_some_axes(spark, tmp_path, index):
     assert load(chroms="none").count() == 0
 
 
+@pytest.mark.parametrize("size", [70, 1000, 60_000])
+@pytest.mark.parametrize("cut", [997, 5000])
+def test_bam_without_index_is_cut_anywhere(tmp_path, size, cut):
+    """Blocks smaller than a record, and cuts anywhere: each record is in one slice."""
+    rows = alignments(700)
+    write_bam(tmp_path / "lib.bam", rows, size=size)
+    reader = bam.BamReader({"path": str(tmp_path / "lib.bam"), "partitionBytes": cut})
+    slices = reader.partitions()
+    assert len(slices) == -(-(tmp_path / "lib.bam").stat().st_size // cut)
+    got = [tuple(r.values()) for s in slices for batch in reader.read(s) for r in batch.to_pylist()]
+    assert Counter(got) == expected(rows, "lib") and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("index", [False, True])
+@pytest.mark.parametrize("region,axis,start,end", [("chrA:100000-120000", 0, 100_000, 120_000), ("chrB", 1, 1, 300_000), ("chrB:299990-999999", 1, 299_990, 300_000), ("chrC:0-1", 2, 1, 1)])
+def test_bam_region(tmp_path, index, region, axis, start, end):
+    rows = alignments()
+    write_bam(tmp_path / "lib.bam", rows, index=index)
+    reader = bam.BamReader({"path": str(tmp_path / "lib.bam"), "partitionBytes": 4000, "region": region})
+    got = Counter(tuple(r.values()) for s in reader.partitions() for batch in reader.read(s) for r in batch.to_pylist())
+    inside = [r for r in rows if r[2] == axis and r[3] <= end and r[3] + max(1, sum(n for n, c in r[5] if c in "MDN=X")) > start]
+    assert got == expected(inside, "lib")
+
+
+def test_bam_region_reads_only_its_blocks(tmp_path):
+    write_bam(tmp_path / "lib.bam", alignments(), index=True)
+    reader = bam.BamReader({"path": str(tmp_path / "lib.bam"), "region": "chrA:100000-120000"})
+    read = sum((s.end >> 16) - (s.start >> 16) for s in reader.partitions())
+    assert 0 < read < (tmp_path / "lib.bam").stat().st_size / 8
+
+
+@pytest.mark.parametrize("region,message", [("chrX", "unknown axis"), ("chrA:200-100", "behind its end"), ("chrC:50000-60000", "behind its end")])
+def test_bam_region_is_refused(tmp_path, region, message):
+    write_bam(tmp_path / "lib.bam", alignments(100), index=True)
+    with pytest.raises(ValueError, match=message):
+        bam.BamReader({"path": str(tmp_path / "lib.bam"), "region": region}).partitions()
+
+
 def test_damaged_bam_is_refused(spark, tmp_path):
     write_bam(tmp_path / "bad.bam", alignments(100))
     data = bytearray((tmp_path / "bad.bam").read_bytes())
