@@ -172,9 +172,11 @@ def fetch_region(reads: DataFrame, axes: DataFrame, chrom: str, start: int, end:
     as_reads = as_reads and params.pe == "both"
     found = lambda near: fragments(near, axes, params, ext, as_reads)
     columns = ("library", "chrom", *(MATES if as_reads else ("start", "end", "strand")))
-    known = axes.filter(F.col("chrom") == chrom).limit(1).count()
+    known = axes.filter(F.col("chrom") == chrom).select("length").first()
     if not known:
         raise ValueError(f"unknown axis {chrom}")
+    if max(1, start) > min(end, known["length"]):
+        raise ValueError(f"the region's start is behind its end or its axis: {chrom}:{start}-{end}")
     if params.restrict and chrom not in params.restrict:
         warn(f"{chrom} is not among the axes to use")
         return found(reads.filter("false")).select(*columns)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import dataclasses
+import json
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import ExtractParams
 
-SCALARS = "spacing int, width int, shift int, final_ext int"
+SCALARS = "spacing int, width int, shift int, final_ext int, params string"
 
 
 @dataclass(frozen=True)
@@ -43,16 +45,36 @@ class CountSet:
         return self.counts.groupBy(*self.keys).agg(known.alias("_m")).select(*self.keys, y.alias("y"))
 
     def write(self, folder: str) -> None:
-        """Everything but the extraction parameters, as three tables."""
+        """Tables of counts, libraries and blacklist, and at last one row of scalars with the other parameters.
+
+        That row commits the container: read() refuses one without it.
+        """
         self.counts.write.parquet(f"{folder}/counts")
         self.libraries.write.parquet(f"{folder}/libraries")
-        scalars = [(self.spacing, self.width, self.shift, self.final_ext)]
+        params = None
+        if self.params is not None:
+            params = {f.name: getattr(self.params, f.name) for f in dataclasses.fields(self.params)}
+            discard = params.pop("discard")
+            if discard is not None:
+                discard.write.parquet(f"{folder}/discard")
+            params["discard"] = discard is not None
+        scalars = [(self.spacing, self.width, self.shift, self.final_ext, json.dumps(params) if params else None)]
         self.counts.sparkSession.createDataFrame(scalars, SCALARS).coalesce(1).write.parquet(f"{folder}/scalars")
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> CountSet:
-        scalars = spark.read.schema(SCALARS).parquet(f"{folder}/scalars").first().asDict()
-        return cls(spark.read.parquet(f"{folder}/counts"), spark.read.parquet(f"{folder}/libraries"), **scalars)
+        try:
+            row = spark.read.schema(SCALARS).parquet(f"{folder}/scalars").first()
+        except AnalysisException:
+            row = None
+        if row is None:
+            raise ValueError(f"{folder} holds no container, or one that was not written to its end")
+        scalars = row.asDict()
+        params = json.loads(scalars.pop("params") or "null")
+        if params:
+            discard = spark.read.parquet(f"{folder}/discard") if params.pop("discard") else None
+            params = ExtractParams(**params, discard=discard)
+        return cls(spark.read.parquet(f"{folder}/counts"), spark.read.parquet(f"{folder}/libraries"), params=params, **scalars)
 
 
 def as_ranges(x: CountSet | DataFrame) -> DataFrame:

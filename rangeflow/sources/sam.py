@@ -14,8 +14,9 @@ READS = ("library", "qname", "flag", "chrom", "pos", "mapq", "aln_len", "mate_ch
 
 def read_sam(spark: SparkSession, path: str, library: str | None = None) -> DataFrame:
     """READS rows of SAM files; the library is the file's name unless given. Unplaced records have chrom null."""
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("file")).filter(~F.col("value").startswith("@") & (F.col("value") != ""))
-    f = F.split("value", "\t")
+    is_record = ~F.col("value").startswith("@") & (F.col("value") != "")
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file")).filter(is_record)
+    f = F.when(is_record, F.split("value", "\t"))  # a filter on a field may be moved before that on the lines
     name = F.lit(library) if library else F.regexp_extract("file", r"([^/]+?)(?:\.sam)?$", 1)
     star = lambda c: F.when(c != "*", c)
     chrom, mate = f[2], f[6]
