@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.intervals import interval_join
+from ..plans.scans import block_scan
 from ..sources.genes import promoters, with_symbols
 
 PROMOTER, BODY = 0, -1
@@ -24,8 +25,9 @@ def gene_features(exons: DataFrame, transcripts: DataFrame, symbols: DataFrame,
     gap = F.col("start") - F.lag("end").over(along) - 1
     rows = rows.withColumn("part", F.sum(F.coalesce((gap > max_intron).cast("int"), F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     group = ["gene_id", "chrom", "strand", "part"]
-    # a row for each gene: numbered in one window
-    ids = rows.select(*group).distinct().withColumn("internal", F.row_number().over(Window.orderBy("gene_id", "chrom", "strand", "part")).cast("long"))
+    # genes are numbered in the order of their names: partitions that are ranges of it are the blocks of a scan
+    ids = rows.select(*group).distinct().repartitionByRange(*group).withColumn("block", F.spark_partition_id())
+    ids = block_scan(ids, [], "block", group, {"internal": ("sum", F.lit(1).cast("long"))}).drop("block")
     rows = rows.join(ids, group).drop("part")
     up = Window.partitionBy("internal", "prom").orderBy("start", "end")
     down = Window.partitionBy("internal", "prom").orderBy(F.desc("end"), F.desc("start"))

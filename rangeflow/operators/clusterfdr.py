@@ -13,6 +13,7 @@ from ..params import warn
 from ..plans.containers import as_ranges
 from ..plans.intervals import interval_join, is_small
 from ..plans.scans import adjusted, block_scan, value_blocks
+from ..plans.tables import settle
 from .clusters import cluster_extents, merge_windows
 from .stats import best_test, fold_columns, p_column, simes
 
@@ -66,31 +67,28 @@ def control_cluster_fdr(target: float, rows: DataFrame, adjp: str, cluster: Call
     points at once with a column grid to cluster apart, one job a round; otherwise it is called for
     each point. The driver sees at most search.points numbers a round.
     """
-    spark = rows.sparkSession
     centre, half, best = math.log(target / (1 - target)), search.half_range, (target, 0.0)
-    kept = rows.persist()
-    try:
-        for _ in range(search.rounds):
-            step = 2 * half / (search.points - 1)
-            points = [_expit(centre - half + i * step) for i in range(search.points)]
-            points = [x for x in points if x <= target * SLACK]
-            if not points:
-                break
-            found = dict.fromkeys(points, 0.0)
-            if batched:
-                grid = spark.createDataFrame([(i, x) for i, x in enumerate(points)], "grid int, level double")
-                chosen = kept.join(F.broadcast(grid), F.col(adjp) <= F.col("level"))
-                ids = cluster(chosen, ("grid", "level"))
-                for r in cluster_fdr(ids, "level", weight, ("grid", "level")).collect():
-                    found[points[r["grid"]]] = r["fdr"]
-            else:
-                for x in points:
-                    found[x] = cluster_fdr(cluster(kept.filter(F.col(adjp) <= x), ()), x, weight).first()["fdr"]
-            level = max(points, key=lambda x: (-abs(found[x] - target), x))
-            best = (level, found[level])
-            centre, half = math.log(level / (1 - level)), half / search.contraction
-    finally:
-        kept.unpersist()
+    # no threshold lies above the target, so only rows up to it are written, once for all rounds
+    kept = settle(rows.filter(F.col(adjp) <= target * SLACK))
+    for _ in range(search.rounds):
+        step = 2 * half / (search.points - 1)
+        points = [_expit(centre - half + i * step) for i in range(search.points)]
+        points = [x for x in points if x <= target * SLACK]
+        if not points:
+            break
+        found = dict.fromkeys(points, 0.0)
+        if batched:
+            levels = F.array(*[F.struct(F.lit(i).alias("grid"), F.lit(x).alias("level")) for i, x in enumerate(points)])
+            chosen = kept.select("*", F.inline(F.filter(levels, lambda g: g["level"] >= F.col(adjp))))
+            ids = cluster(chosen, ("grid", "level"))
+            for r in cluster_fdr(ids, "level", weight, ("grid", "level")).collect():
+                found[points[r["grid"]]] = r["fdr"]
+        else:
+            for x in points:
+                found[x] = cluster_fdr(cluster(kept.filter(F.col(adjp) <= x), ()), x, weight).first()["fdr"]
+        level = max(points, key=lambda x: (-abs(found[x] - target), x))
+        best = (level, found[level])
+        centre, half = math.log(level / (1 - level)), half / search.contraction
     return best
 
 

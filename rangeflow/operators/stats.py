@@ -10,6 +10,8 @@ from ..plans.tables import settle
 
 #: Fixed value: log-fold changes beyond it count as up or down.
 FOLD = 0.5
+#: Clusters of more tests are cut into blocks, by so many quantiles of their p-values.
+HOT_ROWS, BLOCKS = 200_000, 256
 
 
 def fold_columns(tests: DataFrame, fc=None) -> list[str]:
@@ -31,6 +33,26 @@ def _prepared(tests: DataFrame, key: str, p: str, weight: str | None) -> DataFra
     return tests.filter(F.col(key).isNotNull()).withColumns({"_p": F.col(p).cast("double"), "_w": w})
 
 
+def _leader_by_window(rows: DataFrame, key: str, row: str) -> DataFrame:
+    """rows with _at: ratio to the weight up to it, p and row of the test with the least ratio."""
+    along = Window.partitionBy(key).orderBy("_p", row).rowsBetween(Window.unboundedPreceding, 0)
+    ratio = F.struct(F.col("_p") / F.col("_cum"), F.col("_p"), F.col(row))
+    return rows.withColumn("_cum", F.sum("_w").over(along)).withColumn("_at", F.min(ratio).over(Window.partitionBy(key))).drop("_cum")
+
+
+def _leader_by_blocks(rows: DataFrame, key: str, row: str, blocks: int) -> DataFrame:
+    """The same for clusters of any size. Equal p-values of a cluster are one step of the scan.
+
+    Weights are positive: along such a step the ratio falls to its last test, or stays 0 from the first on.
+    """
+    steps = settle(rows.groupBy(key, "_p").agg(F.sum("_w").alias("_sw"), F.when(F.col("_p") == 0, F.min(row)).otherwise(F.max(row)).alias("_row")))
+    cuts = steps.groupBy(key).agg(F.percentile_approx("_p", [i / blocks for i in range(1, blocks)], 10_000).alias("_cuts"))
+    steps = steps.join(cuts, key).withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col("_p")))).drop("_cuts")
+    steps = block_scan(steps, [key], "_block", ["_p"], {"_cum": ("sum", F.col("_sw"))})
+    at = settle(steps.groupBy(key).agg(F.min(F.struct((F.col("_p") / F.col("_cum")).alias("col1"), F.col("_p"), F.col("_row").alias(row))).alias("_at")))
+    return rows.join(at, key)
+
+
 def simes(tests: DataFrame, key: str = "cluster_id", p: str | None = None, fc=None, weight: str | None = None, row: str = "range_id", blocks: int = 1) -> DataFrame:
     """(key, n, up/down counts of each fold column, p, fdr, direction) for each cluster: combined() with p adjusted."""
     return adjusted(combined(tests, key, p, fc, weight, row, blocks), "p", "fdr")
@@ -40,20 +62,17 @@ def combined(tests: DataFrame, key: str = "cluster_id", p: str | None = None, fc
     """simes() before the adjustment over clusters.
 
     p is the least p_(i) x total weight / weight up to i. direction (with one fold column) looks at
-    the tests up to the first that attains it. Rows with a null key are left out. blocks > 1 cuts
-    each cluster's rows by p, for clusters too large for one task.
+    the tests up to the first that attains it. Rows with a null key are left out. Clusters of more
+    than HOT_ROWS tests, or with blocks > 1 all, are cut at the quantiles of their own p-values.
     """
     pv, folds = p_column(tests, p), fold_columns(tests, fc)
-    rows = _prepared(tests, key, pv, weight)
-    if blocks > 1:
-        rows = rows.withColumn("_block", F.least(F.floor(F.col("_p") * blocks), F.lit(blocks - 1)))
-        rows = block_scan(rows, [key], "_block", ["_p", row], {"_cum": ("sum", F.col("_w"))})
-        at = rows.groupBy(key).agg(F.min(F.struct(F.col("_p") / F.col("_cum"), F.col("_p"), F.col(row))).alias("_at"))
-        rows = rows.join(at, key)
+    rows = settle(_prepared(tests, key, pv, weight))
+    if blocks <= 1 and rows.count() <= HOT_ROWS:
+        rows = _leader_by_window(rows, key, row)
     else:
-        along = Window.partitionBy(key).orderBy("_p", row)
-        rows = rows.withColumn("_cum", F.sum("_w").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        rows = rows.withColumn("_at", F.min(F.struct(F.col("_p") / F.col("_cum"), F.col("_p"), F.col(row))).over(Window.partitionBy(key)))
+        hot = settle(rows.groupBy(key).count().filter(F.col("count") > (0 if blocks > 1 else HOT_ROWS)).select(key))
+        blocks = blocks if blocks > 1 else BLOCKS
+        rows = _leader_by_window(rows.join(hot, key, "left_anti"), key, row).unionByName(_leader_by_blocks(rows.join(hot, key), key, row, blocks))
     leads = F.struct("_p", row) <= F.struct(F.col("_at").getField("_p"), F.col("_at").getField(row))
     sums = [F.count("*").alias("n")]
     for f in folds:
@@ -116,10 +135,10 @@ def mixed_clusters(tests: DataFrame, key: str = "cluster_id", p: str | None = No
 def summit_weights(rows: DataFrame, key: str, summit: Column) -> DataFrame:
     """Adds weight: in each group rows / summits for summits, 1 for others; 0 where key or summit is null."""
     known = F.col(key).isNotNull() & F.col("_summit").isNotNull()
-    out = rows.withColumn("_summit", summit)
-    group = Window.partitionBy(key)
-    ratio = F.count_if(known).over(group) / F.nullif(F.count_if(known & F.col("_summit")).over(group), F.lit(0))
-    return out.withColumn("weight", F.when(~known, 0.0).when(F.col("_summit"), ratio).otherwise(1.0)).drop("_summit")
+    out = settle(rows.withColumn("_summit", summit))
+    sums = out.filter(known).groupBy(F.col(key).alias("_of")).agg((F.count("*") / F.nullif(F.count_if("_summit"), F.lit(0))).alias("_ratio"))
+    out = out.join(sums, F.col(key) == F.col("_of"), "left")
+    return out.withColumn("weight", F.when(~known, 0.0).when(F.col("_summit"), F.col("_ratio")).otherwise(1.0)).drop("_summit", "_of", "_ratio")
 
 
 # -- regions and the windows that overlap them -----------------------------------------------------------

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from compare import differences
 
-from rangeflow.operators import abundance, normalise
+from rangeflow.operators import abundance, normalise, stats
 from rangeflow.plans import scans
 from rangeflow.plans.containers import CountSet
 from rangeflow.queries import ORACLES, QUERIES
@@ -32,6 +32,29 @@ def test_scans_in_blocks(spark, name, monkeypatch):
     assert differences(QUERIES[name](spark, SF_DIR), ORACLES[name], SF_DIR) == ""
 
 
+HOT = ["simes", "empirical_fdr", "mixed_clusters", "overlap_simes", "overlap_empirical", "overlap_mixed", "consolidate_sizes"]
+
+
+@pytest.mark.parametrize("name", HOT)
+def test_hot_clusters_are_cut(spark, name, monkeypatch):
+    """Clusters of more than three tests go by blocks, the others by windows."""
+    monkeypatch.setattr(stats, "HOT_ROWS", 3)
+    monkeypatch.setattr(stats, "BLOCKS", 4)
+    monkeypatch.setattr(scans, "ONE_BLOCK", 5)
+    assert differences(QUERIES[name](spark, SF_DIR), ORACLES[name], SF_DIR) == ""
+
+
+def test_a_hot_cluster_with_ties_and_zeros(spark, monkeypatch):
+    rows = [(i, 1 if i % 10 else 2, [0.0, 0.2, 0.2, 0.9, 1.0][i * 7 % 5] if i % 3 else (i % 89) / 100, 1.0 + i % 4, 1.0 - i % 3) for i in range(400)]
+    tests = spark.createDataFrame(rows, "range_id int, cluster_id int, PValue double, w double, logFC double")
+    want = sorted(map(tuple, stats.combined(tests, weight="w").collect()))
+    monkeypatch.setattr(stats, "HOT_ROWS", 50)
+    monkeypatch.setattr(stats, "BLOCKS", 6)
+    monkeypatch.setattr(scans, "ONE_BLOCK", 20)
+    got = sorted(map(tuple, stats.combined(tests, weight="w").collect()))
+    assert [r[:-2] + r[-1:] for r in got] == [r[:-2] + r[-1:] for r in want] and np.allclose([r[-2] for r in got], [r[-2] for r in want], rtol=1e-12)
+
+
 def plain_lowess(x, y, span=0.3, rounds=4):
     """Robust local linear regression at every point, by its definition."""
     near = max(2, int(np.ceil(span * len(x))))
