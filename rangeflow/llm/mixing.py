@@ -1,11 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each source gets a target in words. Every document of the source is first allocated the certain
-whole copies, floor(target / source size); the remaining fraction is its inclusion probability p.
-Documents are then ranked by their random odds divided by their inclusion odds,
-(u / (1 - u)) / (p / (1 - p)), with u a reproducible hash of the document, and taken in that order
-while their words fit. The sample's size is fixed in words: one more document, the one whose size is
-nearest to what is left, is taken if that brings the sum nearer to the target.
+whole copies, floor(target / source size). The remaining fraction is the share of the source's words
+that is drawn besides, and the mean inclusion probability of a word. A document's own probability p
+leans from it by its length: with f = size / (size + the source's mean size), in steps of 1 / LEAN, it
+is share + min(share, 1 - share) * (mean of f over words - f). So long documents are less likely and a
+draw holds more different documents, while the expected words stay those wanted. Documents are then
+ranked by their random odds divided by their inclusion odds, (u / (1 - u)) / (p / (1 - p)), with u a
+reproducible hash of the document, and taken in that order while their words fit. The sample's size
+is fixed in words: one more document, the one whose size is nearest to what is left, is taken if that
+brings the sum nearer to the target.
 
 No source is sorted as a whole: a histogram over the ranking variable finds the bucket in which the
 target is reached, and only that bucket's documents are ordered.
@@ -20,7 +24,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, read_table, unit_hash
@@ -28,6 +32,8 @@ from .common import Scratch, read_table, unit_hash
 #: Weights by a source's place in code-point order, the mix's size, most copies.
 WEIGHTS, SHARE, MOST_COPIES = (5, 2, 1), 1.5, 2
 SEED = "pareto-mix"
+#: Steps in which probabilities lean by length, so that their sums are exact integers.
+LEAN = 1024
 #: The order in which documents are drawn.
 KEY = ("place", "doc_id", "size")
 
@@ -66,6 +72,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
         from chosen""", sums=sums)
 
 
+def _leant(share: str, lean: Column) -> Column:
+    """A document's inclusion probability from its source's share and its own length."""
+    room = F.least(F.col(share), 1 - F.col(share))
+    return F.col(share) + room * (F.col("s.leaning") / (LEAN * F.col("s.source_size")) - lean / LEAN)
+
+
 def mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: str = SEED, row_col: str | None = None) -> DataFrame:
     """(row, doc_id, source, size, source_size, target, copies) for every row of docs.
 
@@ -79,12 +91,16 @@ def mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights=WE
     sources = sources.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     sources = sources.withColumn("whole", F.floor("ratio")).withColumn("p", F.col("ratio") - F.col("whole"))
     sources = sources.withColumn("goal", F.col("target") - F.col("whole") * F.col("source_size"))
+    sources = sources.withColumn("mean", F.greatest(F.lit(1).cast("bigint"), F.expr("source_size div documents")))
     sources = save(sources, "sources")
+    lean = F.expr(f"{LEAN} * r.size div (r.size + s.mean)")
+    leaning = rows.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).groupBy("s.source").agg(F.sum(F.col("r.size") * lean).alias("leaning"))
+    sources = save(sources.alias("s").join(leaning.alias("l"), F.col("s.source").eqNullSafe(F.col("l.source"))).select("s.*", "l.leaning"), "leanings")
     most_docs = sources.agg(F.max("documents")).first()[0] or 1
     buckets = 1 << min(20, max(4, math.ceil(math.log2(max(1, most_docs) / 500 + 1))))
     u = unit_hash(F.col("doc_id"), seed=seed)
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    ranked = rows.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.row", "r.doc_id", "r.source", "r.size", "s.source_size", "s.target", "s.whole", "s.p", "s.goal")
+    ranked = rows.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.row", "r.doc_id", "r.source", "r.size", "s.source_size", "s.target", "s.whole", "s.goal", F.when(F.col("s.p") > 0, _leant("s.p", lean)).otherwise(F.lit(0.0)).alias("p"))
     # odds in (0, inf) to a place in (0, 1); nothing is drawn where p is 0
     ranked = ranked.withColumn("place", F.when(F.col("p") > 0, odds / (1 + odds)))
     ranked = ranked.withColumn("bucket", F.least(F.floor(F.col("place") * buckets), F.lit(buckets - 1)))
@@ -121,7 +137,7 @@ def mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights=WE
     same = same & (F.col("d.block") == F.col("t.block"))
     tied = tied.alias("d").join(upto.alias("t"), same).select("d.*", "t.upto").withColumn("inside", F.col("number") + F.col("upto") <= F.col("take"))
     columns = ["row", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.when(F.col("inside"), 1).otherwise(0)).cast("int").alias("copies")]
-    scratch.clear("sizes", "sources", "last", "partly", "tied-blocks")
+    scratch.clear("sizes", "leanings", "last", "partly", "tied-blocks")
     return marked.filter("take is null").select(*columns).unionByName(tied.select(*columns))
 
 
@@ -136,7 +152,7 @@ with sized as materialized (
            (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
     from documents),
 ranked as (
-    select source, sum(size)::bigint as source_size,
+    select source, sum(size)::bigint as source_size, count(*) as documents,
            [{", ".join(map(str, WEIGHTS))}][((row_number() over (order by source nulls last) - 1) % {len(WEIGHTS)} + 1)::int] as weight
     from sized group by source),
 filled as (
@@ -147,13 +163,16 @@ filled as (
 levels as (select *, (total - capped_before) / weight_left as level, ({MOST_COPIES} * source_size)::double / weight as own from filled),
 chosen as (select *, max(case when level <= own then level end) over () as final from levels),
 targets as (
-    select source, source_size, case when own <= coalesce(final, own) then ({MOST_COPIES} * source_size)::double else final * weight end as target from chosen),
+    select source, source_size, documents, case when own <= coalesce(final, own) then ({MOST_COPIES} * source_size)::double else final * weight end as target from chosen),
 rates as (select *, case when source_size > 0 then target / source_size else 0.0 end as ratio from targets),
-parts as (select *, floor(ratio)::bigint as whole, ratio - floor(ratio) as p, target - floor(ratio) * source_size as goal from rates),
-odds as (
-    select d.rid, d.doc_id, d.source, d.size, s.source_size, s.target, s.whole, s.p, s.goal,
-           case when s.p > 0 then (d.u / (1 - d.u)) / (s.p / (1 - s.p)) end as odds
+parts as (select *, floor(ratio)::bigint as whole, ratio - floor(ratio) as share, target - floor(ratio) * source_size as goal from rates),
+lengths as (
+    select d.*, {LEAN} * d.size // (d.size + greatest(1, s.source_size // s.documents)) as lean, s.source_size, s.target, s.whole, s.share, s.goal
     from sized d join parts s on d.source is not distinct from s.source),
+leant as (
+    select *, case when share > 0 then share + least(share, 1 - share) * ((sum(size * lean) over (partition by source))::double / ({LEAN} * source_size) - lean / {LEAN}) else 0 end as p from lengths),
+odds as (
+    select rid, doc_id, source, size, source_size, target, whole, p, goal, case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as odds from leant),
 runs as (
     select *, sum(size) over (partition by source order by odds / (1 + odds), doc_id, size rows unbounded preceding) as run,
            odds / (1 + odds) as place from odds),
