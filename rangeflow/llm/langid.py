@@ -27,7 +27,7 @@ TRAIN_DOCUMENTS = 3000
 SMOOTHING = 0.5
 FIRST_STEPS, MORE_STEPS = 10, 5
 #: A model of more languages (256 KiB each) is refused rather than cut: it would not fit beside a worker's batches.
-MOST_LANGUAGES = 2048
+MOST_LANGUAGES = 128
 
 
 def trigrams(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,24 +62,27 @@ def _count(batches):
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = TRAIN_DOCUMENTS) -> tuple[list[str], np.ndarray]:
     """(languages, log likelihoods of shape buckets x languages) from the rows of docs with a language.
 
-    At most about `most` documents a language, drawn by a hash of their id, are read. The counts are
-    one array of fixed length for each language. All languages are learned; over MOST_LANGUAGES of
-    them are a ValueError.
+    At most about `most` different documents a language, drawn by a hash of their id and text, are
+    read; rows with the same id and text count once. The counts are one array of fixed length for each
+    language. All languages are learned; over MOST_LANGUAGES of them are a ValueError.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    rows = rows.withColumn("at", unit_hash(F.col("doc_id"), F.xxhash64("text"), seed="langid"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("at", 0.02).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values: learn groups of languages apart")
     if not sizes:
         return [], np.zeros((1 << BITS, 0), np.float32)
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, most / n))])
-    sample = rows.filter(unit_hash(F.col("doc_id"), seed="langid") < share[F.col("lang")])
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, most / max(1, n)))])
+    sample = rows.filter(F.col("at") < share[F.col("lang")]).dropDuplicates(["lang", "at"])
     counts = map_arrow(sample.select("lang", "text"), _count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    lists = counts.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).collect()
-    langs = sorted(r["lang"] for r in lists)
+    names = sorted(sizes)
+    number = F.create_map(*[F.lit(x) for k, name in enumerate(names) for x in (name, k)])[F.col("lang")]
+    cells = counts.select(number.cast("short").alias("lang"), F.col("bucket").cast("int").alias("bucket"), "n").toArrow()  # at most buckets x languages
+    known, of = np.unique(cells["lang"].to_numpy(), return_inverse=True)
+    langs = [names[k] for k in known]
     table = np.zeros((1 << BITS, len(langs)))
-    for r in lists:
-        table[np.array(r["bucket"]), langs.index(r["lang"])] = r["n"]
+    table[cells["bucket"].to_numpy(), of] = cells["n"].to_numpy()
     seen = max(1, int((table.sum(axis=1) > 0).sum()))
     return langs, np.log((table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * seen)).astype(np.float32)
 

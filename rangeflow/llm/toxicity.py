@@ -29,9 +29,9 @@ TRAIN_ROWS, TRAIN_TERMS = 12_000, 8_000_000
 #: association with the label is so large, by itself or together with another term; other words would
 #: only let the machine remember rows.
 LEAST_ROWS, LEAST_RATIO = 5, 15.0
-#: Pairs are counted in tables of about so many cells and listed in runs of about as many; rows with
-#: more terms than LONG_ROW are counted by matrix products.
-PAIR_CELLS, LONG_ROW, LONG_ROWS = 1 << 20, 4096, 512
+#: Pairs are counted in tables of about so many cells and listed in runs of about as many, on the
+#: sampled rows with the fewest terms that together have at most PAIRS pairs (a bounded sample).
+PAIR_CELLS, PAIRS = 1 << 20, 500_000_000
 EPOCHS, RATE, RATE_FACTOR, DECAY_WEIGHT, DECAY_FACTOR = 200, 0.3, 0.08, 5e-5, 3e-4
 
 
@@ -83,6 +83,7 @@ def paired(lists: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, toxic:
     Among the rows of each of the two terms the other must be associated with the label. The ratio
     asked for grows with the number of pairs for each term, so that chance lets no more pairs pass than
     terms. Terms whose rows' labels have too little entropy for any ratio that high are left out first.
+    Rows beyond the shortest with PAIRS pairs in all are not counted.
     """
     common = np.flatnonzero(seen >= LEAST_ROWS)
     share = toxic[common] / seen[common]
@@ -97,19 +98,22 @@ def paired(lists: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, toxic:
     at = place[np.concatenate(lists)].astype(np.int32)
     row_of = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])[at >= 0]
     at = at[at >= 0]
+    pairs = np.bincount(row_of, minlength=len(lists)).astype(np.int64)
+    pairs = pairs * (pairs - 1) // 2
+    shortest = np.argsort(pairs, kind="stable")
+    counted = np.zeros(len(lists), bool)
+    counted[shortest[np.cumsum(pairs[shortest]) <= PAIRS]] = True
+    at, row_of = at[counted[row_of]], row_of[counted[row_of]]
     ends = np.searchsorted(row_of, np.arange(len(lists)), "right")
-    long = np.flatnonzero(np.bincount(row_of, minlength=len(lists)) > LONG_ROW)
-    is_long = np.zeros(len(lists), bool)
-    is_long[long] = True
     order = np.argsort(at, kind="stable")
     cuts = np.searchsorted(at[order], np.arange(size + 1))
-    n, ones = seen[candidates].astype(np.float64), toxic[candidates].astype(np.float64)
+    n = np.bincount(at, minlength=size).astype(np.float64)
+    ones = np.bincount(at, labels[row_of] == 1, minlength=size)
     chosen = np.zeros(size, bool)
     step = max(1, PAIR_CELLS // max(1, size))
     for lo in range(0, size, step):
         hi = min(lo + step, size)
         entries = order[cuts[lo] : cuts[hi]]
-        entries = entries[~is_long[row_of[entries]]]
         later = ends[row_of[entries]] - entries - 1  # a row's terms are in order: each is paired with those behind it
         both, both_1 = np.zeros((hi - lo) * size, np.int32), np.zeros((hi - lo) * size, np.int32)
         runs = np.cumsum(later) // PAIR_CELLS
@@ -120,14 +124,6 @@ def paired(lists: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, toxic:
             both += np.bincount(keys, minlength=len(both)).astype(np.int32)
             both_1 += np.bincount(keys[np.repeat(labels[row_of[some]] == 1, n_later)], minlength=len(both)).astype(np.int32)
         both, both_1 = both.reshape(hi - lo, size), both_1.reshape(hi - lo, size)
-        for k in range(0, len(long), LONG_ROWS):
-            some = long[k : k + LONG_ROWS]
-            table = np.zeros((size, len(some)), np.float32)
-            for column, row in enumerate(some):
-                table[at[np.searchsorted(row_of, row) : ends[row]], column] = 1
-            toxic_rows = np.flatnonzero(labels[some] == 1)
-            both[:, lo:] += (table[lo:hi] @ table[lo:].T).astype(np.int32)
-            both_1[:, lo:] += (table[lo:hi, toxic_rows] @ table[lo:, toxic_rows].T).astype(np.int32)
         a, b = np.nonzero(both >= LEAST_ROWS)
         a, b = a[a + lo < b], b[a + lo < b]
         pair, pair_1 = both[a, b].astype(np.float64), both_1[a, b].astype(np.float64)
@@ -183,17 +179,18 @@ def fit_machine(lists: list[np.ndarray], labels: np.ndarray) -> Machine:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: Column, most: int = TRAIN_ROWS) -> Machine:
     """Learns label_col of labels (by id_col) from the texts of docs; learn says which doc_id may be used.
 
-    About `most` rows and TRAIN_TERMS terms, drawn by hashes, reach the driver as hashed terms.
+    About `most` rows and TRAIN_TERMS terms, drawn by hashes, reach the driver as hashed terms. Rows
+    with the same label and terms count once, so the sample depends on neither copies nor partitions.
     """
     marked = labels.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter(learn & F.col("label").isin(0, 1)).distinct()
     share = min(1.0, most / max(1, marked.count()))
     marked = marked.filter(unit_hash(F.col("doc_id"), seed="toxicity") < share)
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = map_arrow(texts.join(marked, "doc_id").select("text", "label"), _features, "label int, terms binary")
-    rows = stored(rows, "toxicity-rows")
+    rows = stored(rows.distinct(), "toxicity-rows")
     n, terms = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("terms")), F.lit(0)) / 4).first()
     share = min(1.0, most / max(1, n), TRAIN_TERMS / max(1, terms))  # ids can repeat, and texts can be long
-    rows = rows.filter(unit_hash(F.monotonically_increasing_id(), seed="toxicity-rows") < share).toArrow().sort_by([("label", "ascending"), ("terms", "ascending")])
+    rows = rows.filter(unit_hash(F.xxhash64("label", "terms"), seed="toxicity-rows") < share).toArrow().sort_by([("label", "ascending"), ("terms", "ascending")])
     machine = fit_machine([np.frombuffer(x.as_buffer(), "<i4") for x in rows["terms"]], rows["label"].to_numpy().astype(np.float64))
     del rows
     release_memory()

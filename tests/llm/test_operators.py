@@ -407,8 +407,8 @@ def test_machine_learns_an_exclusive_or():
     assert min(score(11), score(22)) > 0.9 and max(score(11, 22), score()) < 0.1
 
 
-@pytest.mark.parametrize("long_row", [0, 20, 10_000])
-def test_pairs_are_counted_alike_in_all_ways(monkeypatch, long_row):
+@pytest.mark.parametrize("cells", [300, 2000, 1 << 20])
+def test_pairs_are_counted_alike_in_all_ways(monkeypatch, cells):
     rng = random.Random(19)
     lists, labels = [], []
     for _ in range(2000):
@@ -418,10 +418,10 @@ def test_pairs_are_counted_alike_in_all_ways(monkeypatch, long_row):
     labels = np.array(labels)
     seen = np.bincount(np.concatenate(lists), minlength=500)
     toxic = np.bincount(np.concatenate(lists), np.repeat(labels, [len(x) for x in lists]), 500)
-    monkeypatch.setattr(toxicity, "LONG_ROW", long_row)
-    monkeypatch.setattr(toxicity, "LONG_ROWS", 300)
-    monkeypatch.setattr(toxicity, "PAIR_CELLS", 2000)
+    monkeypatch.setattr(toxicity, "PAIR_CELLS", cells)
     assert set(toxicity.paired(lists, labels, seen, toxic)) == {11, 22}
+    monkeypatch.setattr(toxicity, "PAIRS", 0)
+    assert len(toxicity.paired(lists, labels, seen, toxic)) == 0
 
 
 def test_rows_below_a_score_keep_their_columns(spark, awkward):
