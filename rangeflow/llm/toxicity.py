@@ -179,19 +179,23 @@ def fit_machine(lists: list[np.ndarray], labels: np.ndarray) -> Machine:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: Column, most: int = TRAIN_ROWS) -> Machine:
     """Learns label_col of labels (by id_col) from the texts of docs; learn says which doc_id may be used.
 
-    About `most` rows and TRAIN_TERMS terms, drawn by hashes, reach the driver as hashed terms. Rows
-    with the same label and terms count once, so the sample depends on neither copies nor partitions.
+    About `most` rows and TRAIN_TERMS terms, drawn by hashes, reach the driver as hashed terms. Of
+    rows with the same label and terms that share of their number is drawn, so the sample doesn't
+    depend on partitions.
     """
     marked = labels.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter(learn & F.col("label").isin(0, 1)).distinct()
     share = min(1.0, most / max(1, marked.count()))
     marked = marked.filter(unit_hash(F.col("doc_id"), seed="toxicity") < share)
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = map_arrow(texts.join(marked, "doc_id").select("text", "label"), _features, "label int, terms binary")
-    rows = stored(rows.distinct(), "toxicity-rows")
-    n, terms = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("terms")), F.lit(0)) / 4).first()
+    rows = stored(rows.groupBy("label", "terms").agg(F.count("*").alias("n")), "toxicity-rows")
+    n, terms = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.octet_length("terms")), F.lit(0)) / 4).first()
     share = min(1.0, most / max(1, n), TRAIN_TERMS / max(1, terms))  # ids can repeat, and texts can be long
-    rows = rows.filter(unit_hash(F.xxhash64("label", "terms"), seed="toxicity-rows") < share).toArrow().sort_by([("label", "ascending"), ("terms", "ascending")])
-    machine = fit_machine([np.frombuffer(x.as_buffer(), "<i4") for x in rows["terms"]], rows["label"].to_numpy().astype(np.float64))
+    drawn = F.floor(F.col("n") * share + unit_hash(F.xxhash64("label", "terms"), seed="toxicity-rows")).cast("int")
+    rows = rows.withColumn("n", drawn).filter("n > 0").toArrow().sort_by([("label", "ascending"), ("terms", "ascending")])
+    copies = rows["n"].to_numpy()
+    lists = [np.frombuffer(x.as_buffer(), "<i4") for x in rows["terms"]]
+    machine = fit_machine([x for x, c in zip(lists, copies, strict=True) for _ in range(c)], np.repeat(rows["label"].to_numpy().astype(np.float64), copies))
     del rows
     release_memory()
     return machine
