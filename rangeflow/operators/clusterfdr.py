@@ -14,7 +14,7 @@ from ..plans.containers import as_ranges
 from ..plans.intervals import interval_join, is_small
 from ..plans.scans import adjusted, block_scan, value_blocks
 from ..plans.tables import settle
-from .clusters import cluster_extents, merge_windows
+from .clusters import cluster_extents, merge_windows, sizes_at_levels
 from .stats import best_test, fold_columns, p_column, simes
 
 #: Fixed value: thresholds may exceed the target by rounding only.
@@ -43,7 +43,11 @@ def cluster_fdr(ids: DataFrame, threshold, weight: str | None = None, within: tu
     threshold is the FDR over windows at which ids were chosen: a number, or a column of within.
     Equal sizes are one step of the scan. Without clusters there is no row, or one with 0 if within is empty.
     """
-    sizes = cluster_weights(ids, weight, within)
+    return _fdr_of_sizes(cluster_weights(ids, weight, within), threshold, within)
+
+
+def _fdr_of_sizes(sizes: DataFrame, threshold, within: tuple[str, ...]) -> DataFrame:
+    """cluster_fdr of (within..., size), a row for each cluster."""
     steps = sizes.groupBy(*within, "size").agg(F.count("*").alias("c"))
     steps = value_blocks(steps, "size")
     steps = block_scan(steps, list(within), "block", ["size"], {"upto": ("sum", F.col("size") * F.col("c"))})
@@ -60,12 +64,15 @@ def _expit(x: float) -> float:
     return 1 / (1 + math.exp(-x))
 
 
-def control_cluster_fdr(target: float, rows: DataFrame, adjp: str, cluster: Callable[[DataFrame, tuple[str, ...]], DataFrame], weight: str | None = None, batched: bool = True, search: Grid = Grid()) -> tuple[float, float]:
+def control_cluster_fdr(target: float, rows: DataFrame, adjp: str, cluster: Callable[[DataFrame, tuple[str, ...]], DataFrame], weight: str | None = None, batched: bool = True, search: Grid = Grid(), sizes: Callable[[DataFrame, str, int], DataFrame] | None = None) -> tuple[float, float]:
     """(threshold, fdr): the window threshold whose cluster FDR is nearest to target, the largest of equals.
 
     cluster maps significant rows to rows with cluster_id. With batched it takes the rows of all grid
     points at once with a column grid to cluster apart, one job a round; otherwise it is called for
-    each point. The driver sees at most search.points numbers a round.
+    each point. sizes, if given, is asked instead of cluster: it maps rows, with the name of a column
+    that holds the first grid point a row belongs to, and the number of points, to (grid, size) of
+    all clusters, so that no row is copied for the points. The driver sees at most search.points
+    numbers a round.
     """
     centre, half, best = math.log(target / (1 - target)), search.half_range, (target, 0.0)
     # no threshold lies above the target, so only rows up to it are written, once for all rounds
@@ -77,7 +84,14 @@ def control_cluster_fdr(target: float, rows: DataFrame, adjp: str, cluster: Call
         if not points:
             break
         found = dict.fromkeys(points, 0.0)
-        if batched:
+        if sizes:
+            levels = F.array(*map(F.lit, points))
+            marked = kept.withColumn("_from", F.size(F.filter(levels, lambda x: x < F.col(adjp)))).filter(F.col("_from") < len(points))
+            marked._settled = True  # some of the written rows
+            clusters = sizes(marked, "_from", len(points)).withColumn("level", F.element_at(levels, F.col("grid") + 1))
+            for r in _fdr_of_sizes(clusters, "level", ("grid", "level")).collect():
+                found[points[r["grid"]]] = r["fdr"]
+        elif batched:
             levels = F.array(*[F.struct(F.lit(i).alias("grid"), F.lit(x).alias("level")) for i, x in enumerate(points)])
             chosen = kept.select("*", F.inline(F.filter(levels, lambda g: g["level"] >= F.col(adjp))))
             ids = cluster(chosen, ("grid", "level"))
@@ -115,7 +129,11 @@ def cluster_windows(regions, tests: DataFrame, target: float | None = None, tol:
     def cluster(chosen: DataFrame, within: tuple[str, ...]) -> DataFrame:
         return merge_windows(chosen, tol, "_sign" if fc else None, within=within, **merge)
 
-    level, fdr = control_cluster_fdr(target, rows, "_adj", cluster, weight, search=search)
+    def sizes(marked: DataFrame, first: str, points: int) -> DataFrame:
+        return sizes_at_levels(marked, first, points, tol, "_sign" if fc else None, weight, **merge)
+
+    # clusters cut to a width depend on their extents: those are made for each point
+    level, fdr = control_cluster_fdr(target, rows, "_adj", cluster, weight, search=search, sizes=None if merge.get("max_width") else sizes)
     ids = cluster(rows.filter(F.col("_adj") <= level), ())
     out = df.join(ids.select("range_id", *keys, "cluster_id"), ["range_id", *keys], "left")
     return out, cluster_extents(ids), fdr
