@@ -10,7 +10,7 @@ from ..params import ExtractParams, fragment_lengths, warn
 from ..plans.intervals import interval_join, is_small
 
 
-def _discarded(reads: DataFrame, discard: DataFrame | None, anti: bool = True) -> DataFrame:
+def discarded(reads: DataFrame, discard: DataFrame | None, anti: bool = True) -> DataFrame:
     """reads without (or, with anti False, only) those wholly inside a discard range, by alignment width."""
     if discard is None:
         return reads if anti else reads.filter("false")
@@ -34,7 +34,7 @@ def single_reads(reads: DataFrame, params: ExtractParams) -> DataFrame:
         keep = keep & has(F.col("flag"), PAIRED) & has(F.col("flag"), want) & ~has(F.col("flag"), other)
     if params.restrict:
         keep = keep & F.col("chrom").isin(*params.restrict)
-    return _discarded(reads.filter(keep), params.discard)
+    return discarded(reads.filter(keep), params.discard)
 
 
 def classify_mates(reads: DataFrame, params: ExtractParams) -> DataFrame:
@@ -51,7 +51,7 @@ def classify_mates(reads: DataFrame, params: ExtractParams) -> DataFrame:
     base = base.withColumns({"ok": well_mapped(flag, F.col("mapq"), params.min_mapq, params.dedup), "reverse": has(flag, REVERSE), "is_first": has(flag, FIRST), "is_second": has(flag, SECOND)})
     base = base.withColumn("kept", F.col("ok"))
     if params.discard is not None:
-        inside = _discarded(base, params.discard, anti=False).select("library", "qname", "flag", "chrom", "pos", F.lit(True).alias("gone")).distinct()
+        inside = discarded(base, params.discard, anti=False).select("library", "qname", "flag", "chrom", "pos", F.lit(True).alias("gone")).distinct()
         base = base.join(inside, ["library", "qname", "flag", "chrom", "pos"], "left").withColumn("kept", F.col("ok") & F.col("gone").isNull()).drop("gone")
     plain = base.filter(~has(flag, PAIRED))
     alone = base.filter(has(flag, PAIRED) & has(flag, MATE_UNMAPPED))

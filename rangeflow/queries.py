@@ -60,7 +60,7 @@ def filtered_reads(v):
 @query("""select library, qname, chrom, pos from reads r where exists (
     select 1 from discard d where d.chrom = r.chrom and r.pos >= d.start and r.pos + r.aln_len - 1 <= d."end")""", "reads", "discard")
 def blacklisted_reads(v):
-    return extract._discarded(v.reads, v.discard, anti=False).select("library", "qname", "chrom", "pos")
+    return extract.discarded(v.reads, v.discard, anti=False).select("library", "qname", "chrom", "pos")
 
 
 FRAGS = """select r.library, r.chrom, greatest(1, least(a.length, case when (flag & 16) > 0 then pos + aln_len - 100 else pos end))::bigint as start,
