@@ -17,44 +17,49 @@ from ..shipping import ship
 DISPERSION, PRIOR = 0.05, 2.0
 
 
-def one_group(y: np.ndarray, offsets: np.ndarray, dispersion: np.ndarray, steps: int = 50) -> np.ndarray:
-    """Log-scale negative binomial means of rows of y with the given offsets, by Fisher scoring; -inf for rows of zeros."""
+def one_group(y: np.ndarray, offsets: np.ndarray, dispersion: np.ndarray, steps: int = 50, weights: np.ndarray | float = 1.0) -> np.ndarray:
+    """Log-scale negative binomial means of rows of y with the given offsets, by Fisher scoring; -inf for rows of zeros, NaN for those without weight."""
+    weights = np.broadcast_to(np.asarray(weights, float), y.shape)
     with np.errstate(divide="ignore", invalid="ignore"):
-        beta = np.log(y.sum(axis=1) / np.exp(offsets).sum(axis=1))
+        beta = np.log((weights * y).sum(axis=1) / (weights * np.exp(offsets)).sum(axis=1))
     live = np.isfinite(beta)
     for _ in range(steps):
         mu = np.exp(beta[live, None] + offsets[live])
-        weight = 1 + dispersion[live, None] * mu
-        step = ((y[live] - mu) / weight).sum(axis=1) / (mu / weight).sum(axis=1)
+        weight = weights[live] / (1 + dispersion[live, None] * mu)
+        step = ((y[live] - mu) * weight).sum(axis=1) / (mu * weight).sum(axis=1)
         beta[live] += step
         if not len(step) or np.abs(step).max() < 1e-10:
             break
     return beta
 
 
-def average_abundance(y: np.ndarray, sizes: np.ndarray, scale: np.ndarray, prior: float | np.ndarray, dispersion: float | np.ndarray) -> np.ndarray:
-    """log2 counts per million of rows of y, each divided by its scale: -inf at scale 0, NaN below."""
+def average_abundance(y: np.ndarray, sizes: np.ndarray, scale: np.ndarray, prior: float | np.ndarray, dispersion: float | np.ndarray, weights: np.ndarray | float = 1.0) -> np.ndarray:
+    """log2 counts per million of rows of y, each divided by its scale: -inf at scale 0, NaN below; weights are those of the single counts."""
     prior = np.broadcast_to(np.asarray(prior, float), (len(y),))[:, None] * sizes / sizes.mean()
     ok = scale > 0
     safe = np.where(ok, scale, 1.0)
-    beta = one_group(y + safe[:, None] * prior, np.log(sizes + 2 * prior), np.broadcast_to(np.asarray(dispersion, float), (len(y),)))
+    beta = one_group(y + safe[:, None] * prior, np.log(sizes + 2 * prior), np.broadcast_to(np.asarray(dispersion, float), (len(y),)), weights=weights)
     out = (beta - np.log(safe) + np.log(1e6)) / np.log(2)
     return np.where(ok, out, np.where(scale == 0, -np.inf, np.nan))
 
 
-def scaled_average(rows: DataFrame, sizes: list[float], scale: Column | float = 1.0, prior: Column | float = PRIOR, dispersion: Column | float = DISPERSION, out: str = "abundance", y: str = "y") -> DataFrame:
-    """Adds the average abundance of column y, an array of counts in the order of sizes; scale, prior and dispersion may differ by row."""
+def scaled_average(rows: DataFrame, sizes: list[float], scale: Column | float = 1.0, prior: Column | float = PRIOR, dispersion: Column | float = DISPERSION, out: str = "abundance", y: str = "y", weights: str | None = None) -> DataFrame:
+    """Adds the average abundance of column y, an array of counts in the order of sizes; scale, prior and dispersion may differ by row.
+
+    weights names an array with the weight of each count; a row whose weights are null counts evenly.
+    """
     ship(rows.sparkSession)
     totals = np.array(sizes, float)
 
     @F.pandas_udf("double")
-    def fit(counts: pd.Series, scales: pd.Series, priors: pd.Series, dispersions: pd.Series) -> pd.Series:
+    def fit(counts: pd.Series, scales: pd.Series, priors: pd.Series, dispersions: pd.Series, weighted: pd.Series) -> pd.Series:
         if not len(counts):
             return pd.Series([], dtype="float64")
-        return pd.Series(average_abundance(np.stack(counts.to_numpy()), totals, *(x.to_numpy(float) for x in (scales, priors, dispersions))))
+        each = np.stack([np.ones(len(totals)) if w is None else w for w in weighted]) if weights else 1.0
+        return pd.Series(average_abundance(np.stack(counts.to_numpy()), totals, *(x.to_numpy(float) for x in (scales, priors, dispersions)), each))
 
     as_column = lambda x: x if isinstance(x, Column) else F.lit(float(x))
-    return rows.withColumn(out, fit(F.col(y), as_column(scale).cast("double"), as_column(prior).cast("double"), as_column(dispersion).cast("double")))
+    return rows.withColumn(out, fit(F.col(y), as_column(scale).cast("double"), as_column(prior).cast("double"), as_column(dispersion).cast("double"), (F.col(weights) if weights else F.lit(None)).cast("array<double>")))
 
 
 def fragment_length(data: CountSet) -> int:

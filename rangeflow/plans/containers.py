@@ -81,6 +81,6 @@ def as_ranges(x: CountSet | DataFrame) -> DataFrame:
     """Ranges of a count set, or the frame itself if it has chrom, start and end."""
     if isinstance(x, CountSet):
         return x.ranges()
-    if not {"chrom", "start", "end"} <= set(x.columns):
+    if not {"chrom", "start", "end"} <= set(getattr(x, "columns", ())):
         raise TypeError("ranges need chrom, start and end")
     return x
