@@ -3,22 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import warn
 from ..plans.containers import CountSet
+from ..plans.localfit import local_trend
 from ..plans.quantiles import exact_quantile
 from ..plans.tables import settle
-from ..shipping import ship
 from .abundance import average_rank, library_sizes, scaled_average
 
 #: Fixed values of the trimmed mean: shares of log-ratios and of intensities cut at either end.
 TRIM_RATIO, TRIM_SUM = 0.3, 0.05
-#: The loess fit sees means over so many ranges of the covariate, at every size of the data; it is
-#: evaluated at so many knots of each library, between which it is linear.
-LOESS_CELLS, LOESS_KNOTS = 4096, 200
 
 
 def _long(data: CountSet, sizes: DataFrame | None) -> DataFrame:
@@ -78,79 +74,19 @@ def tmm_factors(data: CountSet, sizes: DataFrame | None = None, weighted: bool =
 METHODS = {"TMM": tmm_factors, "RLE": rle_factors, "upperquartile": upper_quartile_factors}
 
 
-def lowess(x: np.ndarray, y: np.ndarray, w: np.ndarray, span: float = 0.3, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Robust local linear fit of weighted points: knots along x, at their quantiles, and the fit there."""
-    order = np.argsort(x, kind="stable")
-    x, y, w = x[order], y[order], w[order]
-    near = max(2, int(np.ceil(span * len(x))))
-    robust = np.ones(len(x))
-
-    def fit(places: np.ndarray) -> np.ndarray:
-        out = np.empty(len(places))
-        for i, p in enumerate(places):
-            j = int(np.clip(np.searchsorted(x, p) - near // 2, 0, max(0, len(x) - near)))
-            while j > 0 and p - x[j - 1] < x[min(j + near, len(x)) - 1] - p:
-                j -= 1
-            while j + near < len(x) and x[j + near] - p < p - x[j]:
-                j += 1
-            s = slice(j, j + near)
-            far = max(np.abs(x[s] - p).max(), 1e-12)
-            k = w[s] * robust[s] * np.clip(1 - (np.abs(x[s] - p) / (far * (1 + 1e-9))) ** 3, 0, None) ** 3
-            total = k.sum()
-            if total <= 0:
-                out[i] = np.average(y[s], weights=w[s])
-                continue
-            mx, my = (k * x[s]).sum() / total, (k * y[s]).sum() / total
-            var = (k * (x[s] - mx) ** 2).sum()
-            out[i] = my + ((k * (x[s] - mx) * (y[s] - my)).sum() / var * (p - mx) if var > 1e-12 * total else 0)
-        return out
-
-    knots = np.unique(np.quantile(x, np.linspace(0, 1, min(len(x), LOESS_KNOTS))))
-    for _ in range(rounds - 1):
-        residual = np.abs(y - np.interp(x, knots, fit(knots)))
-        scale = 6 * np.median(residual)
-        if scale < 1e-12:
-            break
-        robust = np.clip(1 - (residual / scale) ** 2, 0, None) ** 2
-    return knots, fit(knots)
-
-
-def _interpolated(x: Column) -> Column:
-    """The value at x between the knots around it; that of the outermost knot beyond them."""
-    left = F.greatest(F.size(F.filter("knots", lambda k: k <= x)), F.lit(1))
-    right = F.least(left + 1, F.size("knots"))
-    x0, x1, y0, y1 = (F.element_at(c, i) for c in ("knots", "values") for i in (left, right))
-    return F.when((x > x0) & (x1 > x0), y0 + (y1 - y0) * (x - x0) / (x1 - x0)).otherwise(y0)
-
-
 def loess_offsets(data: CountSet, span: float = 0.3) -> DataFrame:
     """(range keys, library, offset): trends of each library's log counts against the average, less the mean over libraries.
 
-    Each library's points are averaged over LOESS_CELLS ranges of the covariate before the fit, so a
-    group has bounded size; each count's trend is read at its own covariate.
+    Every count is a point of the local fit, and its trend is read at its own covariate.
     """
-    ship(data.counts.sparkSession)
     names, sizes = library_sizes(data)
     if not names:
         return data.counts.select(*data.keys, "library", F.lit(0.0).alias("offset")).filter("false")
     mean = sum(sizes) / len(sizes)
-    rows = scaled_average(data.matrix(names), sizes, prior=0.5).withColumn("covariate", F.round(F.col("abundance") * float(np.log(2)), 9)).drop("abundance")
+    rows = settle(scaled_average(data.matrix(names), sizes, prior=0.5).withColumn("covariate", F.round(F.col("abundance") * float(np.log(2)), 9)).drop("abundance"))
     points = F.arrays_zip(F.array(*map(F.lit, names)).alias("library"), F.col("y").alias("n"), F.array(*[F.lit(s) for s in sizes]).alias("size"))
-    rows = rows.select(*data.keys, "covariate", F.explode(points).alias("p")).select(*data.keys, "covariate", "p.library", F.log(F.col("p.n") + 0.5 * F.col("p.size") / mean).alias("response"))
-    rows = settle(rows)
-    limits = rows.agg(F.min("covariate").alias("lo"), F.max("covariate").alias("hi")).first()
-    if limits["lo"] is None:
-        return rows.withColumn("offset", F.col("response")).drop("covariate", "response")
-    step = (limits["hi"] - limits["lo"]) / LOESS_CELLS or 1.0
-    cells = rows.groupBy("library", F.floor((F.col("covariate") - limits["lo"]) / step).alias("cell"))
-    cells = cells.agg(F.avg("covariate").alias("x"), F.avg("response").alias("y"), F.count("*").cast("double").alias("w"))
-
-    def trend(points: pd.DataFrame) -> pd.DataFrame:
-        knots, values = lowess(*(points[c].to_numpy() for c in "xyw"), span)
-        return pd.DataFrame({"library": points["library"].iloc[:1], "knots": [knots], "values": [values]})
-
-    fitted = cells.groupBy("library").applyInPandas(trend, "library string, knots array<double>, values array<double>")
-    out = rows.join(F.broadcast(fitted), "library").withColumn("offset", _interpolated(F.col("covariate")))  # a row of LOESS_KNOTS knots for each library
+    long = rows.select(*data.keys, "covariate", F.explode(points).alias("p")).select(*data.keys, "covariate", "p.library", F.log(F.col("p.n") + 0.5 * F.col("p.size") / mean).alias("response"))
+    out = local_trend(long, "covariate", "response", "library", rows, span, out="offset")
     return out.withColumn("offset", F.col("offset") - F.avg("offset").over(Window.partitionBy(*data.keys))).select(*data.keys, "library", "offset")
 
 

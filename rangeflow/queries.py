@@ -778,9 +778,29 @@ def model_samples(v):
     return rounded(normalise.model_tables(normalise.normalize(counted_regions(v), method="upperquartile"))[1], "norm_factor")
 
 
-@query()
+def trend_sql(points: str, round_: int) -> str:
+    """CTEs of one round of a local fit at the knots of reach: trend_{round_}(columns of points, trend) and weighed_{round_}, its points weighed anew."""
+    r = round_
+    return f"""kernel_{r} as (select library, p, h, sum(k * u) / sum(k) as mu, sum(k * u * u) / sum(k) as muu, sum(k * y) / sum(k) as my, sum(k * u * y) / sum(k) as muy from (
+    select library, p, h, (x - p) / h as u, y, w * pow(greatest(0, 1 - pow(abs(x - p) / h, 3)), 3) as k from {points}, reach) group by all having sum(k) > 0),
+value_{r} as (select library, p, case when muu - mu * mu > 0 and sqrt(muu - mu * mu) * h > 0.001 * (select max(p) - min(p) from reach) then my - (muy - mu * my) / (muu - mu * mu) * mu else my end as v from kernel_{r}),
+line_{r} as (select *, lead(p) over (partition by library order by p) as p2, lead(v) over (partition by library order by p) as v2 from value_{r}),
+trend_{r} as materialized (select a.*, v + coalesce((v2 - v) * (x - p) / (p2 - p), 0) as trend from {points} a asof join line_{r} l on a.library = l.library and a.x >= l.p),
+weighed_{r} as materialized (select region_id, library, x, y, case when 6 * m < 1e-12 then w else pow(greatest(0, 1 - pow(abs(y - trend) / (6 * m), 2)), 2) end as w from trend_{r} join (select library, median(abs(y - trend)) as m from trend_{r} group by library) using (library))"""
+
+
+@query(REGION_MATRIX + ", " + abundance_sql("found", "m", prior="0.5") + """,
+xs as materialized (select region_id, y as ys, s, round(abundance * ln(2), 9) as x from found),
+points as materialized (select region_id, library, x, ln(ys[i] + 0.5 * s[i] / list_avg(s)) as y, 1e0 as w from xs, (select library, row_number() over (order by library) as i from libs)),
+sorted as materialized (select x, row_number() over (order by x) - 1 as r, count(*) over () as n from xs),
+spots as (select i * (n - 1) / greatest(1, least(n, 200) - 1) as q from (select n from sorted limit 1), range(200) t(i) where i < least(n, 200)),
+knots as materialized (select distinct a.x + (b.x - a.x) * (q - floor(q)) as p from spots join sorted a on a.r = floor(q) join sorted b on b.r = ceil(q)),
+reach as materialized (select p, greatest(1e-10, max(d)) as h from (select p, n, abs(x - p) as d, row_number() over (partition by p order by abs(x - p)) as k from knots, sorted) where k <= least(n, greatest(2, ceil(0.3 * n))) group by p),
+""" + ",\n".join(trend_sql("points" if r == 0 else f"weighed_{r - 1}", r) for r in range(4)) + """
+select region_id, library, round(trend - avg(trend) over (partition by region_id), 7) + 0e0 as "offset" from trend_3""", "reads", "axes", "regions")
 def loess_offsets(v):
-    return rounded(normalise.norm_offsets(counted_regions(v), "loess"), "offset").select("region_id", "library", "offset")
+    found = normalise.norm_offsets(counted_regions(v), "loess")
+    return found.select("region_id", "library", (F.round("offset", 7) + F.lit(0.0)).alias("offset"))
 
 
 @query(COUNTED + "select region_id, sum(n) filter (library = 'lib0')::bigint as lib0, sum(n) filter (library = 'lib1')::bigint as lib1, sum(n) filter (library = 'lib2')::bigint as lib2 from counts group by region_id", "reads", "axes", "regions")

@@ -1,4 +1,4 @@
-"""Each interval query that SQL can express gives the rows of its oracle SQL, also when every scan runs in blocks; loess against plain Python."""
+"""Each interval query that SQL can express gives the rows of its oracle SQL, also when every scan runs in blocks. Loess also against plain Python."""
 
 import numpy as np
 import pytest
@@ -22,7 +22,7 @@ def test_loess_offsets_are_centred(spark):
     assert max(abs(r[1]) for r in rows) < 1e-6
 
 
-SCANS = ["axis_table", "merge_clusters", "merge_signed", "merge_stranded", "merge_max_width", "weighted_bh", "cluster_fdr", "simes", "simes_blocked", "best_test", "empirical_fdr", "mixed_clusters", "bimodality", "proportion_filter", "tmm_factors"]
+SCANS = ["axis_table", "loess_offsets", "merge_clusters", "merge_signed", "merge_stranded", "merge_max_width", "weighted_bh", "cluster_fdr", "simes", "simes_blocked", "best_test", "empirical_fdr", "mixed_clusters", "bimodality", "proportion_filter", "tmm_factors"]
 
 
 @pytest.mark.parametrize("name", SCANS)
@@ -71,7 +71,7 @@ def plain_lowess(x, y, span=0.3, rounds=4):
     return fit
 
 
-def test_loess_on_cells_is_near_the_fit_on_all_points(spark):
+def test_loess_at_knots_is_near_the_fit_at_all_points(spark):
     rng = np.random.default_rng(3)
     n = 600
     level = rng.uniform(20, 400, n)
