@@ -71,6 +71,14 @@ def nearest_reaches(df: DataFrame, x: str, span: float, knots: int = KNOTS) -> l
     return [(p, max(reach(k, p), LEAST_REACH)) for k, p in enumerate(places)]
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of polynomials: a row of coefficients each, from the constant on."""
+    out = np.zeros((len(a), a.shape[1] + b.shape[1] - 1))
+    for i in range(a.shape[1]):
+        out[:, i : i + b.shape[1]] += a[:, i : i + 1] * b
+    return out
+
+
 @dataclass
 class Stretches:
     """The stretches of x between the ends of the knots' reaches: where they begin, their middles and half widths."""
@@ -94,16 +102,19 @@ class Stretches:
     def fit(self, sums: np.ndarray) -> np.ndarray:
         """The trend at the knots from sums[stretch]: of the weights times powers of the place, then of those times y."""
         spread, values = self.knots[-1] - self.knots[0], np.full(len(self.knots), np.nan)
+        middles, halves = np.array(self.middles), np.array(self.halves)
         for k, (p, h) in enumerate(zip(self.knots, self.reaches, strict=True)):
             lo, hi = (bisect.bisect_left(self.cuts, c) for c in self.limits[k])
-            totals, weight = np.zeros(5), 0.0
-            for s in [*range(lo + 1, hi + 1), *([len(self.cuts)] if hi == len(self.cuts) - 1 else [])]:
-                u = np.polynomial.Polynomial([(self.middles[s] - p) / h, self.halves[s] / h])
-                kernel = (1 - (u if self.middles[s] >= p else -u) ** 3) ** 3
-                xs, ys = sums[s, :POWERS], sums[s, POWERS:]
-                for i, (poly, of) in enumerate([(kernel, xs), (kernel * u, xs), (kernel * u * u, xs), (kernel, ys), (kernel * u, ys)]):
-                    totals[i] += poly.coef @ of[: len(poly.coef)]
-                weight += xs[0]
+            inside = slice(lo + 1, hi + 1 + (hi == len(self.cuts) - 1))
+            u = np.stack([middles[inside] - p, halves[inside]], axis=1) / h
+            away = u * np.where(middles[inside] >= p, 1, -1)[:, None]
+            short = -_times(away, _times(away, away))
+            short[:, 0] += 1
+            kernel = _times(short, _times(short, short))
+            xs, ys = sums[inside, :POWERS], sums[inside, POWERS:]
+            by_u = _times(kernel, u)
+            totals = np.array([(c * of[:, : c.shape[1]]).sum() for c, of in [(kernel, xs), (by_u, xs), (_times(by_u, u), xs), (kernel, ys), (by_u, ys)]])
+            weight = xs[:, 0].sum()
             if totals[0] > 1e-12 * weight:
                 _, mx, mxx, my, mxy = totals / totals[0]
                 variance = mxx - mx * mx
