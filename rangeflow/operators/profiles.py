@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import REVERSE, clamp, has
 from ..params import ExtractParams
+from ..plans.convolve import products_by_delay
 from ..plans.intervals import interval_join, is_small
 from ..plans.scans import block_scan
 from .extract import fragments, single_reads
@@ -37,10 +38,7 @@ def correlate_reads(reads: DataFrame, axes: DataFrame, params: ExtractParams | N
         x, y = places.filter("not reverse").drop("reverse"), places.filter("reverse").drop("reverse")
     else:
         x = y = places.groupBy("chrom", "length", "pos").agg(F.sum("n").alias("n"))
-    a = x.select("chrom", F.col("pos").alias("start"), F.col("pos").alias("end"), F.col("n").alias("xn"))
-    # y within max_dist to the right of x
-    b = y.select("chrom", (F.col("pos") - max_dist).alias("start"), F.col("pos").alias("end"), "pos", "n")
-    products = interval_join(a, b, bin_size=max(1000, 2 * max_dist)).groupBy("chrom", (F.col("r_pos") - F.col("start")).alias("delay")).agg(F.sum(F.col("xn") * F.col("r_n")).alias("xy"))
+    products = products_by_delay(x, y, max_dist)
     delays = sums.select("chrom", "length", "reads", F.explode(F.sequence(F.lit(0), F.lit(max_dist))).alias("delay"))
 
     def marginal(side: DataFrame, gone_from, name: str) -> DataFrame:
