@@ -6,13 +6,15 @@ without one it is cut at bytes, and a partition begins with the first record aft
 The option chroms, names with commas between, reads only the records and, with an index, the
 partitions of these axes. The option region, name:start-end or a name, reads only the records that
 overlap it and, with an index, only the chunks that may hold them; the region is clamped to its axis,
-an unknown name or an empty region is an error. Filters aren't pushed down: Spark keeps them for a
+an unknown name or an empty region is an error. A folder that write_bam wrote is read like a file.
+Filters aren't pushed down: Spark keeps them for a
 frame's later queries, which would lose rows.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import struct
 import zlib
@@ -35,20 +37,50 @@ BATCH_ROWS = 8192
 END = 1 << 63
 
 
-def _open(path: str):
+#: The list of parts of a written folder.
+MANIFEST = "_parts.json"
+
+
+def store_of(path: str):
+    """(file system, name on it) of a path."""
     from pyarrow import fs
 
-    store, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def _open(path: str):
+    store, name = store_of(path)
     return store.open_input_file(name)
 
 
 def _exists(path: str) -> bool:
     from pyarrow import fs
 
-    store, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    store, name = store_of(path)
     return store.get_file_info(name).type == fs.FileType.File
 
 
+def files_of(path: str) -> list[str]:
+    """The files of a path: itself, or the listed parts of a written folder."""
+    from pyarrow import fs
+
+    store, name = store_of(path)
+    if store.get_file_info(name).type != fs.FileType.Directory:
+        return [path]
+    folder = path.rstrip("/")
+    if not _exists(f"{folder}/{MANIFEST}"):
+        raise ValueError(f"{path} holds no written parts")
+    with _open(f"{folder}/{MANIFEST}") as file:
+        return [f"{folder}/{part}" for part in json.loads(file.read())["parts"]]
+
+
+def library_of(path: str) -> str:
+    """The name of a file, or of the written folder that it is a part of."""
+    folder, _, name = path.rpartition("/")
+    named = folder.rsplit("/", 1)[-1] if name.startswith("part-") and folder.endswith(".bam") else name
+    return named.removesuffix(".bam")
+
+
 def _size_in(extra: bytes) -> int | None:
     """The size of a block from its extra fields."""
     at = 0
@@ -280,7 +312,7 @@ class BamDataSource(DataSource):
 
 class BamReader(DataSourceReader):
     def __init__(self, options):
-        self.paths = options["path"].split(",")
+        self.paths = [file for path in options["path"].split(",") for file in files_of(path)]
         self.library = options.get("library")
         self.partition_bytes = int(options.get("partitionBytes", PARTITION_BYTES))
         self.chroms = set(options["chroms"].split(",")) if options.get("chroms") else None
@@ -329,7 +361,7 @@ class BamReader(DataSourceReader):
     def read(self, partition):
         if not partition.path:
             return
-        library = self.library or partition.path.rsplit("/", 1)[-1].removesuffix(".bam")
+        library = self.library or library_of(partition.path)
         rows: list[tuple] = []
         with _open(partition.path) as file:
             head = BlockReader(file)
@@ -370,6 +402,6 @@ def bam_axes(paths: list[str]) -> list[tuple[str, str, int]]:
     """(file, chrom, length) rows for axis_catalog."""
     out = []
     for path in paths:
-        with _open(path) as file:
+        with _open(files_of(path)[0]) as file:
             out += [(path, name, length) for name, length in read_header(BlockReader(file))]
     return out
