@@ -96,27 +96,24 @@ def valid_pairs(reads: DataFrame, params: ExtractParams, capped: bool = True, ma
 def pair_diagnostics(reads: DataFrame, params: ExtractParams) -> DataFrame:
     """(library, measure, n): total, mapped, single, mate.unmapped, unoriented, inter.chr."""
     rows = classify_mates(reads, params)
-    total = reads.filter(is_primary(F.col("flag")) & F.col("chrom").isNotNull())
-    outside = reads.filter(F.col("chrom").isNull())
-    if params.restrict:
-        outside = reads.filter(F.col("chrom").isNull() | ~F.col("chrom").isin(*params.restrict))
-        total = total.filter(F.col("chrom").isin(*params.restrict))
-    named = lambda df, name, n: df.groupBy("library").agg(n.cast("long").alias("n")).select("library", F.lit(name).alias("measure"), "n")
-    inter = rows.filter("class = 'inter' and n_pass = 1").groupBy("library", "qname").agg(F.countDistinct("is_first").alias("sides"), F.count("*").alias("reads"))
-    parts = [
-        named(total.select("library").unionAll(outside.select("library")), "total", F.count("*")),
-        named(rows.filter("class <> 'none'"), "mapped", F.sum("n_pass")),
-        named(rows.filter("class = 'single' and n_pass = 1"), "single", F.count("*")),
-        named(rows.filter("class in ('valid', 'unoriented', 'one_mapped') and n_pass = 1").select("library").unionAll(inter.filter("sides = 1").select("library")), "mate.unmapped", F.count("*")),
-        named(rows.filter("class = 'unoriented' and n_pass = 2"), "unoriented", F.count("*")),
-        named(inter.filter("sides = 2"), "inter.chr", F.count("*")),
-    ]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    chosen = F.col("chrom").isin(*params.restrict) if params.restrict else F.col("chrom").isNotNull()
+    counted = ~F.coalesce(chosen, F.lit(False)) | is_primary(F.col("flag"))
+    libraries = reads.groupBy("library").agg(F.count(F.when(counted, 1)).alias("total"))
+    count = lambda among: F.count(F.when(F.expr(among), 1))
+    inter = F.expr("class = 'inter' and n_pass = 1")
+    # one group for all that needs no look at a pair's other rows
+    pairs = rows.groupBy("library", F.coalesce(inter, F.lit(False)).alias("inter"), F.when(inter, F.col("qname")).alias("pair")).agg(
+        F.sum(F.when(F.col("class") != "none", F.col("n_pass"))).alias("mapped"), count("class = 'single' and n_pass = 1").alias("single"),
+        count("class in ('valid', 'unoriented', 'one_mapped') and n_pass = 1").alias("alone"), count("class = 'unoriented' and n_pass = 2").alias("unoriented"),
+        (F.min("is_first") != F.max("is_first")).alias("both"),
+    )
+    sums = pairs.groupBy("library").agg(
+        F.sum("mapped").alias("mapped"), F.sum("single").alias("single"), (F.sum("alone") + count("inter and not both")).alias("mate.unmapped"),
+        F.sum("unoriented").alias("unoriented"), count("inter and both").alias("inter.chr"),
+    )
     names = ["total", "mapped", "single", "mate.unmapped", "unoriented", "inter.chr"]
-    grid = reads.select("library").distinct().withColumn("measure", F.explode(F.array(*map(F.lit, names))))
-    return grid.join(found, ["library", "measure"], "left").select("library", "measure", F.coalesce("n", F.lit(0)).alias("n"))
+    measures = F.array(*[F.struct(F.lit(n).alias("measure"), F.coalesce(F.col(f"`{n}`"), F.lit(0)).cast("long").alias("n")) for n in names])
+    return libraries.join(sums, "library", "left").select("library", F.explode(measures).alias("m")).select("library", "m.measure", "m.n")
 
 
 def pair_sizes(reads: DataFrame, params: ExtractParams) -> DataFrame:
