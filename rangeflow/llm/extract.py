@@ -7,8 +7,15 @@ is boilerplate; the unique runs stay. Shards of one host exchange their windows
 words by hash, so repetition is that of the whole host. Hosts without a page that it decides are not
 dealt. Markup decides first where it is explicit: menus, adverts,
 scripts and the like are dropped, and an article that holds the bulk of its page, at least as many
-words as the unique runs beside it, is the whole text as it stands, since articles of one host may
-quote each other at length. On all other pages repetition decides inside and outside of articles.
+words as the unique runs beside it, is the text. On all other pages repetition decides inside and
+outside of articles.
+
+Such articles have suffix arrays of their own, since articles of one host may quote each other at
+length: only what more than half of a host's different articles have, TEMPLATE_PAGES at least, is
+its template and is cut. Articles are dealt by a hash of their text. What stands on more than half of
+all does so in one shard at least, so each shard's array names its frequent windows, and the arrays
+of all shards count the windows that any has named. An article that is mostly made of such windows is
+a near copy of the others and stays whole.
 
 Defined cases: a null or empty html has the empty text; equal pages count as one page for
 repetition, so copies don't erase each other; equal rows each get their text; a null url is the host
@@ -21,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +40,10 @@ from .decontaminate import SuffixArray
 
 REPEAT_WORDS = 5
 SHARD_BYTES = 2 << 20
+#: Shards of articles: about so many bytes of text, and so many articles at least.
+ARTICLE_BYTES, LEAST_SHARD = 1 << 19, 16
+#: A template is on more than half of a host's different articles, and on so many.
+TEMPLATE_PAGES = 8
 NO_HASHES = np.zeros(0, np.uint64)
 TEXT_NAMES, TEXT_TYPES = ["page_id", "url", "text", "n_chars"], [pa.int64(), pa.string(), pa.string(), pa.int64()]
 WINDOW_NAMES = ["host", "bucket", "shard", "hashes", "pages", "several"]
@@ -186,15 +198,33 @@ def parse_blocks(page: str) -> list[tuple[int, str]]:
     return blocks
 
 
-def repeated_words(words: np.ndarray, page_of: np.ndarray, copy_of: np.ndarray, least: int = REPEAT_WORDS) -> np.ndarray:
-    """Marks the words inside substrings of at least `least` words that stand on two different pages.
+def word_stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of the texts, one after the other, and the index of each text's first word."""
+    hashes, bounds = [], [0]
+    for _, _, raw, offs in text_blocks(pa.array(texts, pa.string())):
+        some, first = word_hashes(raw, offs, ALPHANUMERIC)
+        hashes.append(some)
+        bounds += list(first[1:] + bounds[-1])
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.array(bounds)
+
+
+def window_hashes(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Hashes of the REPEAT_WORDS words at the places."""
+    hashes = np.zeros(len(places), np.uint64)
+    for k in range(REPEAT_WORDS):
+        hashes = mix64(hashes * np.uint64(0x9E3779B97F4A7C15) + words[places + k])
+    return hashes
+
+
+def array_groups(words: np.ndarray, page_of: np.ndarray, copy_of: np.ndarray, least: int = REPEAT_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places in the suffix array's order, where its groups begin, how many different pages each group has).
 
     words are the pages' streams one after the other, page_of their page, copy_of[page] the first
-    page with the same stream. Suffixes with the same leading words are neighbours in the array.
+    page with the same stream. Suffixes with the same `least` leading words are neighbours in the
+    array and make a group; those that would reach into the next page have none.
     """
-    covered = np.zeros(len(words), bool)
     if len(words) < least:
-        return covered
+        return (np.zeros(0, np.int64),) * 3
     array = SuffixArray(words, least)
     k = least.bit_length() - 1
     rest = least - (1 << k)
@@ -202,18 +232,33 @@ def repeated_words(words: np.ndarray, page_of: np.ndarray, copy_of: np.ndarray,
     key = array.ranks[k][:n] * len(array.tables[k]) + array.ranks[k][rest : rest + n]
     places = np.flatnonzero(page_of[:n] == page_of[least - 1 :])
     order = places[np.lexsort((copy_of[page_of[places]], key[places]))]
-    same = key[order][1:] == key[order][:-1]
-    change = same & (copy_of[page_of[order]][1:] != copy_of[page_of[order]][:-1])
-    group = np.concatenate([[0], np.cumsum(~same)]) if len(order) else np.zeros(0, np.int64)
-    several = np.zeros(group[-1] + 1 if len(group) else 0, bool)
-    several[group[1:][change]] = True
-    marks = np.zeros(len(words) + 1, np.int64)
-    hits = order[several[group]]
-    np.add.at(marks, hits, 1)
-    np.add.at(marks, hits + least, -1)
+    keys, copies = key[order], copy_of[page_of[order]]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(order)]
+    page = np.concatenate([[True], copies[1:] != copies[:-1]])[: len(order)] | new
+    return order, np.flatnonzero(new), np.bincount(np.cumsum(new)[page] - 1)
+
+
+def stretches(n: int, places: np.ndarray, length: int) -> np.ndarray:
+    """Marks, of n words, the length words from each place on."""
+    marks = np.zeros(n + 1, np.int64)
+    np.add.at(marks, places, 1)
+    np.add.at(marks, places + length, -1)
     return np.cumsum(marks[:-1]) > 0
 
 
+def repeated_words(words: np.ndarray, page_of: np.ndarray, copy_of: np.ndarray, least: int = REPEAT_WORDS, told: np.ndarray = NO_HASHES) -> np.ndarray:
+    """Marks the words inside substrings of at least `least` words that stand on two different pages.
+
+    told: sorted hashes of windows (of REPEAT_WORDS words) whose other page is elsewhere; their group of the array counts as repeated.
+    """
+    order, first, pages = array_groups(words, page_of, copy_of, least)
+    several = pages > 1
+    if len(told) and len(first):
+        hashes = window_hashes(words, order[first])
+        several |= told[np.minimum(np.searchsorted(told, hashes), len(told) - 1)] == hashes
+    return stretches(len(words), order[np.repeat(several, np.diff(np.append(first, len(order))))], least)
+
+
 def unique_runs(text: str, covered: np.ndarray) -> str:
     """text without its covered runs that are long or whole sentences; what stands between two words is parted at its last space."""
     if not covered.any():
@@ -251,13 +296,7 @@ class Shard:
         self.texts = [text for blocks in self.parsed for _, text in blocks]
         self.regions = np.array([r for blocks in self.parsed for r, _ in blocks], np.int64)
         self.page_of_block = np.repeat(np.arange(len(pages)), [len(b) for b in self.parsed])
-        hashes, bounds = [], [0]
-        for _, _, raw, offs in text_blocks(pa.array(self.texts, pa.string())):
-            some, first = word_hashes(raw, offs, ALPHANUMERIC)
-            hashes.append(some)
-            bounds += list(first[1:] + bounds[-1])
-        self.words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.bounds = np.array(bounds)
+        self.words, self.bounds = word_stream(self.texts)
         self.page_of = np.repeat(self.page_of_block, np.diff(self.bounds))
         self.in_article = self._sums(np.diff(self.bounds), ARTICLE)
         #: Pages whose text depends on repetition: fewer words in articles than beside them.
@@ -266,36 +305,20 @@ class Shard:
     def _sums(self, counts: np.ndarray, region: int) -> np.ndarray:
         return np.bincount(self.page_of_block, counts * (self.regions == region), len(self.parsed))
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, place) of the REPEAT_WORDS words at every place that has so many on its page."""
-        n = max(0, len(self.words) - REPEAT_WORDS + 1)
-        hashes = np.zeros(n, np.uint64)
-        for k in range(REPEAT_WORDS):
-            hashes = mix64(hashes * np.uint64(0x9E3779B97F4A7C15) + self.words[k : k + n])
-        places = np.flatnonzero(self.page_of[:n] == self.page_of[len(self.words) - n :])
-        return hashes[places], places
+    def copies(self) -> np.ndarray:
+        """For each page the first with the same blocks."""
+        seen: dict[tuple, int] = {}
+        return np.array([seen.setdefault(tuple(blocks), i) for i, blocks in enumerate(self.parsed)], np.int64)
 
     def distinct_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, hash of a page that has it, whether different pages here have it) in the order of hashes."""
-        hashes, places = self.windows()
-        pages = np.array([page_hash(repr(b)) for b in self.parsed], np.uint64)[self.page_of[places]]
-        order = np.lexsort((pages, hashes))
-        hashes, pages = hashes[order], pages[order]
-        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
-        last = np.concatenate([first[1:], [len(hashes)]])[: len(first)] - 1
-        return hashes[first], pages[first], pages[first] != pages[last]
+        """(hash, hash of a page that has it, whether different pages here have it) for each group of the array."""
+        order, first, pages = array_groups(self.words, self.page_of, self.copies())
+        page_hashes = np.array([page_hash(repr(b)) for b in self.parsed], np.uint64)
+        return window_hashes(self.words, order[first]), page_hashes[self.page_of[order[first]]], pages > 1
 
     def covered(self, elsewhere: np.ndarray) -> np.ndarray:
         """Marks the words of repeated substrings; elsewhere: sorted hashes of windows that other shards repeat."""
-        seen: dict[tuple, int] = {}
-        copy_of = np.array([seen.setdefault(tuple(blocks), i) for i, blocks in enumerate(self.parsed)], np.int64)
-        out = repeated_words(self.words, self.page_of, copy_of)
-        if len(elsewhere):
-            hashes, places = self.windows()
-            at = np.minimum(np.searchsorted(elsewhere, hashes), len(elsewhere) - 1)
-            for k in range(REPEAT_WORDS):
-                out[places[elsewhere[at] == hashes] + k] = True
-        return out
+        return repeated_words(self.words, self.page_of, self.copies(), told=elsewhere)
 
     def main_texts(self, covered: np.ndarray) -> list[str]:
         left = np.diff(np.concatenate([[0], np.cumsum(~covered)])[self.bounds])
@@ -369,6 +392,98 @@ def _extract(table: pa.Table, elsewhere: pa.Table) -> pa.Table:
     return out.filter(shard.open)
 
 
+def article_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(hashes of the array's groups, how many different texts have each, how many different texts there are)."""
+    texts = list(dict.fromkeys(texts))
+    words, bounds = word_stream(texts)
+    order, first, pages = array_groups(words, np.repeat(np.arange(len(texts)), np.diff(bounds)), np.arange(len(texts)))
+    return window_hashes(words, order[first]), pages, len(texts)
+
+
+def without_template(text: str, template: np.ndarray) -> str:
+    """text without the runs that the windows of the template cover."""
+    blocks = text.split("\n\n")
+    words, bounds = word_stream(blocks)
+    places = np.arange(max(0, len(words) - REPEAT_WORDS + 1))
+    covered = stretches(len(words), places[np.isin(window_hashes(words, places), template)], REPEAT_WORDS)
+    if 2 * covered.sum() > len(words):  # a near copy
+        return text
+    left = [unique_runs(x, covered[a:b]) for x, a, b in zip(blocks, bounds, bounds[1:], strict=False)]
+    return "\n\n".join(x for x in left if x)
+
+
+def _articles(batches):
+    """Packed articles and their shards, which copies share; a task's copies go once."""
+    seen = set()
+    for batch in batches:
+        rows = []
+        for host, shards, text in zip(*(batch.column(c).to_pylist() for c in ("host", "shards", "text")), strict=True):
+            number = page_hash(text)
+            if (host, number) not in seen:
+                seen.add((host, number))
+                rows.append((host, shards, number % shards, zlib.compress(text.encode("utf-8", "surrogatepass"))))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        types = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "shards", "shard", "packed"])
+
+
+def _unpacked(table: pa.Table) -> list[str]:
+    return [zlib.decompress(x).decode("utf-8", "surrogatepass") for x in table.column("packed").to_pylist()]
+
+
+def _window_rows(table: pa.Table, hashes: np.ndarray, pages: np.ndarray, different: int) -> pa.Table:
+    lists = [pa.array([x.view(np.int64)], pa.list_(pa.int64())) for x in (hashes, pages)]
+    return pa.table([table.column("host").slice(0, 1), table.column("shards").slice(0, 1), pa.array([different], pa.int64()), *lists], ["host", "shards", "different", "hashes", "pages"])
+
+
+def _frequent(table: pa.Table) -> pa.Table:
+    """The windows that more than half of a shard's different articles have."""
+    hashes, pages, different = article_windows(_unpacked(table))
+    frequent = 2 * pages > different
+    if table.column("shards")[0].as_py() == 1:
+        frequent &= pages >= TEMPLATE_PAGES
+    return _window_rows(table, hashes[frequent], pages[frequent], different)
+
+
+def _counted(table: pa.Table, asked: pa.Table) -> pa.Table:
+    """How many different articles of a shard have the windows asked for."""
+    if not table.num_rows:
+        return pa.table([pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 2)], ["host", "shards", "different", "hashes", "pages"])
+    hashes, pages, different = article_windows(_unpacked(table))
+    there = np.isin(hashes.view(np.int64), np.array(asked.column("asked")[0].as_py(), np.int64))
+    return _window_rows(table, hashes[there], pages[there], different)
+
+
+def _cut(batches):
+    for batch in batches:
+        texts = [without_template(t, np.array(w, np.int64).view(np.uint64)) for t, w in zip(batch.column("text").to_pylist(), batch.column("template").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+
+def article_templates(articles: DataFrame) -> DataFrame:
+    """(host, template) of the hosts that have one: hashes of the windows on more than half of their different articles(host, text)."""
+    shards = F.greatest(F.lit(1), F.least(F.ceil(F.sum(F.octet_length("text")) / ARTICLE_BYTES), F.floor(F.count("*") / LEAST_SHARD)))
+    large = stored(articles.groupBy("host").agg(shards.cast("bigint").alias("shards")).filter("shards > 1"), "large-hosts")
+
+    def dealt(rows: DataFrame):
+        rows = rows.join(large, "host", "left").select("host", F.coalesce("shards", F.lit(1)).alias("shards"), "text")
+        return map_arrow(rows, _articles, "host string, shards bigint, shard bigint, packed binary").groupBy("host", "shard")
+
+    schema = "host string, shards bigint, different bigint, hashes array<bigint>, pages array<bigint>"
+    found = stored(dealt(articles).applyInArrow(_frequent, schema), "frequent-windows")
+    asked = found.filter("shards > 1").select("host", F.explode("hashes").alias("hash")).groupBy("host").agg(F.collect_set("hash").alias("asked"))
+    asked = stored(asked, "asked-windows")
+    counts = found.filter("shards = 1")
+    if asked.limit(1).count():
+        each = asked.join(large, "host").select("host", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)).alias("shard"), "asked")
+        again = dealt(articles.join(asked.select("host"), "host", "left_semi"))
+        counts = counts.unionByName(again.cogroup(each.groupBy("host", "shard")).applyInArrow(_counted, schema))
+    counts = counts.select("host", F.explode(F.arrays_zip("hashes", "pages")).alias("x")).groupBy("host", F.col("x.hashes").alias("hash")).agg(F.sum("x.pages").alias("n"))
+    totals = found.groupBy("host").agg(F.sum("different").alias("different"))
+    most = counts.join(totals, "host").filter((F.col("n") >= TEMPLATE_PAGES) & (2 * F.col("n") > F.col("different")))
+    return stored(most.groupBy("host").agg(F.collect_list("hash").alias("template")), "templates")
+
+
 def extract_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """(page_id, url, text, n_chars) for every row; shards are by host and a hash of page and url."""
     rows = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
@@ -382,7 +497,11 @@ def extract_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
     windows = dealt.applyInArrow(_windows, "host string, bucket bigint, shard bigint, hashes binary, pages binary, several binary")
     elsewhere = windows.groupBy("host", "bucket").applyInArrow(_repeated, "host string, shard bigint, hashes binary")
     decided = dealt.cogroup(elsewhere.groupBy("host", "shard")).applyInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
-    return scanned.filter("text is not null").select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars")).unionByName(decided)
+    articles = scanned.filter("text is not null")
+    templates = article_templates(articles.filter("text <> ''").select("host", "text"))
+    whole = articles.join(templates, "host", "left_anti").select("page_id", "url", "text")
+    cut = map_arrow(articles.join(templates, "host").select("page_id", "url", "text", "template"), _cut, "page_id bigint, url string, text string")
+    return whole.unionByName(cut).withColumn("n_chars", F.length("text").cast("bigint")).unionByName(decided)
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
