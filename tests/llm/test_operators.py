@@ -690,10 +690,12 @@ def test_template_of_a_hosts_articles_is_cut(spark, monkeypatch):
     body = [f"<p>{t}</p>" + f"<p>{often}</p>" * (i % 3 < 2) + f"<p>{seldom}</p>" * (i % 3 == 2) for i, t in enumerate(own)]
     pages = [(i, "http://h/", f"<article>{b}</article>") for i, b in enumerate(body)]
     pages += [(1000 + i, "http://h/copy", pages[2][2]) for i in range(200)]  # copies are one article
+    pages += [(500, "http://h/", f"<article><p>{often}</p><p>Two words</p></article>")]
     pages += [(2000 + i, "http://few/", f"<article>{b}</article>") for i, b in enumerate(body[:7])]
     near = [f"{own[0]} version {k} {own[1]} of {k * k}" for k in range(40)]  # near copies stay whole
     pages += [(3000 + i, "http://near/", f"<article>{t}</article>") for i, t in enumerate(near)]
     want = Counter((i, t if i % 3 < 2 else f"{t}\n\n{seldom}") for i, t in enumerate(own))
+    want[(500, "Two words")] = 1
     want += Counter((1000 + i, f"{own[2]}\n\n{seldom}") for i in range(200))
     want += Counter((2000 + i, f"{t}\n\n{often if i % 3 < 2 else seldom}") for i, t in enumerate(own[:7]))
     want += Counter((3000 + i, t) for i, t in enumerate(near))
