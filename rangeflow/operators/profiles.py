@@ -13,6 +13,8 @@ from ..plans.scans import block_scan
 from .extract import fragments, single_reads
 
 BLOCK_BASES = 1_000_000
+#: Tiles with more sites than this are met in several tasks.
+HOT_SITES = 10_000
 
 
 def strand_positions(reads: DataFrame, axes: DataFrame, params: ExtractParams) -> DataFrame:
@@ -68,13 +70,72 @@ def best_delay(profile: DataFrame, ignore: int = 100) -> DataFrame:
     return profile.filter(F.col("delay") >= ignore).agg(best.alias("b")).select("b.delay", "b.rho")
 
 
+def _coverage_runs(frags: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
+    """(chrom, strand, tile, part, start, next, value): runs of equal coverage, each up to the base before next, in tiles of size bases.
+
+    Those of tiles(chrom, strand, tile, parts) are covered wholly, also by runs without coverage, and
+    come as often as they have parts. A fragment makes two steps where it begins and ends and two for
+    the tiles that it covers from their first base on, however long it is.
+    """
+    tile, place = lambda c: F.floor(c / size), ("chrom", "strand")
+    step = lambda pos, d: F.struct(pos.alias("pos"), F.lit(d).cast("long").alias("d"))
+    frags = frags.filter("start <= end")
+    ends = F.array(step(F.col("start"), 1), F.when((F.col("end") + 1) % size != 0, step(F.col("end") + 1, -1)))
+    steps = frags.select(*place, F.explode(ends).alias("s")).filter("s is not null").select(*place, "s.*")
+    crossing = frags.withColumns({"first": tile(F.col("start")), "last": tile(F.col("end"))}).filter("last > first")
+    changes = crossing.select(*place, F.explode(F.array(step(F.col("first") + 1, 1), step(F.col("last") + 1, -1))).alias("s")).groupBy(*place, F.col("s.pos").alias("tile")).agg(F.sum("s.d").alias("d"))
+    along = Window.partitionBy(*place).orderBy("tile")  # a row for each tile
+    carried = changes.select(*place, "tile", F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("d"), F.lead("tile").over(along).alias("next"))
+    carried = carried.filter("d > 0").select(*place, F.explode(F.sequence("tile", F.col("next") - 1)).alias("tile"), "d")
+    for rows, d in ((carried, F.col("d")), (tiles, F.lit(0).cast("long"))):
+        steps = steps.unionByName(rows.select(*place, (F.col("tile") * size).alias("pos"), d.alias("d")))
+    steps = steps.groupBy(*place, "pos").agg(F.sum("d").alias("d")).withColumn("tile", tile(F.col("pos")))
+    steps = steps.join(F.broadcast(tiles.filter("parts > 1")), [*place, "tile"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
+    along = Window.partitionBy(*place, "tile", "part").orderBy("pos")  # a row for each base of a tile at most
+    value, after = F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0)), F.coalesce(F.lead("pos").over(along), (F.col("tile") + 1) * size)
+    return steps.select(*place, "tile", "part", F.col("pos").alias("start"), after.alias("next"), value.alias("value"))
+
+
+def _values(frags: DataFrame, sites: DataFrame, reach: int, normalize: str, match: bool) -> DataFrame:
+    """(region_id, offset, value): a value for each site and offset; only fragments and sites are dealt.
+
+    A site that is given several times counts as often in its value.
+    """
+    size = max(1000, 2 * reach + 1)  # a site touches two tiles at most
+    sites = sites.withColumn("strand", F.when(F.col("_flip"), "-").otherwise("+") if match else F.lit("*"))
+    frags = frags if match else frags.withColumn("strand", F.lit("*"))
+    placed = sites.groupBy("region_id", "chrom", "strand", "anchor", "_flip", "start", "end").agg(F.count("*").alias("times"))
+    keys = ["chrom", "strand", "tile"]
+    placed = placed.withColumn("tile", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(F.col("end") / size))))
+    tiles = placed.groupBy(*keys).agg(F.ceil(F.count("*") / HOT_SITES).alias("parts"))
+    placed = placed.join(F.broadcast(tiles.filter("parts > 1")), keys, "left").withColumn("part", F.pmod(F.xxhash64("region_id", "anchor"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    runs = _coverage_runs(frags, tiles, size)
+    runs = runs.select(*[F.col(c).alias(f"r_{c}") for c in runs.columns])
+
+    def met(placed: DataFrame) -> DataFrame:
+        """placed with the first base, last base and value of each run that the site touches."""
+        on = [F.col(c) == F.col(f"r_{c}") for c in (*keys, "part")]
+        rows = placed.join(runs, [*on, F.col("r_start") <= F.col("end"), F.col("r_next") > F.col("start")])
+        return rows.select(*placed.columns, F.greatest("start", "r_start").alias("lo"), F.least("end", F.col("r_next") - 1).alias("hi"), (F.col("r_value") * F.col("times")).cast("double").alias("value"))
+
+    value = F.col("value")
+    if normalize != "none":
+        by = F.sum(value * (F.col("hi") - F.col("lo") + 1)) if normalize == "total" else F.max("value")
+        placed = placed.join(met(placed).groupBy("region_id").agg(by.alias("by")), "region_id")
+        value = F.when(F.col("by") > 0, value / F.col("by")).otherwise(F.lit(float("nan")))
+    lo, hi = F.col("lo") - F.col("anchor"), F.col("hi") - F.col("anchor")
+    rows = met(placed).select("region_id", "_flip", F.explode(F.sequence(lo, hi)).alias("at"), value.alias("value"))
+    return rows.select("region_id", F.when(F.col("_flip"), -F.col("at")).otherwise(F.col("at")).cast("int").alias("offset"), "value")
+
+
 def site_profile(reads: DataFrame, axes: DataFrame, regions: DataFrame, params: ExtractParams | None = None, reach: int = 5000, ext=100, average: bool = True, normalize: str = "none", strand: str = "ignore", skip_empty: bool = False) -> DataFrame:
     """(offset, value), or (region_id, offset, value) without averaging: coverage around region starts.
 
     normalize: none, or each site by its total or max first; a site without coverage then makes the
     mean NaN, unless skip_empty leaves such sites out. strand: ignore; use (reverse regions anchor at
     their end and are flipped); match (also only reads of the region's strand). Two signed steps for
-    each fragment near a site replace a row for each base.
+    each fragment near a site replace a row for each base; without averaging, sites meet the runs of
+    equal coverage of their tiles, and only the task that writes the values has a row for each.
     """
     params = params or ExtractParams()
     if strand == "match" and params.forward != "split":
@@ -84,6 +145,8 @@ def site_profile(reads: DataFrame, axes: DataFrame, regions: DataFrame, params:
     flip = F.lit(False) if strand == "ignore" else F.col("strand") == "-"
     sites = regions.withColumn("_flip", flip).withColumn("anchor", F.when(F.col("_flip"), F.col("end")).otherwise(F.col("start")).cast("long"))
     sites = sites.select("region_id", "chrom", "anchor", "_flip", (F.col("anchor") - reach).alias("start"), (F.col("anchor") + reach).alias("end"))
+    if not average:
+        return _values(fragments(reads, axes, params, ext), sites, reach, normalize, strand == "match")
     n_sites = sites.count()
     pairs = interval_join(fragments(reads, axes, params, ext), sites, bin_size=max(1000, 2 * reach), small=is_small(sites))
     if strand == "match":
@@ -99,13 +162,6 @@ def site_profile(reads: DataFrame, axes: DataFrame, regions: DataFrame, params:
         by = F.sum(F.col("cov") * (F.col("next") - F.col("offset"))) if normalize == "total" else F.max("cov")
         norms = runs.groupBy("region_id").agg(by.cast("double").alias("by"))
         deltas = deltas.join(norms, "region_id").withColumn("d", F.col("d") / F.col("by"))
-    if not average:
-        along = Window.partitionBy("region_id").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-        grid = sites.select("region_id").crossJoin(F.broadcast(offsets))  # asked for: a value for each site and offset
-        rows = grid.join(deltas, ["region_id", "offset"], "left").withColumn("value", F.coalesce(F.sum("d").over(along), F.lit(0.0)).cast("double"))
-        if normalize != "none":
-            rows = rows.join(norms.select("region_id", F.lit(True).alias("_some")), "region_id", "left").withColumn("value", F.when(F.col("_some"), F.col("value")).otherwise(F.lit(float("nan")))).drop("_some")
-        return rows.select("region_id", "offset", "value")
     along = Window.orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)  # a row for each offset
     sums = offsets.join(deltas.groupBy("offset").agg(F.sum("d").alias("d")), "offset", "left").withColumn("value", F.coalesce(F.sum("d").over(along), F.lit(0)).cast("double"))
     if normalize == "none":
